@@ -8,11 +8,11 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # The Unicode White_Space property, as a regex character class body.
-WHITESPACE = "\t-\r \u0085   -     　"
-WHITESPACE_CHARS = "\t\n\x0b\x0c\r \u0085  " + "".join(map(chr, range(0x2000, 0x200B))) + "    　"
+WHITESPACE = "\t-\r \u0085\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+WHITESPACE_CHARS = "\t\n\v\f\r \u0085\u00a0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
 
 # Combining diacritics are part of a token but carry no weight in it.
-MARKS = "̀-ͯ"
+MARKS = "\u0300-\u036f"
 TOKEN = f"[\\p{{L}}\\p{{N}}\\p{{Co}}][\\p{{L}}\\p{{N}}\\p{{Co}}{MARKS}]*"
 
 

@@ -1,0 +1 @@
+"""Operators bound to the given tables."""
