@@ -66,7 +66,7 @@ def highlight_items(items: DataFrame, query: str) -> DataFrame:
 
     # No separator goes before the first item that has text.
     def place(spans: Column, item: Column) -> Column:
-        end = F.coalesce(F.element_at(spans, -1)["last"], F.lit(0))
+        end = F.coalesce(F.try_element_at(spans, F.lit(-1))["last"], F.lit(0))
         first = F.when(end > 0, end + 1).otherwise(0)
         return F.concat(spans, F.array(F.struct(first.alias("first"), (first + F.length(item["text"])).alias("last"))))
 

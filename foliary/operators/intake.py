@@ -108,7 +108,7 @@ def anchored_dedup(
     gap = F.lit(window)
 
     def step(state: Column, t: Column) -> Column:
-        last = F.element_at(state, -1)
+        last = F.try_element_at(state, F.lit(-1))
         passes = (F.size(state) == 0) | ((t - last >= gap) if inclusive else (t - last > gap))
         return F.when(passes, F.concat(state, F.array(t))).otherwise(state)
 

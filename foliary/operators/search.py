@@ -28,7 +28,7 @@ SORTS = ("relevance", "newestFirst", "oldestFirst")
 
 # Rows of one query are spread over this many tasks before its best rows are chosen.
 RANK_SPREAD = 32
-SCORE_DIGITS = 4
+SCORE_DIGITS = 8
 
 
 @dataclass(frozen=True)
@@ -173,9 +173,9 @@ def matches(queries: DataFrame, index: Index) -> DataFrame:
         candidates.join(hits, ["phrase", "row_id"])
         .select("query_id", "n_phrases", "row_id", "document_id", score.alias("part_score"))
         .groupBy("query_id", "n_phrases", "row_id", "document_id")
-        .agg(F.count(F.lit(1)).alias("found"), F.round(-F.sum("part_score"), SCORE_DIGITS).alias("bm25_score"))
+        .agg(F.count(F.lit(1)).alias("found"), F.round(F.sum("part_score"), SCORE_DIGITS).alias("score"))
         .filter(F.col("found") == F.col("n_phrases"))
-        .select("query_id", "row_id", "document_id", "bm25_score")
+        .select("query_id", "row_id", "document_id", (F.lit(0.0) - F.col("score")).alias("bm25_score"))
     )
 
 
@@ -342,7 +342,7 @@ def snippets(hits: DataFrame, queries: DataFrame, texts: DataFrame, row_id: str
         inside = F.filter("found", lambda m: (m["at"] >= at) & (m["at"] < at + width))
         different = F.size(F.array_distinct(F.transform(inside, lambda m: m["phrase"])))
         score = different * 1000 + F.size(inside) - different
-        first, last = F.get(inside, F.lit(0)), F.element_at(inside, -1)
+        first, last = F.get(inside, F.lit(0)), F.try_element_at(inside, F.lit(-1))
         span = last["at"] + last["len"] - first["at"]
         centred = first["at"] - ((width - span) / 2).cast("int")
         fitted = F.greatest(F.when(centred + width > F.col("n"), F.col("n") - width).otherwise(centred), F.lit(0))
@@ -364,7 +364,7 @@ def snippets(hits: DataFrame, queries: DataFrame, texts: DataFrame, row_id: str
     cut = cut.withColumn("end", F.col("start") + width - 1)
 
     def merge(runs: Column, match: Column) -> Column:
-        run, last = F.element_at(runs, -1), match["at"] + match["len"] - 1
+        run, last = F.try_element_at(runs, F.lit(-1)), match["at"] + match["len"] - 1
         new = F.struct(match["at"].alias("first"), last.alias("last"))
         longer = F.struct(run["first"].alias("first"), F.greatest(run["last"], last).alias("last"))
         joined = F.concat(F.slice(runs, F.lit(1), F.size(runs) - 1), F.array(longer))
@@ -384,6 +384,6 @@ def snippets(hits: DataFrame, queries: DataFrame, texts: DataFrame, row_id: str
     shown = F.filter(numbers, lambda p: (p >= F.col("start")) & (p <= F.col("end")))
     ellipsis = F.lit("…")
     head = F.when(F.col("start") > 0, ellipsis).otherwise(tx.escape_html(F.col("gaps")[0]))
-    tail = F.when(F.col("end") >= F.col("n") - 1, tx.escape_html(F.element_at("gaps", -1))).otherwise(ellipsis)
+    tail = F.when(F.col("end") >= F.col("n") - 1, tx.escape_html(F.try_element_at(F.col("gaps"), F.lit(-1)))).otherwise(ellipsis)
     body = F.array_join(F.transform(shown, piece), "")
     return cut.select("query_id", row_id, F.when(F.col("n") > 0, F.concat(head, body, tail)).otherwise("").alias("snippet_html"))

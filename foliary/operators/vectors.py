@@ -15,7 +15,7 @@ from foliary.functions import text as tx
 # Fixed value.
 EMBED_BATCH = 64
 
-DISTANCE_DIGITS = 4
+DISTANCE_DIGITS = 6
 # Queries travel to the tasks in blocks of at most this many bytes.
 QUERY_BLOCK_BYTES = 32 << 20
 # Vectors compared with the queries in one matrix product.

@@ -23,7 +23,7 @@ runs AS (SELECT phrase, row_id, pos - shift AS begin_at FROM words JOIN postings
 hits AS (SELECT phrase, row_id, count(*) AS f FROM runs GROUP BY phrase, row_id),
 weights AS (SELECT phrase, CASE WHEN ln((n_rows - count(*) + 0.5) / (count(*) + 0.5)) > 0 THEN ln((n_rows - count(*) + 0.5) / (count(*) + 0.5)) ELSE 1e-6 END AS idf
   FROM hits, corpus GROUP BY phrase, n_rows),
-matched AS (SELECT query_id, row_id, document_id, round(-sum(idf * f * 2.2 / (f + 1.2 * (1 - 0.75 + 0.75 * row_len / avg_len))), 4) AS bm25_score
+matched AS (SELECT query_id, row_id, document_id, 0.0::DOUBLE - round(sum(idf * f * 2.2 / (f + 1.2 * (1 - 0.75 + 0.75 * row_len / avg_len))), 8) AS bm25_score
   FROM asked JOIN hits USING (phrase) JOIN weights USING (phrase) JOIN lens USING (row_id), corpus
   GROUP BY query_id, n_phrases, row_id, document_id HAVING count(*) = n_phrases)"""
 
