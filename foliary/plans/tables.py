@@ -27,6 +27,15 @@ def _cases(column, names: list[str]):
     return expr
 
 
+def list_files(pages: DataFrame, content: str | None = None) -> DataFrame:
+    """A file listing: page addresses as paths below a watched folder, with the extensions a scan meets."""
+    bare = F.regexp_replace(F.regexp_replace("url", "^https?://", "/watch/"), "[?#].*$", "")
+    bare = F.regexp_replace(bare, "/$", "")
+    ending = _cases(F.col("page_id") % 6, [".pdf", ".PDF", ".tmp.pdf", ".txt", ".pdf.part", ".pdf"])
+    extra = [F.col(content).alias("content")] if content else []
+    return pages.select(F.concat(bare, ending).alias("path"), F.length("html").cast("bigint").alias("size"), "page_id", *extra)
+
+
 class Tables:
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder.rstrip("/")
@@ -180,11 +189,7 @@ class Tables:
 
     @cached_property
     def files(self) -> DataFrame:
-        """A file listing: page addresses as paths below a watched folder, with the extensions a scan meets."""
-        bare = F.regexp_replace(F.regexp_replace("url", "^https?://", "/watch/"), "[?#].*$", "")
-        bare = F.regexp_replace(bare, "/$", "")
-        ending = _cases(F.col("page_id") % 6, [".pdf", ".PDF", ".tmp.pdf", ".txt", ".pdf.part", ".pdf"])
-        return self.raw("pages").select(F.concat(bare, ending).alias("path"), F.length("html").cast("bigint").alias("size"), "page_id")
+        return list_files(self.raw("pages"))
 
     @cached_property
     def listings(self) -> DataFrame:

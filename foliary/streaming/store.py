@@ -1,0 +1,71 @@
+"""Tables that streams maintain: append-only segments, one per micro-batch, read as the latest version of each key."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+BATCH = "batch"
+
+
+class VersionedRows:
+    """Rows grouped under a key; writing a key replaces all rows it had, possibly by none.
+
+    A micro-batch writes only what it changed, into a folder named after its batch id. Writing the same batch again
+    after a failure overwrites that folder, so every batch counts once. Reading keeps, per key, the rows of the newest
+    batch that touched it. :meth:`compact` folds old segments into one."""
+
+    def __init__(self, spark: SparkSession, path: str, key: str, schema: str, key_type: str = "bigint"):
+        self.spark, self.path, self.key = spark, path.rstrip("/"), key
+        self.schema, self.key_schema = f"{schema}, {BATCH} bigint", f"{key} {key_type}, {BATCH} bigint"
+
+    def _read(self, part: str, schema: str) -> DataFrame:
+        root = f"{self.path}/{part}"
+        jvm = self.spark._jvm.org.apache.hadoop.fs.Path(root)
+        if not jvm.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(jvm):
+            return self.spark.createDataFrame([], schema)
+        return self.spark.read.schema(schema).parquet(root)
+
+    def replace(self, batch_id: int, rows: DataFrame, touched: DataFrame | None = None) -> None:
+        """Store ``rows`` as the whole content of the ``touched`` keys (by default the keys of ``rows``, read back from
+        what was written so that ``rows`` is computed once)."""
+        columns = [f.split()[0] for f in self.schema.split(", ") if f.split()[0] != BATCH]
+        written = f"{self.path}/rows/{BATCH}={batch_id}"
+        rows.select(*columns).write.mode("overwrite").parquet(written)
+        if touched is None:
+            touched = self.spark.read.schema(self.schema.removesuffix(f", {BATCH} bigint")).parquet(written)
+        touched.select(self.key).distinct().write.mode("overwrite").parquet(f"{self.path}/keys/{BATCH}={batch_id}")
+
+    def read(self) -> DataFrame:
+        newest = self._read("keys", self.key_schema).groupBy(self.key).agg(F.max(BATCH).alias(BATCH))
+        return self._read("rows", self.schema).join(newest, [self.key, BATCH], "left_semi").drop(BATCH)
+
+    def keys(self) -> DataFrame:
+        return self._read("keys", self.key_schema).select(self.key).distinct()
+
+    def compact(self, target: str) -> "VersionedRows":
+        """The same content as one segment below ``target``."""
+        schema, key_type = self.schema.removesuffix(f", {BATCH} bigint"), self.key_schema.split()[1].rstrip(",")
+        fresh = VersionedRows(self.spark, target, self.key, schema, key_type)
+        fresh.replace(0, self.read())
+        return fresh
+
+
+def run_batches(stream: DataFrame, checkpoint: str, on_batch: Callable[[DataFrame, int], None], output_mode: str = "append", trigger: dict | None = None):
+    """Run a stream through ``on_batch`` until everything available is processed, or on the given trigger."""
+    writer = stream.writeStream.outputMode(output_mode).option("checkpointLocation", checkpoint)
+    query = writer.foreachBatch(on_batch).trigger(**(trigger or {"availableNow": True})).start()
+    if trigger is None:
+        query.awaitTermination()
+    return query
+
+
+def run_to_files(stream: DataFrame, path: str, checkpoint: str, trigger: dict | None = None):
+    """Append a stream to Parquet files."""
+    writer = stream.writeStream.outputMode("append").format("parquet").option("path", path).option("checkpointLocation", checkpoint)
+    query = writer.trigger(**(trigger or {"availableNow": True})).start()
+    if trigger is None:
+        query.awaitTermination()
+    return query
