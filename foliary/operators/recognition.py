@@ -29,8 +29,8 @@ def hocr_words(pages: DataFrame) -> DataFrame:
 
     The markup is cut into blocks, lines and words inside the row; blocks, lines and words without text do not count.
     A missing box is all zeros, a missing confidence NULL."""
-    content = lambda word: unescape(F.regexp_replace(F.regexp_replace(word, "(?s)^<span[^>]*>", ""), "<[^>]*>", ""))
-    words = lambda line: F.filter(F.regexp_extract_all(line, F.lit(WORD), F.lit(0)), lambda w: tx.trim(content(w)) != "")
+    has_text = f">[^<]*[^<{tx.WHITESPACE}]"
+    words = lambda line: F.filter(F.regexp_extract_all(line, F.lit(WORD), F.lit(0)), lambda w: w.rlike(has_text))
     filled = lambda parts: F.filter(parts, lambda part: F.size(part) > 0)
     lines = lambda block: filled(F.transform(F.split(block, LINE_OPEN), words))
     tree = filled(F.transform(F.split("hocr", BLOCK_OPEN), lines))
@@ -39,20 +39,22 @@ def hocr_words(pages: DataFrame) -> DataFrame:
         .select("page_id", "block", F.posexplode("lines").alias("line", "words"))
         .select("page_id", "block", "line", F.posexplode("words").alias("word", "markup"))
     )
-    title = F.regexp_extract("markup", r"""(?is)^<span[^>]*title=(?:'([^']*)'|"([^"]*)")""", 0)
-    box = r"bbox\s+(\d+)\s+(\d+)\s+(\d+)\s+(\d+)"
-    side = lambda n: F.coalesce(F.regexp_extract(title, box, n).try_cast("bigint"), F.lit(0))
+    content = F.regexp_replace("markup", "<[^>]*>", "")
+    content = F.when(F.contains(content, F.lit("&")), unescape(content)).otherwise(content)
+    title = F.regexp_extract("markup", r"""(?is)^<span[^>]*title=(?:'[^']*'|"[^"]*")""", 0)
+    box = F.split(F.regexp_extract(title, r"bbox\s+(\d+\s+\d+\s+\d+\s+\d+)", 1), r"\s+")
+    side = lambda n: F.coalesce(F.get(box, F.lit(n)).try_cast("bigint"), F.lit(0))
     number = lambda c: F.col(c).cast("bigint").alias(c)
     return exploded.select(
         "page_id",
         number("block"),
         number("line"),
         number("word"),
-        tx.squeeze(content(F.col("markup"))).alias("text"),
-        side(1).alias("left"),
-        side(2).alias("top"),
-        side(3).alias("right"),
-        side(4).alias("bottom"),
+        tx.squeeze(content).alias("text"),
+        side(0).alias("left"),
+        side(1).alias("top"),
+        side(2).alias("right"),
+        side(3).alias("bottom"),
         F.regexp_extract(title, r"x_wconf\s+([0-9.+-]+)", 1).try_cast("double").alias("confidence"),
     )
 

@@ -13,9 +13,13 @@ from pyspark.sql import functions as F
 from foliary.functions import text as tx
 from foliary.operators import search
 from foliary.operators.chunking import chunk_documents
+from foliary.session import read_table
 
 PAGE_LINES = 4
 
+# Tables with long texts, and their keys.
+TEXT_TABLES = {"documents": "doc_id", "pages": "page_id"}
+
 # Searches of one session share the index of a folder: it is a stored table, written once.
 _STORED: dict[tuple[str, str, str], search.Index] = {}
 
@@ -41,7 +45,7 @@ class Tables:
         self.spark, self.folder = spark, folder.rstrip("/")
 
     def raw(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        return read_table(self.spark, f"{self.folder}/{name}.parquet", TEXT_TABLES.get(name))
 
     @cached_property
     def documents(self) -> DataFrame:
