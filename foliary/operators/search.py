@@ -26,6 +26,9 @@ SNIPPET_SENTENCE_BONUS = 100
 SNIPPET_OPENING_BONUS = 120
 SORTS = ("relevance", "newestFirst", "oldestFirst")
 
+# Partitions of a stored index.
+BUCKETS = 64
+
 # Rows of one query are spread over this many tasks before its best rows are chosen.
 RANK_SPREAD = 32
 SCORE_DIGITS = 8
@@ -33,7 +36,9 @@ SCORE_DIGITS = 8
 
 @dataclass(frozen=True)
 class Index:
-    """``postings``: one row per (term, row) with all positions and the row's length. ``corpus``: one row of totals."""
+    """``postings``: one row per token with its position and the length of its row. ``corpus``: one row of totals.
+
+    A stored index also has a ``bucket`` column, a hash of the term by which its files are partitioned."""
 
     postings: DataFrame
     corpus: DataFrame
@@ -44,45 +49,56 @@ class Index:
     def average_length(self) -> Column:
         return self.corpus.select(F.col("total_len") / F.col("n_rows")).scalar()
 
+    def with_terms(self, terms: DataFrame) -> DataFrame:
+        """Postings of the terms of a table. On a stored index only the partitions that may hold them are listed; the
+        buckets collected for this are at most ``BUCKETS`` numbers."""
+        postings = self.postings
+        if "bucket" in postings.columns:
+            wanted = [row["bucket"] for row in terms.select(bucket_of(F.col("term")).alias("bucket")).distinct().collect()]
+            postings = postings.filter(F.col("bucket").isin(wanted)).drop("bucket")
+        return postings.join(terms, "term")
+
+
+def bucket_of(term: Column) -> Column:
+    return F.pmod(F.xxhash64(term), F.lit(BUCKETS)).cast("int")
+
 
 def build_index(rows: DataFrame, row_id: str = "page_id", text: str = "text") -> Index:
-    """Index the text of ``rows``. All tokens of a row are in one task, so they combine before the shuffle."""
-    tokenised = rows.select(F.col(row_id).alias("row_id"), "document_id", tx.tokens(F.col(text)).alias("tokens")).withColumn(
-        "row_len", F.size("tokens").cast("bigint")
-    )
-    postings = (
-        tokenised.select("row_id", "document_id", "row_len", F.posexplode("tokens").alias("position", "term"))
-        .groupBy("term", "row_id", "document_id", "row_len")
-        .agg(F.sort_array(F.collect_list("position")).alias("positions"))
-        .select("term", "row_id", "document_id", "row_len", "positions")
-    )
-    corpus = tokenised.agg(F.count(F.lit(1)).alias("n_rows"), F.sum("row_len").alias("total_len"))
-    return Index(postings, corpus)
+    """Index the text of ``rows``. Row-local: nothing is shuffled until the index is stored or asked."""
+    tokenised = rows.select(F.col(row_id).alias("row_id"), "document_id", tx.tokens(F.col(text)).alias("tokens"))
+    length = F.size("tokens").cast("bigint").alias("row_len")
+    postings = tokenised.select("row_id", "document_id", length, F.posexplode("tokens").alias("position", "term"))
+    corpus = tokenised.agg(F.count(F.lit(1)).alias("n_rows"), F.sum(F.size("tokens")).alias("total_len"))
+    return Index(postings.select("term", "row_id", "document_id", "row_len", "position"), corpus)
 
 
 def store_index(index: Index, path: str | None = None) -> Index:
     """Write an index and return it reading from storage.
 
-    Files are ranges of (term, row): a term in a third of all rows spans many files, and the term statistics of each
-    file let a search skip files without its terms."""
+    Folders are term buckets, so a search lists only those of its own terms. Files are ranges of (bucket, term, row): a
+    term in a third of all rows spans many files, and runs of equal values compress to almost nothing."""
     spark = index.postings.sparkSession
     path = path or scratch_path(spark, "index")
-    ordered = index.postings.repartitionByRange("term", "row_id").sortWithinPartitions("term", "row_id")
-    ordered.write.mode("overwrite").parquet(f"{path}/postings")
+    keys = ["bucket", "term", "row_id"]
+    ordered = index.postings.withColumn("bucket", bucket_of(F.col("term"))).repartitionByRange(*keys).sortWithinPartitions(*keys)
+    ordered.write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings")
     index.corpus.write.mode("overwrite").parquet(f"{path}/corpus")
     return load_index(spark, path)
 
 
 def load_index(spark, path: str) -> Index:
     corpus = spark.read.schema("n_rows bigint, total_len bigint").parquet(f"{path}/corpus")
-    return Index(spark.read.schema(schemas.POSTINGS).parquet(f"{path}/postings"), corpus)
+    return Index(spark.read.schema(f"{schemas.POSTINGS}, bucket int").parquet(f"{path}/postings"), corpus)
 
 
 def term_stats(index: Index) -> DataFrame:
-    """Document frequency and occurrences per term, with the corpus totals that BM25 needs."""
+    """Document frequency and occurrences per term, with the corpus totals that BM25 needs.
+
+    Both groupings combine on the map side, so a frequent term sends a few rows per task."""
+    per_row = index.postings.groupBy("term", "row_id").agg(F.count(F.lit(1)).alias("n"))
     return (
-        index.postings.groupBy("term")
-        .agg(F.count(F.lit(1)).alias("df"), F.sum(F.size("positions")).alias("occurrences"))
+        per_row.groupBy("term")
+        .agg(F.count(F.lit(1)).alias("df"), F.sum("n").alias("occurrences"))
         .withColumn("n_rows", index.row_count())
         .withColumn("avg_len", F.round(index.average_length(), 4))
     )
@@ -127,24 +143,33 @@ def phrases_of(queries: DataFrame) -> DataFrame:
 def phrase_hits(index: Index, phrases: DataFrame) -> DataFrame:
     """Rows holding each distinct phrase, with the number of times.
 
-    The words of a phrase come together by (phrase, row), a key that no frequent word can skew; there their shifted
-    positions are intersected."""
-    words = phrases.select("phrase").distinct().select("phrase", F.split("phrase", " ").alias("words"))
-    words = words.select("phrase", F.size("words").alias("n_words"), F.posexplode("words").alias("offset", "term"))
-    shifted = index.postings.join(words, "term").select(
-        "phrase", "row_id", "document_id", "row_len", "n_words", F.transform("positions", lambda p: p - F.col("offset")).alias("starts")
+    Every phrase starts from its rarest word: each place of that word says where the phrase would begin, and so where
+    its other words must be. Those places are looked up by (term, row, position), a key that no frequent word can
+    skew, and a beginning with all words in place is an occurrence."""
+    words = phrases.select("phrase").distinct().select("phrase", F.posexplode(F.split("phrase", " ")).alias("offset", "term"))
+    terms = words.select("term").distinct()
+    postings = index.with_terms(terms)
+    counts = postings.groupBy("term").agg(F.count(F.lit(1)).alias("n"))
+    # One row per phrase; its words are few, since the query text is bounded.
+    ordered = words.join(counts, "term", "left").groupBy("phrase").agg(
+        F.sort_array(F.collect_list(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "term", "offset"))).alias("parts")
+    )
+    leads = ordered.select(
+        "phrase", F.col("parts")[0]["term"].alias("term"), F.col("parts")[0]["offset"].alias("offset"), F.slice("parts", 2, 1000).alias("others")
     )
-    single = shifted.filter(F.col("n_words") == 1).select("phrase", "row_id", "document_id", "row_len", F.size("starts").alias("f"))
-    several = (
-        shifted.filter(F.col("n_words") > 1)
-        .groupBy("phrase", "row_id", "document_id", "row_len", "n_words")
-        .agg(F.collect_list("starts").alias("lists"))
-        .filter(F.size("lists") == F.col("n_words"))
-        .withColumn("starts", F.aggregate("lists", F.col("lists")[0], lambda common, starts: F.array_intersect(common, starts)))
-        .select("phrase", "row_id", "document_id", "row_len", F.size("starts").alias("f"))
-        .filter(F.col("f") > 0)
+    row = ["phrase", "row_id", "document_id", "row_len"]
+    begins = postings.join(leads, "term").select(*row, (F.col("position") - F.col("offset")).alias("start"), "others")
+    single = begins.filter(F.size("others") == 0).select(*row)
+    lookups = begins.filter(F.size("others") > 0).select(*row, "start", F.size("others").alias("n_others"), F.explode("others").alias("other"))
+    places = lookups.select(*row, "start", "n_others", "other.term", (F.col("start") + F.col("other.offset")).alias("position"))
+    found = (
+        places.join(postings.select("term", "row_id", "position"), ["term", "row_id", "position"])
+        .groupBy(*row, "start", "n_others")
+        .agg(F.count(F.lit(1)).alias("in_place"))
+        .filter(F.col("in_place") == F.col("n_others"))
+        .select(*row)
     )
-    return single.unionByName(several)
+    return single.unionByName(found).groupBy(*row).agg(F.count(F.lit(1)).alias("f"))
 
 
 def matches(queries: DataFrame, index: Index) -> DataFrame:
@@ -308,13 +333,21 @@ def run_saved_searches(saved: DataFrame, index: Index, pages: DataFrame, documen
 # ---- snippets --------------------------------------------------------------------------------------------------------
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` computed once, also inside a lambda."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def snippets(hits: DataFrame, queries: DataFrame, texts: DataFrame, row_id: str = "page_id") -> DataFrame:
     """The best window of each hit's text, HTML-escaped, with the matched phrases marked.
 
     Windows start so that the first match sits in the middle, or at the start of the sentence before a match. A new
     phrase in a window counts far more than a repeated one, and a window at a sentence start gets a bonus."""
     phrases = queries.select("query_id", F.transform(query_terms(F.col("q")), lambda t: F.split(F.lower(t), " ")).alias("phrases"))
-    rows = hits.select("query_id", row_id).join(phrases, "query_id").join(texts.select(row_id, "text"), row_id)
+    # Few short rows carry much work, so they are spread before the text joins them.
+    width_of_shuffle = int(hits.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    hits = hits.select("query_id", row_id).repartition(width_of_shuffle, row_id)
+    rows = hits.join(phrases, "query_id").join(texts.select(row_id, "text"), row_id)
     width = F.lit(SNIPPET_TOKENS)
     token, zero = F.lit(tx.TOKEN), F.lit(0)
     cut = rows.select(
@@ -330,7 +363,8 @@ def snippets(hits: DataFrame, queries: DataFrame, texts: DataFrame, row_id: str
         length = F.size(phrase)
         places = F.sequence(F.lit(0), F.greatest(F.col("n") - length, F.lit(-1)), F.lit(1))
         places = F.when(F.col("n") >= length, places).otherwise(F.array().cast("array<int>"))
-        same = F.filter(places, lambda p: F.slice(F.col("keys"), p + 1, length) == phrase)
+        first = F.get(phrase, F.lit(0))
+        same = F.filter(places, lambda p: (F.col("keys")[p] == first) & (F.slice(F.col("keys"), p + 1, length) == phrase))
         return F.transform(same, lambda p: F.struct(p.alias("at"), number.alias("phrase"), length.alias("len")))
 
     cut = cut.withColumn("found", F.array_sort(F.flatten(F.transform("phrases", occurrences))))
@@ -338,24 +372,28 @@ def snippets(hits: DataFrame, queries: DataFrame, texts: DataFrame, row_id: str
     starts_sentence = lambda p: (p == 0) | F.col("gaps")[p].rlike(r"[.:][ \t\r\n]+$")
     cut = cut.withColumn("sentences", F.filter(numbers, starts_sentence))
 
-    def window_score(at: Column) -> tuple[Column, Column]:
-        inside = F.filter("found", lambda m: (m["at"] >= at) & (m["at"] < at + width))
+    def within(at: Column) -> Column:
+        return F.filter("found", lambda m: (m["at"] >= at) & (m["at"] < at + width))
+
+    def worth(inside: Column) -> Column:
         different = F.size(F.array_distinct(F.transform(inside, lambda m: m["phrase"])))
-        score = different * 1000 + F.size(inside) - different
+        return different * 1000 + F.size(inside) - different
+
+    def centred(inside: Column) -> Column:
         first, last = F.get(inside, F.lit(0)), F.try_element_at(inside, F.lit(-1))
         span = last["at"] + last["len"] - first["at"]
-        centred = first["at"] - ((width - span) / 2).cast("int")
-        fitted = F.greatest(F.when(centred + width > F.col("n"), F.col("n") - width).otherwise(centred), F.lit(0))
-        return score, fitted
+        start = first["at"] - ((width - span) / 2).cast("int")
+        return F.greatest(F.when(start + width > F.col("n"), F.col("n") - width).otherwise(start), F.lit(0))
+
+    def option(score: Column, start: Column) -> Column:
+        return F.struct(score.cast("int").alias("score"), start.cast("int").alias("start"))
 
     def candidates(match: Column) -> Column:
-        score, start = window_score(match["at"])
         sentence = F.array_max(F.filter("sentences", lambda s: s <= match["at"]))
-        opened, _ = window_score(sentence)
-        bonus = F.when(sentence == 0, SNIPPET_OPENING_BONUS).otherwise(SNIPPET_SENTENCE_BONUS)
-        usable = (sentence < match["at"]) & (F.col("n") > width)
-        here = F.struct(score.cast("int").alias("score"), start.cast("int").alias("start"))
-        there = F.struct(F.when(usable, opened + bonus).otherwise(-1).cast("int").alias("score"), sentence.cast("int").alias("start"))
+        bonus = lambda s: F.when(s == 0, SNIPPET_OPENING_BONUS).otherwise(SNIPPET_SENTENCE_BONUS)
+        usable = lambda s: (s < match["at"]) & (F.col("n") > width)
+        here = let(within(match["at"]), lambda inside: option(worth(inside), centred(inside)))
+        there = let(sentence, lambda s: option(F.when(usable(s), worth(within(s)) + bonus(s)).otherwise(-1), s))
         return F.array(here, there)
 
     nothing = F.struct(F.lit(0).alias("score"), F.lit(0).alias("start"))

@@ -45,11 +45,10 @@ def _search(t: Tables) -> DataFrame:
 
 @query(
     """
-WITH postings AS (SELECT row_id, document_id, len(tokens) AS row_len, unnest(tokens) AS term, unnest(range(len(tokens))) AS pos FROM page_tokens)
-SELECT term, row_id, document_id, row_len, array_to_string(list(pos ORDER BY pos), ',') AS positions FROM postings GROUP BY term, row_id, document_id, row_len"""
+SELECT unnest(tokens) AS term, row_id, document_id, len(tokens) AS row_len, unnest(range(len(tokens))) AS position FROM page_tokens"""
 )
 def build_index(t: Tables) -> DataFrame:
-    return search.build_index(t.pages).postings.withColumn("positions", F.array_join("positions", ","))
+    return search.build_index(t.pages).postings.withColumn("position", F.col("position").cast("bigint"))
 
 
 @query(

@@ -189,9 +189,8 @@ def _page_changes(t: Tables) -> list[DataFrame]:
     r"""
 WITH kept AS (SELECT page_id AS row_id, document_id, CASE WHEN lang = 'fr' THEN 'Nouveau ' || p.text ELSE p.text END AS text
   FROM lib_pages p JOIN documents d ON doc_id = document_id WHERE source <> 'src3'),
-cut AS (SELECT row_id, document_id, regexp_extract_all(lower(strip_accents(text)), '[\p{L}\p{N}]+') AS tokens FROM kept),
-postings AS (SELECT row_id, document_id, len(tokens) AS row_len, unnest(tokens) AS term, unnest(range(len(tokens))) AS pos FROM cut)
-SELECT term, row_id, document_id, row_len, array_to_string(list(pos ORDER BY pos), ',') AS positions FROM postings GROUP BY term, row_id, document_id, row_len"""
+cut AS (SELECT row_id, document_id, regexp_extract_all(lower(strip_accents(text)), '[\p{L}\p{N}]+') AS tokens FROM kept)
+SELECT unnest(tokens) AS term, row_id, document_id, len(tokens) AS row_len, unnest(range(len(tokens))) AS position FROM cut"""
 )
 def index_stream(t: Tables) -> DataFrame:
     path = scratch_path(t.spark, "index-stream")
@@ -201,7 +200,7 @@ def index_stream(t: Tables) -> DataFrame:
     stream = t.spark.readStream.schema(changes[0].schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/changes")
     sink = jobs.IndexStream(t.spark, f"{path}/index")
     run_batches(stream, f"{path}/checkpoint", sink.on_batch)
-    return sink.index().postings.withColumn("positions", F.array_join("positions", ","))
+    return sink.index().postings.withColumn("position", F.col("position").cast("bigint"))
 
 
 @query(

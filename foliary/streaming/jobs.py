@@ -166,7 +166,7 @@ class IndexStream:
     Changes (``op, seq, page_id, document_id, text`` with op insert, update or delete) replace the postings of the
     pages they touch; the cost of a batch follows its changes, not the size of the index."""
 
-    ROWS = "row_id bigint, document_id bigint, row_len bigint, term string, positions array<int>"
+    ROWS = "row_id bigint, document_id bigint, row_len bigint, term string, position int"
 
     def __init__(self, spark: SparkSession, path: str):
         self.postings = VersionedRows(spark, f"{path}/postings", "row_id", self.ROWS)
@@ -184,7 +184,7 @@ class IndexStream:
 
     def index(self) -> search.Index:
         corpus = self.rows.read().agg(F.count(F.lit(1)).alias("n_rows"), F.sum("row_len").alias("total_len"))
-        return search.Index(self.postings.read().select("term", "row_id", "document_id", "row_len", "positions"), corpus)
+        return search.Index(self.postings.read().select("term", "row_id", "document_id", "row_len", "position"), corpus)
 
 
 class EmbedStream:
