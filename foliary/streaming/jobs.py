@@ -19,6 +19,7 @@ from foliary.streaming.store import VersionedRows
 
 # Fixed values.
 RESCAN_SECONDS = (30, 300, 86_400)
+BINARY_FILE = "path string, modificationTime timestamp, length bigint, content binary"
 DEBOUNCE = "2 seconds"
 FLUSH_INTERVAL = "250 milliseconds"
 
@@ -36,7 +37,7 @@ def watch_folder(spark: SparkSession, folder: str, recursive: bool = True) -> Da
 
     The source's own log remembers which files it has handed out, so unchanged files are not read again; trigger it
     with ``processingTime=f"{rescan_seconds(...)} seconds"`` for periodic scans."""
-    reader = spark.readStream.format("binaryFile").option("recursiveFileLookup", str(recursive).lower())
+    reader = spark.readStream.format("binaryFile").schema(BINARY_FILE).option("recursiveFileLookup", str(recursive).lower())
     return reader.option("pathGlobFilter", "*.[pP][dD][fF]").load(folder)
 
 
