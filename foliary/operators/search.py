@@ -67,7 +67,9 @@ def build_index(rows: DataFrame, row_id: str = "page_id", text: str = "text") ->
     """Index the text of ``rows``. Row-local: nothing is shuffled until the index is stored or asked."""
     tokenised = rows.select(F.col(row_id).alias("row_id"), "document_id", tx.tokens(F.col(text)).alias("tokens"))
     length = F.size("tokens").cast("bigint").alias("row_len")
-    postings = tokenised.select("row_id", "document_id", length, F.posexplode("tokens").alias("position", "term"))
+    # The outer form, because for the inner one Spark adds a filter on the array that tokenises every text twice.
+    exploded = tokenised.select("row_id", "document_id", length, F.posexplode_outer("tokens").alias("position", "term"))
+    postings = exploded.filter(F.col("term").isNotNull())
     corpus = tokenised.agg(F.count(F.lit(1)).alias("n_rows"), F.sum(F.size("tokens")).alias("total_len"))
     return Index(postings.select("term", "row_id", "document_id", "row_len", "position"), corpus)
 

@@ -61,6 +61,8 @@ def embed_chunks(chunks: DataFrame, embedder: Embedder | None = None, dim: int =
                 rows = [np.bincount(b, minlength=dim).astype("float64") for b in buckets]
                 yield pd.Series([row / (np.sqrt(row @ row) or 1.0) for row in rows])
 
+        # Marked so that no filter on the result makes Spark run the function twice.
+        counts = counts.asNondeterministic()
         return chunks.select("chunk_id", counts(token_buckets(F.col("text"), dim)).alias("embedding"))
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -121,24 +121,46 @@ def snippets(t: Tables) -> DataFrame:
     return search.snippets(_search(t).select("query_id", "page_id"), t.queries, t.pages)
 
 
-# A phrase hit is counted at its first word: split the text at word boundaries and look at two words in a row.
-PHRASE_HITS = r"""
-WITH marked AS (SELECT page_id, regexp_replace(text, '([^\p{L}\p{N}]+)', chr(1) || '\1' || chr(1), 'g') AS text FROM lib_pages),
-bounded AS (SELECT page_id, chr(1) || text || chr(1) AS text FROM marked)
+# Without look-around, word boundaries are made visible first: chr(1) on both sides of every run of other characters.
+BOUNDED = r"chr(1) || regexp_replace({0}, '([^\p{{L}}\p{{N}}]+)', chr(1) || '\1' || chr(1), 'g') || chr(1)"
+
+
+def _escaped(text: str) -> str:
+    for raw, entity in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("''", "&#39;")):
+        text = f"replace({text}, '{raw}', '{entity}')"
+    return f"replace(replace(replace({text}, chr(1), ''), chr(2), '<mark>'), chr(3), '</mark>')"
+
+
+PHRASE_HITS = rf"""
+WITH bounded AS (SELECT page_id, {BOUNDED.format("text")} AS text FROM lib_pages)
 SELECT page_id, len(regexp_extract_all(text, '(?i)\x01of\x01\s+\x01the\x01')) AS hits FROM bounded"""
 
+PHRASE_HTML = rf"""
+WITH bounded AS (SELECT page_id, {BOUNDED.format("text")} AS text FROM lib_pages),
+marked AS (SELECT page_id, regexp_replace(text, '(?i)\x01(of)\x01(\s+)\x01(the)\x01', chr(2) || '\1\2\3' || chr(3), 'g') AS text FROM bounded)
+SELECT page_id, length(text) - length(replace(text, chr(2), '')) AS hits, {_escaped("text")} AS html FROM marked"""
+
+# Lines are joined by chr(4) in place of the space; a match across it is closed before and opened again after it.
+ITEM_HTML = rf"""
+WITH joined AS (SELECT page_id, replace(text, chr(10), chr(4)) AS text FROM lib_pages),
+bounded AS (SELECT page_id, {BOUNDED.format("text")} AS text FROM joined),
+marked AS (SELECT page_id, regexp_replace(text, '(?i)\x01(of)(?:\x01([\s\x04]*)\x01)?(the)\x01', chr(2) || '\1\2\3' || chr(3), 'g') AS text FROM bounded),
+divided AS (SELECT page_id, regexp_replace(text, '(\x02[^\x03\x04]*)\x04([^\x03\x04]*\x03)', '\1' || chr(3) || chr(4) || chr(2) || '\2', 'g') AS text FROM marked),
+items AS (SELECT page_id, unnest(string_split(text, chr(4))) AS text, unnest(range(len(string_split(text, chr(4))))) AS item_no FROM divided)
+SELECT page_id, item_no, {_escaped("text")} AS html FROM items"""
+
 
 @query(PHRASE_HITS)
 def phrase_highlight_counts(t: Tables) -> DataFrame:
     return highlight.phrase_highlight(t.pages.select("page_id", "text"), "of the").select("page_id", "hits")
 
 
-@query()
+@query(PHRASE_HTML)
 def phrase_highlight(t: Tables) -> DataFrame:
     return highlight.phrase_highlight(t.pages.select("page_id", "text"), "of the").select("page_id", "hits", "html")
 
 
-@query()
+@query(ITEM_HTML)
 def highlight_items(t: Tables) -> DataFrame:
     """Every line of a page is one text item."""
     lines = t.pages.select("page_id", F.posexplode(F.split("text", "\n")).alias("item_no", "text"))
