@@ -116,11 +116,6 @@ def saved_searches(t: Tables) -> DataFrame:
     return search.run_saved_searches(saved, t.page_index, t.pages, t.documents)
 
 
-@query()
-def snippets(t: Tables) -> DataFrame:
-    return search.snippets(_search(t).select("query_id", "page_id"), t.queries, t.pages)
-
-
 # Without look-around, word boundaries are made visible first: chr(1) on both sides of every run of other characters.
 BOUNDED = r"chr(1) || regexp_replace({0}, '([^\p{{L}}\p{{N}}]+)', chr(1) || '\1' || chr(1), 'g') || chr(1)"
 
@@ -131,6 +126,46 @@ def _escaped(text: str) -> str:
     return f"replace(replace(replace({text}, chr(1), ''), chr(2), '<mark>'), chr(3), '</mark>')"
 
 
+# The window rule of snippets, one step per table: tokens with the text before them, phrase occurrences, sentence starts,
+# the worth of a window at each occurrence and at the start of its sentence, the best window, its marks, its text.
+WINDOWED = r"[\p{L}\p{N}]+"
+SNIPPETS = rf"""
+WITH {SEARCH},
+texts AS (SELECT page_id, regexp_extract_all(text, '{WINDOWED}') AS words, string_split_regex(text, '{WINDOWED}') AS gaps FROM lib_pages SEMI JOIN found USING (page_id)),
+shown AS (SELECT query_id, page_id, len(words) AS n, words, gaps, list_transform(words, lambda w: lower(strip_accents(w))) AS keys, phrases
+  FROM found JOIN texts USING (page_id) JOIN query_table USING (query_id)),
+wanted AS (SELECT query_id, page_id, n, keys, unnest(phrases) AS phrase, unnest(range(len(phrases))) AS number FROM shown),
+places AS (SELECT query_id, page_id, n, keys, number, string_split(phrase, ' ') AS parts, unnest(range(n)) AS pos FROM wanted),
+marks AS (SELECT query_id, page_id, n, number, pos, len(parts) AS size FROM places WHERE keys[pos + 1 : pos + len(parts)] = parts),
+sentences AS (SELECT query_id, page_id, p AS pos FROM (SELECT query_id, page_id, gaps, unnest(range(n)) AS p FROM shown) WHERE p = 0 OR regexp_matches(gaps[p + 1], '[.:][ \t\r\n]+$')),
+starts AS (SELECT m.query_id, m.page_id, m.number, m.pos, m.n, m.pos AS open, 0 AS form, 0 AS bonus FROM marks m
+  UNION ALL
+  SELECT m.query_id, m.page_id, m.number, m.pos, m.n, max(s.pos), 1, CASE WHEN max(s.pos) = 0 THEN 120 ELSE 100 END
+  FROM marks m JOIN sentences s ON s.query_id = m.query_id AND s.page_id = m.page_id AND s.pos <= m.pos WHERE m.n > 16
+  GROUP BY m.query_id, m.page_id, m.number, m.pos, m.n HAVING max(s.pos) < m.pos),
+worth AS (SELECT s.query_id, s.page_id, s.number, s.pos, s.n, s.open, s.form, s.bonus + count(DISTINCT m.number) * 999 + count(*) AS score, min(m.pos) AS first, arg_max(m.pos + m.size, (m.pos, m.number)) AS last
+  FROM starts s JOIN marks m ON m.query_id = s.query_id AND m.page_id = s.page_id AND m.pos >= s.open AND m.pos < s.open + 16
+  GROUP BY s.query_id, s.page_id, s.number, s.pos, s.n, s.open, s.form, s.bonus),
+windows AS (SELECT *, CASE WHEN form = 1 THEN open ELSE greatest(least(first - trunc((16 - (last - first)) / 2.0)::BIGINT, n - 16), 0) END AS begin_at FROM worth),
+best AS (SELECT query_id, page_id, begin_at FROM (SELECT *, row_number() OVER (PARTITION BY query_id, page_id ORDER BY score DESC, pos, number, form) AS r FROM windows) WHERE r = 1),
+reach AS (SELECT *, max(pos + size - 1) OVER (PARTITION BY query_id, page_id ORDER BY pos, number ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM marks),
+islands AS (SELECT *, count(*) FILTER (before IS NULL OR pos > before) OVER (PARTITION BY query_id, page_id ORDER BY pos, number) AS island FROM reach),
+spans AS (SELECT query_id, page_id, min(pos) AS first, max(pos + size - 1) AS last FROM islands GROUP BY query_id, page_id, island),
+kept AS (SELECT query_id, page_id, list(first) AS opens, list(least(last, begin_at + 15)) AS closes FROM spans JOIN best USING (query_id, page_id) WHERE first BETWEEN begin_at AND begin_at + 15 GROUP BY query_id, page_id),
+tokens AS (SELECT s.query_id, s.page_id, n, begin_at, gaps, unnest(range(begin_at, least(begin_at + 16, n))) AS p, words, opens, closes
+  FROM shown s JOIN best USING (query_id, page_id) LEFT JOIN kept USING (query_id, page_id)),
+pieces AS (SELECT query_id, page_id, n, begin_at, gaps, p, CASE WHEN p > begin_at THEN gaps[p + 1] ELSE '' END || CASE WHEN list_contains(opens, p) THEN chr(2) ELSE '' END || words[p + 1]
+    || CASE WHEN list_contains(closes, p) THEN chr(3) ELSE '' END AS piece FROM tokens),
+joined AS (SELECT query_id, page_id, CASE WHEN begin_at > 0 THEN '…' ELSE gaps[1] END || string_agg(piece, '' ORDER BY p) || CASE WHEN begin_at + 15 >= n - 1 THEN gaps[n + 1] ELSE '…' END AS text
+  FROM pieces GROUP BY query_id, page_id, n, begin_at, gaps)
+SELECT query_id, page_id, {_escaped("text")} AS snippet_html FROM joined"""
+
+
+@query(SNIPPETS)
+def snippets(t: Tables) -> DataFrame:
+    return search.snippets(_search(t).select("query_id", "page_id"), t.queries, t.pages)
+
+
 PHRASE_HITS = rf"""
 WITH bounded AS (SELECT page_id, {BOUNDED.format("text")} AS text FROM lib_pages)
 SELECT page_id, len(regexp_extract_all(text, '(?i)\x01of\x01\s+\x01the\x01')) AS hits FROM bounded"""
