@@ -156,14 +156,16 @@ def phrase_hits(index: Index, phrases: DataFrame) -> DataFrame:
     ordered = words.join(counts, "term", "left").groupBy("phrase").agg(
         F.sort_array(F.collect_list(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "term", "offset"))).alias("parts")
     )
-    leads = ordered.select(
-        "phrase", F.col("parts")[0]["term"].alias("term"), F.col("parts")[0]["offset"].alias("offset"), F.slice("parts", 2, 1000).alias("others")
+    lead, row = F.col("parts")[0], ["phrase", "row_id", "document_id", "row_len"]
+    alone = ordered.filter(F.size("parts") == 1).select("phrase", lead["term"].alias("term"))
+    single = postings.join(alone, "term").select(*row)
+    # One row per word that must stand at a distance from the lead.
+    others = F.explode(F.slice("parts", F.lit(2), F.size("parts") - 1)).alias("other")
+    pairs = ordered.filter(F.size("parts") > 1).select("phrase", lead.alias("lead"), (F.size("parts") - 1).alias("n_others"), others)
+    pairs = pairs.select("phrase", "n_others", "lead.term", "lead.offset", F.col("other.term").alias("other"), (F.col("other.offset") - F.col("lead.offset")).alias("shift"))
+    places = postings.join(pairs, "term").select(
+        *row, "n_others", (F.col("position") - F.col("offset")).alias("start"), F.col("other").alias("term"), (F.col("position") + F.col("shift")).alias("position")
     )
-    row = ["phrase", "row_id", "document_id", "row_len"]
-    begins = postings.join(leads, "term").select(*row, (F.col("position") - F.col("offset")).alias("start"), "others")
-    single = begins.filter(F.size("others") == 0).select(*row)
-    lookups = begins.filter(F.size("others") > 0).select(*row, "start", F.size("others").alias("n_others"), F.explode("others").alias("other"))
-    places = lookups.select(*row, "start", "n_others", "other.term", (F.col("start") + F.col("other.offset")).alias("position"))
     found = (
         places.join(postings.select("term", "row_id", "position"), ["term", "row_id", "position"])
         .groupBy(*row, "start", "n_others")
