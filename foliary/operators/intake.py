@@ -129,7 +129,7 @@ def _dedup_by_jumps(moments: DataFrame, keys: Sequence[str], window: int, inclus
     the rounds are bounded by the logarithm of the covered time over the window.
 
     Pointers are found inside narrow time slices; where a slice has no later moment, a per-slice minimum supplies it."""
-    keys = list(keys)
+    keys, moments = list(keys), materialize(moments, "dedup-moments")
     width = max(1, min(window, 60_000_000))
     probe_at = F.col("__t") + F.lit(window)
     both = moments.select(*keys, F.col("__t").alias("at"), F.lit(1).alias("is_event"), F.lit(None).cast("bigint").alias("__t")).unionByName(

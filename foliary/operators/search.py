@@ -29,8 +29,8 @@ SORTS = ("relevance", "newestFirst", "oldestFirst")
 # Partitions of a stored index.
 BUCKETS = 64
 
-# Rows of one query are spread over this many tasks before its best rows are chosen.
-RANK_SPREAD = 32
+# The rows of one query are spread over the shuffle partitions, up to this many, before its best rows are chosen.
+MAX_RANK_SPREAD = 1024
 SCORE_DIGITS = 8
 
 
@@ -219,14 +219,15 @@ def page_bounds(queries: DataFrame) -> DataFrame:
 def page_hits(hits: DataFrame, queries: DataFrame) -> DataFrame:
     """Order each query's hits, number them, count them, and keep the requested page.
 
-    ``hits`` needs ``query_id, row_id, bm25_score, ingested_at``. The rows of a query are first ranked in
-    ``RANK_SPREAD`` parts; only the best of each part meet in one task, so a query that matches most of the library
-    does not gather there."""
+    ``hits`` needs ``query_id, row_id, bm25_score, ingested_at``. The rows of a query are first ranked
+    in parts, one per shuffle partition; only the best of each part meet in one task, so a query that matches most of
+    the library does not gather there."""
     paging = page_bounds(queries).select("query_id", F.coalesce("sort", F.lit("relevance")).alias("sort"), "lim", "off")
     deepest = paging.agg(F.max(F.col("lim") + F.col("off")).alias("n")).first()["n"] or 0
     time_key = F.when(F.col("sort") == "newestFirst", -F.col("ingested_at")).when(F.col("sort") == "oldestFirst", F.col("ingested_at"))
     order = [F.coalesce(time_key, F.lit(0)).alias("time_key"), F.col("bm25_score"), F.col("row_id")]
-    spread = hits.join(paging, "query_id").withColumn("part", F.pmod(F.xxhash64("row_id"), F.lit(RANK_SPREAD)))
+    parts = min(MAX_RANK_SPREAD, int(hits.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    spread = hits.join(paging, "query_id").withColumn("part", F.pmod(F.xxhash64("row_id"), F.lit(parts)))
     part = W.partitionBy("query_id", "part")
     best = (
         spread.withColumn("part_rank", F.row_number().over(part.orderBy(*order)))

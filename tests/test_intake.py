@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from foliary.functions.grouping import previous_row, streak_since
 from foliary.operators import intake, library
-from foliary.sources.files import list_folder, read_files
+from foliary.sources.files import list_folder, read_files, write_bucketed
 
 HOUR = 3_600_000_000
 
@@ -118,3 +118,17 @@ def test_output_names(spark):
     names = {r["document_id"]: r["output_name"] for r in library.assign_output_names(docs).collect()}
     assert names[1] == "My Report-abc123de-searchable.pdf" and names[3] == "My Report-abc123de-1-searchable.pdf"
     assert names[2] == "a_b_c_d_e_-ffffffff-searchable.pdf" and names[4].startswith("document-")
+
+
+def test_bucketed_rows_are_replaced_in_place(spark, tmp_path):
+    path = str(tmp_path / "pages")
+    pages = spark.range(200).select(F.col("id").alias("document_id"), F.lit("old").alias("text"))
+    write_bucketed(pages, path, buckets=16)
+    stored = spark.read.parquet(path)
+    fresh = spark.createDataFrame([(5, "new"), (5, "new too")], "document_id bigint, text string")
+    bucket = stored.filter("document_id = 5").first()["bucket"]
+    touched = stored.filter(F.col("bucket") == bucket).select("document_id", "text")
+    kept = spark.createDataFrame(library.replace_document_rows(touched, fresh).collect(), touched.schema)
+    write_bucketed(kept, path, buckets=16)
+    after = spark.read.parquet(path)
+    assert after.count() == 201 and {r["text"] for r in after.filter("document_id = 5").collect()} == {"new", "new too"}
