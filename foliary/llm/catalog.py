@@ -1,6 +1,6 @@
 """All queries of this package."""
 
-from foliary.llm import simhash  # noqa: F401
+from foliary.llm import chunks, simhash  # noqa: F401
 from foliary.llm.common import QUERIES, SQL
 
 __all__ = ["QUERIES", "SQL"]
