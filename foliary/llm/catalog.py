@@ -1,6 +1,17 @@
 """All queries of this package."""
 
-from foliary.llm import chunks, simhash  # noqa: F401
+from foliary.llm import (  # noqa: F401
+    chunks,
+    compression,
+    contamination,
+    context_tree,
+    packing,
+    quality,
+    sharding,
+    simhash,
+    substrings,
+    surrogates,
+)
 from foliary.llm.common import QUERIES, SQL
 
 __all__ = ["QUERIES", "SQL"]

@@ -202,6 +202,38 @@ def _blocks(benchmark: DataFrame, least: int) -> Iterator[list[tuple[int, list[b
         yield block
 
 
+def _search(texts: list[bytes], index: Index) -> dict[tuple[int, int], tuple[int, int, int]]:
+    """Matches in lower-cased texts by (text, item)."""
+    split = [t.split() for t in texts]
+    offsets = np.concatenate(([0], np.cumsum(np.fromiter(map(len, split), np.int64, len(split)))))
+    symbols = np.fromiter((s for words in split for s in map(index.vocabulary.get, words, repeat(0))), np.int64, int(offsets[-1]))
+    return index.search(symbols, offsets) if len(symbols) else {}
+
+
+def decontaminate(
+    docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY, recall: float = RECALL, least: int = LEAST_WORDS, text: str = "text"
+) -> DataFrame:
+    """The documents that hold no benchmark item, with all their columns; see ``contaminated`` for what counts.
+
+    Rows are dropped where they are read, so this needs neither ids nor a shuffle.
+    """
+    out, name = docs, "__lowered"
+    for block in _blocks(benchmark, least):
+        index = Index.build(block, similarity, recall)
+
+        def run(batches: Iterator[pa.RecordBatch], index: Index = index) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for at in range(0, batch.num_rows, 500):
+                    part = batch.slice(at, 500)
+                    keep = np.ones(part.num_rows, bool)
+                    keep[[d for d, _ in _search(as_bytes(part.column(part.num_columns - 1)), index)]] = False
+                    part = part.filter(pa.array(keep))
+                    yield pa.RecordBatch.from_arrays(part.columns[:-1], part.schema.names[:-1])
+
+        out = out.withColumn(name, F.lower(F.col(text).cast("string"))).mapInArrow(run, docs.schema)
+    return out
+
+
 def contaminated(
     docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY, recall: float = RECALL, least: int = LEAST_WORDS
 ) -> DataFrame:
@@ -231,13 +263,7 @@ def contaminated(
             for batch in batches:
                 for at in range(0, batch.num_rows, 500):  # a window table of a few texts at a time
                     part = batch.slice(at, 500)
-                    split = [t.split() for t in as_bytes(part.column(1))]
-                    sizes = np.fromiter(map(len, split), np.int64, len(split))
-                    offsets = np.concatenate(([0], np.cumsum(sizes)))
-                    symbols = np.fromiter(
-                        (s for words in split for s in map(index.vocabulary.get, words, repeat(0))), np.int64, int(offsets[-1])
-                    )
-                    hits = index.search(symbols, offsets) if len(symbols) else {}
+                    hits = _search(as_bytes(part.column(1)), index)
                     rows = np.array([(d, i, c, s, e - s) for (d, i), (c, s, e) in hits.items()], np.int64).reshape(-1, 5)
                     values = [part.column(0).take(pa.array(rows[:, 0].copy())), *(pa.array(rows[:, k].copy()) for k in range(1, 5))]
                     yield pa.RecordBatch.from_arrays(values, ["doc_id", "item_id", "distance", "first_word", "n_words"])

@@ -42,16 +42,17 @@ def _repeated(ordered: Column) -> Column:
 
 
 def features(docs: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame:
-    """Base counts of each document, its character classes and the counts of common words by language."""
+    """Base counts of each document, its character classes, the counts of common words by language, and the row itself
+    (dropped by the optimizer where it isn't asked for)."""
     whole = F.coalesce(F.col(text).cast("string"), F.lit(""))
     language = F.col(lang).cast("string") if lang in docs.columns else F.lit(None).cast("string")
-    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), language.alias("lang"), whole.alias("text"))
-    split = base.select("doc_id", "lang", "text", _words(F.col("text")).alias("words"), _words(F.lower("text")).alias("lowered"))
+    base = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), language.alias("lang"), whole.alias("text"))
+    split = base.select("row", "doc_id", "lang", "text", _words(F.col("text")).alias("words"), _words(F.lower("text")).alias("lowered"))
     n = F.size("words")
     lines = F.filter(F.split("text", "\n"), lambda line: line.rlike(r"[^\x20\x09-\x0D]"))
     listed = sorted({w for words in COMMON.values() for w in words})
     counted = split.select(
-        "doc_id", "lang", "text", n.cast("long").alias("n_words"),
+        "row", "doc_id", "lang", "text", n.cast("long").alias("n_words"),
         F.length(F.array_join("words", "")).cast("long").alias("word_chars"),
         F.regexp_count("text", F.lit(SYMBOLS)).cast("long").alias("n_symbols"),
         lines.alias("lines"),
@@ -74,7 +75,7 @@ def features(docs: DataFrame, text: str = "text", lang: str = "lang") -> DataFra
         for name, words in COMMON.items()
     }
     return counted.select(
-        "doc_id", "lang", "n_words", "word_chars", "n_symbols",
+        "row", "doc_id", "lang", "n_words", "word_chars", "n_symbols",
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
         repeated.cast("long").alias("n_repeat_words"),
         size.alias("n_chars"), classes.alias("classes"),
@@ -150,13 +151,19 @@ def quality_rules(docs: DataFrame, text: str = "text", lang: str = "lang") -> Da
 
     Everything is built-in functions on one row; only the mean of four languages is aggregated.
     """
-    rows = materialize(features(docs, text, lang), "features")
+    rows = materialize(features(docs, text, lang).drop("row"), "features")
     return judge(rows, references(rows)).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
         "character_distance", "common_distance", "kept",
     )
 
 
+def good_documents(docs: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame:
+    """The documents that ``quality_rules`` keeps, with all their columns; rows are judged where they are read."""
+    rows = features(docs, text, lang)
+    return judge(rows, references(rows)).filter("kept").select("row.*")
+
+
 @query("op4_divergence_rules")
 def op4(spark: SparkSession, folder: str) -> DataFrame:
     return quality_rules(documents(spark, folder, "doc_id", "text", "lang"))

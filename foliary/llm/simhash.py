@@ -20,11 +20,23 @@ SEGMENTS = ((0, 22), (22, 21), (43, 21))
 PAIRWISE = 48  # groups up to this size are compared by shifts, larger ones by visiting
 
 
-def simhash(text: bytes, shingle: int, seed: int = SEED) -> int:
-    """Fingerprint of a UTF-8 text: a bit is set if it is set in over half of the hashes of the shingles."""
+LANES = np.array([0, 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], np.uint64)
+
+
+def _lane(hashes: np.ndarray, lane: int) -> np.ndarray:
+    """The hashes themselves in lane 0, and as if by another seed in the others."""
+    if lane:
+        hashes = (hashes ^ LANES[lane]) * np.uint64(0xD6E8FEB86659FD93)
+        hashes = (hashes ^ hashes >> np.uint64(32)) * np.uint64(0xD6E8FEB86659FD93)
+        hashes = hashes ^ hashes >> np.uint64(32)
+    return hashes
+
+
+def simhash(text: bytes, shingle: int, seed: int = SEED, lanes: int = 1) -> list[int]:
+    """Fingerprints of a UTF-8 text: a bit is set if it is set in over half of the hashes of the shingles."""
     words = text.lower().split()  # of bytes: only A-Z and ASCII white space
     if not words:
-        return 0
+        return [0] * lanes
     joined = b" ".join(words)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
     starts = np.concatenate(([0], ends[:-1] + 1))
@@ -33,23 +45,30 @@ def simhash(text: bytes, shingle: int, seed: int = SEED) -> int:
     hashes = np.fromiter(
         (digest(joined[a:b], seed) for a, b in zip(starts.tolist(), ends[last:].tolist())), np.uint64, len(words) - last
     )
-    ones = np.zeros(64, np.int64)
-    for at in range(0, len(hashes), 65536):
-        part = hashes[at : at + 65536]
-        ones += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    bits = np.packbits(2 * ones > len(hashes), bitorder="little")
-    return int(bits.view(np.uint64)[0])
-
-
-def fingerprints(docs: DataFrame, shingle: int = 3, seed: int = SEED, text: str = "text") -> DataFrame:
-    """(doc_id, fp): the fingerprint of every text as a signed long; null and blank texts have 0."""
+    out = []
+    for lane in range(lanes):
+        ones = np.zeros(64, np.int64)
+        for at in range(0, len(hashes), 65536):
+            part = _lane(hashes[at : at + 65536], lane)
+            ones += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+        bits = np.packbits(2 * ones > len(hashes), bitorder="little")
+        out.append(int(bits.view(np.uint64)[0]))
+    return out
+
+
+def fingerprints(docs: DataFrame, shingle: int = 3, seed: int = SEED, text: str = "text", lanes: int = 1) -> DataFrame:
+    """doc_id and the fingerprints of every text as signed longs: fp, or fp0, fp1, ... for several lanes; null and blank
+    texts have 0."""
+    names = ["fp"] if lanes == 1 else [f"fp{i}" for i in range(lanes)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = np.array([simhash(t, shingle, seed) for t in as_bytes(batch.column(1))], dtype=np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(found.view(np.int64))], ["doc_id", "fp"])
+            found = np.array([simhash(t, shingle, seed, lanes) for t in as_bytes(batch.column(1))], dtype=np.uint64).reshape(-1, lanes)
+            values = [pa.array(np.ascontiguousarray(found[:, i]).view(np.int64)) for i in range(lanes)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *values], ["doc_id", *names])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col(text).cast("string")).mapInArrow(run, "doc_id long, fp long")
+    rows = docs.select(F.col("doc_id").cast("long"), F.col(text).cast("string"))
+    return rows.mapInArrow(run, "doc_id long, " + ", ".join(f"{n} long" for n in names))
 
 
 def _mix(kind: int, *parts: np.ndarray) -> np.ndarray:
@@ -159,15 +178,14 @@ def stars(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def fingerprint_links(values: DataFrame, most: int = 3) -> DataFrame:
-    """Links (a, b) among the distinct fingerprints in ``values.fp`` that differ in at most ``most`` bits (3 or fewer).
+    """Links (a, b) among the distinct fingerprints in ``values.fp`` that differ in at most ``most`` bits.
+
+    All are found up to 3 bits. With a higher ``most``, pairs beyond 3 bits are linked if they happen to share a key.
 
     Rows (key, fp) are dealt and sorted by key; a task compares the values of each key and sends on one row per linked
     value, so a group of n near copies never becomes n² rows. A key's group holds distinct values that agree in a
     segment and in the neighbourhood of another, or in three neighbourhoods, whatever the number of documents is.
     """
-    if not 0 <= most <= 3:
-        raise ValueError("the codeword keys are complete for at most 3 differing bits")
-
     def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = batch.column(0).to_numpy().view(np.uint64)
@@ -222,6 +240,35 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, most: int = 3, text: str
     )
 
 
+def similar_documents(docs: DataFrame, shingle: int = 5, most: int = 7, lanes: int = 4, text: str = "text") -> DataFrame:
+    """(doc_id, component_id) of the documents that have a near copy, at a similarity well above 0.8.
+
+    Documents are linked if, in any of ``lanes`` independent fingerprints of their five-word shingles, they differ in at
+    most ``most`` of 64 bits (7 bits: a cosine of 0.94). Links of 3 bits or fewer are complete in each lane; those of up
+    to ``most`` are found if they share a codeword key, which several lanes make likely. Links of a lane are turned into
+    links of documents through the first document of each fingerprint, so copies stay a star, not pairs.
+    Rows without doc_id take no part; rows that share one are one document. Blank texts are copies of each other.
+    """
+    marked = materialize(fingerprints(docs, shingle, text=text, lanes=lanes).filter("doc_id IS NOT NULL"), "fingerprints")
+    edges = None
+    for lane in range(lanes):
+        own = marked.select("doc_id", F.col(f"fp{lane}").alias("fp"))
+        nodes = materialize(own.groupBy("fp").agg(F.min("doc_id").alias("first")), "nodes")
+        a = nodes.select(F.col("fp").alias("a"), F.col("first").alias("first_a"))
+        b = nodes.select(F.col("fp").alias("b"), F.col("first").alias("first_b"))
+        links = fingerprint_links(nodes, most).distinct().join(a, "a").join(b, "b").select(F.col("first_a").alias("a"), F.col("first_b").alias("b"))
+        copies = own.join(nodes, "fp").filter("doc_id <> first").select(F.col("doc_id").alias("a"), F.col("first").alias("b"))
+        links = materialize(links.union(copies), "lane")
+        edges = links if edges is None else edges.union(links)
+    return components(edges).select(F.col("node").alias("doc_id"), F.col("root").alias("component_id"))
+
+
+def first_of_each(docs: DataFrame, **options) -> DataFrame:
+    """The documents without near copies of a document with a smaller doc_id; all columns, rows without doc_id stay."""
+    found = similar_documents(docs, **options).filter("doc_id <> component_id").select(F.col("doc_id").alias("__copy"))
+    return docs.join(found, docs["doc_id"].cast("long") == found["__copy"], "left_anti")
+
+
 @query("op9_simhash_components")
 def op9(spark: SparkSession, folder: str) -> DataFrame:
     return near_duplicates(documents(spark, folder, "doc_id", "text"))
