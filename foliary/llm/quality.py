@@ -109,16 +109,19 @@ def divergence(p: Column, q: Column) -> Column:
 def references(rows: DataFrame) -> dict[str, tuple[list[float], list[float]]]:
     """Mean character classes and common words per language, over its documents that are long enough (at most one row
     per listed language is collected)."""
-    long_enough = rows.filter((F.col("n_words") >= LEAST_COMMON) & (F.col("n_chars") >= LEAST_CHARS)).filter(F.col("lang").isin(list(COMMON)))
+    # not a filter: Spark would push it down and evaluate what it is computed from a second time
+    long_enough = (F.col("n_words") >= LEAST_COMMON) & (F.col("n_chars") >= LEAST_CHARS)
     words = len(next(iter(COMMON.values())))
     own = F.coalesce(*(F.when(F.col("lang") == name, F.col("common")[name]) for name in COMMON))
-    shares = long_enough.select(
-        "lang", _shares(F.col("classes"), F.col("n_chars")).alias("c"), _with_rest(own, F.col("n_words")).alias("w")
+    shares = rows.filter(F.col("lang").isin(list(COMMON))).select(
+        "lang",
+        F.when(long_enough, _shares(F.col("classes"), F.col("n_chars"))).alias("c"),
+        F.when(long_enough, _with_rest(own, F.col("n_words"))).alias("w"),
     )
     means = shares.groupBy("lang").agg(
         F.array(*(F.avg(F.get("c", F.lit(i))) for i in range(7))).alias("c"), F.array(*(F.avg(F.get("w", F.lit(i))) for i in range(words + 1))).alias("w")
     )
-    return {r["lang"]: (list(r["c"]), list(r["w"])) for r in means.collect()}
+    return {r["lang"]: (list(r["c"]), list(r["w"])) for r in means.collect() if r["c"][0] is not None}
 
 
 def judge(rows: DataFrame, learnt: dict[str, tuple[list[float], list[float]]]) -> DataFrame:
@@ -161,7 +164,9 @@ def quality_rules(docs: DataFrame, text: str = "text", lang: str = "lang") -> Da
 def good_documents(docs: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame:
     """The documents that ``quality_rules`` keeps, with all their columns; rows are judged where they are read."""
     rows = features(docs, text, lang)
-    return judge(rows, references(rows)).filter("kept").select("row.*")
+    judged = judge(rows, references(rows))
+    # inline drops the rows without an array; a filter on the verdict would be pushed down into copies of all of the above
+    return judged.select(F.inline(F.when(F.col("kept"), F.array("row"))))
 
 
 @query("op4_divergence_rules")
