@@ -20,7 +20,6 @@ LENGTH = 50  # bytes of a string whose later copies are removed
 GRAM = 20  # bytes of an anchor
 BATCH_BYTES, BATCH_ROWS = 4_000_000, 4096
 SHARD_BYTES = 4_000_000  # text that one suffix array covers, about
-PARTS = 16  # parts that a bucket's shards are made of
 FREQUENT = 4096  # batches that share an anchor, from which its windows are dealt one by one
 NOBODY = np.iinfo(np.int64).max
 
@@ -90,14 +89,16 @@ class Batch:
         return pickle.dumps((ids, np.fromiter(map(len, texts), np.int64, len(texts)), zstandard.compress(joined, 3) if joined else b""))
 
     def strings(self, shared: np.ndarray, frequent: np.ndarray, buckets: int):
-        """Distinct strings around shared anchors, and which run of windows has which: (text, part, bucket) and index.
+        """Distinct strings around shared anchors, and which run of windows has which.
+
+        A string comes with its bucket and a mark of its anchor: strings with different marks share no window.
 
         A run of windows with one shared anchor is one string; under a frequent anchor each window is its own, dealt by
         a hash of all of it.
         """
         hit = np.isin(self.key, shared)
         start, end, document = self.start[hit], self.end[hit], self.document[hit]
-        bucket, part = self.bucket[hit], (self.tag[hit] % np.uint64(PARTS)).astype(np.int64)
+        bucket, mark = self.bucket[hit], (self.tag[hit] & np.uint64(0xFFFFFFFF)).astype(np.int64)
         often = np.isin(self.key[hit], frequent)
         if often.any():
             size = np.where(often, end - start, 1)
@@ -105,15 +106,15 @@ class Batch:
             inner = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
             single = often[row]
             start = np.where(single, start[row] + inner, start[row])
-            end, document, bucket, part = np.where(single, start + 1, end[row]), document[row], bucket[row], part[row]
+            end, document, bucket, mark = np.where(single, start + 1, end[row]), document[row], bucket[row], mark[row]
             raw = self.data.tobytes()
             for i in np.nonzero(single)[0].tolist():
                 h = xxhash.xxh3_64_intdigest(raw[start[i] : start[i] + LENGTH])
-                bucket[i], part[i] = h % buckets, (h >> 40) % PARTS
+                bucket[i], mark[i] = h % buckets, h >> 32
         raw, index, known = self.data.tobytes(), np.empty(len(start), np.int64), {}
         for i, (a, b) in enumerate(zip(start.tolist(), (end + LENGTH - 1).tolist())):
             index[i] = known.setdefault(raw[a:b], len(known))
-        return list(known), index, start, end, document, bucket, part
+        return list(known), index, start, end, document, bucket, mark
 
 
 ROW = "target long, batch long, a binary, b binary"
@@ -201,6 +202,16 @@ def first_documents(strings: list[bytes], lowest: np.ndarray, length: int = LENG
     return np.split(first[position], np.cumsum(windows)[:-1])
 
 
+def _answer(group: list[tuple[int, bytes]], lowest: dict, answers: dict) -> None:
+    """Runs (windows, first document) of each (mark, string) of a shard, as bytes."""
+    if not group:
+        return
+    ids = np.fromiter(map(lowest.__getitem__, group), np.int64, len(group))
+    for key, runs in zip(group, first_documents([text for _, text in group], ids)):
+        change = np.concatenate(([0], np.nonzero(runs[1:] != runs[:-1])[0] + 1, [len(runs)]))
+        answers[key] = np.stack((np.diff(change), runs[change[:-1]])).tobytes()
+
+
 def _sort_shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Sort the suffixes of the strings of each bucket, shard by shard, and answer with the first document of every
     window: (windows, document) runs."""
@@ -209,28 +220,28 @@ def _sort_shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for r in rows:
         by_target.setdefault(r[0], []).append(r)
     for target, mine in by_target.items():
-        requests = [pickle.loads(zstandard.decompress(r[2])) for r in mine]  # strings, parts, lowest documents
-        lowest: list[dict[bytes, int]] = [{} for _ in range(PARTS)]
-        for strings, parts, ids in requests:
-            for s, p, d in zip(strings, parts.tolist(), ids.tolist()):
-                known = lowest[p]
-                if d < known.get(s, NOBODY) or s not in known:
-                    known[s] = d
-        answers: dict[tuple[bytes, int], bytes] = {}
-        group: list[tuple[bytes, int]] = []
-        size = 0
-        for p in range(PARTS):
-            # a window belongs to one part, so small parts can share a suffix array
-            group += [(text, p) for text in lowest[p]]
-            size += sum(map(len, lowest[p]))
-            if group and (size >= SHARD_BYTES or p == PARTS - 1):
-                ids = np.fromiter((lowest[q][text] for text, q in group), np.int64, len(group))
-                for key, runs in zip(group, first_documents([text for text, _ in group], ids)):
-                    change = np.concatenate(([0], np.nonzero(runs[1:] != runs[:-1])[0] + 1, [len(runs)]))
-                    answers[key] = np.stack((np.diff(change), runs[change[:-1]])).tobytes()
+        requests = [pickle.loads(zstandard.decompress(r[2])) for r in mine]  # strings, marks, lowest documents
+        lowest: dict[tuple[int, bytes], int] = {}
+        for strings, marks, ids in requests:
+            for key, d in zip(zip(marks.tolist(), strings), ids.tolist()):
+                if d < lowest.get(key, NOBODY) or key not in lowest:
+                    lowest[key] = d
+        answers: dict[tuple[int, bytes], bytes] = {}
+        group: list[tuple[int, bytes]] = []
+        size, keys = 0, sorted(lowest)
+        for i, key in enumerate(keys):
+            alone = (i == 0 or keys[i - 1][0] != key[0]) and (i + 1 == len(keys) or keys[i + 1][0] != key[0])
+            if alone:  # no other string has its windows: there is nothing to sort
+                answers[key] = np.array([len(key[1]) - LENGTH + 1, lowest[key]]).tobytes()
+                continue
+            if size >= SHARD_BYTES and keys[i - 1][0] != key[0]:
+                _answer(group, lowest, answers)
                 group, size = [], 0
-        for r, (strings, parts, _) in zip(mine, requests):
-            out = [answers[s, p] for s, p in zip(strings, parts.tolist())]
+            group.append(key)
+            size += len(key[1])
+        _answer(group, lowest, answers)
+        for r, (strings, marks, _) in zip(mine, requests):
+            out = [answers[key] for key in zip(marks.tolist(), strings)]
             sizes = np.fromiter(map(len, out), np.int32, len(out))
             yield _rows([(target, r[1], zstandard.compress(sizes.tobytes() + b"".join(out), 1), np.array([len(out)], np.int64).tobytes())])
 
@@ -251,7 +262,7 @@ def repeated_spans(docs: DataFrame, text: str = "text", frequent: int = FREQUENT
     Windows of 50 bytes are dealt to shards by an anchor, the smallest hash of a run of 20 bytes in them, so equal
     windows meet. A first exchange finds the anchors that occur in more than one document (each batch of documents names
     an anchor once); only the text around those is sent, each distinct string once per batch. A shard's distinct strings
-    get a suffix array by induced sorting; neighbours that share 50 bytes form the groups of equal windows, and the
+    get a suffix array by induced sorting (a string that is the only one around its anchor needs none); neighbours that share 50 bytes form the groups of equal windows, and the
     smallest document of each group returns to the batches. A frequent anchor's windows are dealt one by one by a hash
     of all their bytes, so it fills no shard.
     """
@@ -280,26 +291,26 @@ def repeated_spans(docs: DataFrame, text: str = "text", frequent: int = FREQUENT
         for batch in batches:
             for number, packed, answers in zip(*(batch.column(i).to_pylist() for i in range(3))):
                 b = Batch(packed, buckets)
-                strings, index, _, _, document, bucket, part = b.strings(*shared_of(answers), buckets)
+                strings, index, _, _, document, bucket, mark = b.strings(*shared_of(answers), buckets)
                 ids = np.array([NOBODY if i is None else i for i in b.ids], np.int64)
                 lowest = np.full(len(strings), NOBODY)
                 np.minimum.at(lowest, index, ids[document])
                 first = np.full(len(strings), -1)
                 first[index[::-1]] = np.arange(len(index))[::-1]
-                home, own = bucket[first], part[first]
+                home, own = bucket[first], mark[first]
                 order = np.argsort(home, kind="stable")
                 bounds = np.searchsorted(home[order], np.arange(buckets + 1))
                 for t in range(buckets):
                     mine = order[bounds[t] : bounds[t + 1]]
                     if len(mine):
-                        content = pickle.dumps(([strings[i] for i in mine.tolist()], own[mine].astype(np.uint8), lowest[mine]))
+                        content = pickle.dumps(([strings[i] for i in mine.tolist()], own[mine].astype(np.uint32), lowest[mine]))
                         yield _rows([(t, number, zstandard.compress(content, 3), None)])
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for packed, answers, found in zip(*(batch.column(i).to_pylist() for i in range(3))):
                 b = Batch(packed, buckets)
-                strings, index, start, end, document, bucket, part = b.strings(*shared_of(answers), buckets)
+                strings, index, start, end, document, bucket, _ = b.strings(*shared_of(answers), buckets)
                 ids = np.array([NOBODY if i is None else i for i in b.ids], np.int64)
                 covered = np.zeros(len(b.data) + 1, np.int64)
                 if len(strings):
