@@ -96,7 +96,7 @@ class Batch:
         A run of windows with one shared anchor is one string; under a frequent anchor each window is its own, dealt by
         a hash of all of it.
         """
-        hit = np.isin(self.key, shared)
+        hit = np.isin(self.key, shared, kind="sort")
         start, end, document = self.start[hit], self.end[hit], self.document[hit]
         bucket, mark = self.bucket[hit], (self.tag[hit] & np.uint64(0xFFFFFFFF)).astype(np.int64)
         often = np.isin(self.key[hit], frequent)
@@ -274,8 +274,11 @@ def repeated_spans(docs: DataFrame, text: str = "text", frequent: int = FREQUENT
         for batch in batches:
             for number, packed in zip(*(batch.column(i).to_pylist() for i in range(2))):
                 b = Batch(packed, buckets)
-                pairs = np.unique(np.stack((b.key.view(np.int64), b.document), axis=1), axis=0) if len(b.key) else np.zeros((0, 2), np.int64)
-                keys, counts = np.unique(pairs[:, 0], return_counts=True)
+                order = np.lexsort((b.document, b.key))
+                key, document = b.key[order].view(np.int64), b.document[order]
+                new_key = np.append(True, key[1:] != key[:-1])[: len(key)]
+                new_document = new_key | np.append(True, document[1:] != document[:-1])[: len(key)]
+                keys, counts = key[new_key], np.add.reduceat(new_document.astype(np.int64), np.nonzero(new_key)[0]) if len(key) else key
                 bounds = np.searchsorted(keys >> 40, np.arange(buckets + 1))
                 tags = (keys & ((1 << 40) - 1)).astype(np.uint64)
                 for t in range(buckets):
