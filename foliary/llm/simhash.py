@@ -245,21 +245,19 @@ def similar_documents(docs: DataFrame, shingle: int = 5, most: int = 9, lanes: i
 
     Documents are linked if, in any of ``lanes`` independent fingerprints of their five-word shingles, they differ in at
     most ``most`` of 64 bits (9 bits: a cosine of 0.90, a resemblance of about 0.83). Links of 3 bits or fewer are complete in each lane; those of up
-    to ``most`` are found if they share a codeword key, which several lanes make likely. Links of a lane are turned into
-    links of documents through the first document of each fingerprint, so copies stay a star, not pairs.
+    to ``most`` are found if they share a codeword key, which several lanes make likely. Links are turned into links
+    of documents through the first document of each fingerprint, so copies stay a star, not pairs.
     Rows without doc_id take no part; rows that share one are one document. Blank texts are copies of each other.
     """
     marked = materialize(fingerprints(docs, shingle, text=text, lanes=lanes).filter("doc_id IS NOT NULL"), "fingerprints")
-    edges = None
-    for lane in range(lanes):
-        own = marked.select("doc_id", F.col(f"fp{lane}").alias("fp"))
-        nodes = materialize(own.groupBy("fp").agg(F.min("doc_id").alias("first")), "nodes")
-        a = nodes.select(F.col("fp").alias("a"), F.col("first").alias("first_a"))
-        b = nodes.select(F.col("fp").alias("b"), F.col("first").alias("first_b"))
-        links = fingerprint_links(nodes, most).distinct().join(a, "a").join(b, "b").select(F.col("first_a").alias("a"), F.col("first_b").alias("b"))
-        copies = own.join(nodes, "fp").filter("doc_id <> first").select(F.col("doc_id").alias("a"), F.col("first").alias("b"))
-        links = materialize(links.union(copies), "lane")
-        edges = links if edges is None else edges.union(links)
+    # the fingerprints of all lanes are values of one table: values of two lanes meet only by an accident of 64 bits
+    own = marked.select("doc_id", F.explode(F.array(*(f"fp{i}" for i in range(lanes)))).alias("fp")).distinct()
+    nodes = materialize(own.groupBy("fp").agg(F.min("doc_id").alias("first")), "nodes")
+    a = nodes.select(F.col("fp").alias("a"), F.col("first").alias("first_a"))
+    b = nodes.select(F.col("fp").alias("b"), F.col("first").alias("first_b"))
+    links = fingerprint_links(nodes, most).distinct().join(a, "a").join(b, "b").select(F.col("first_a").alias("a"), F.col("first_b").alias("b"))
+    copies = own.join(nodes, "fp").filter("doc_id <> first").select(F.col("doc_id").alias("a"), F.col("first").alias("b"))
+    edges = links.union(copies)
     return components(edges).select(F.col("node").alias("doc_id"), F.col("root").alias("component_id"))
 
 
