@@ -17,9 +17,6 @@ from foliary.session import read_table
 
 PAGE_LINES = 4
 
-# Tables with long texts, and their keys.
-TEXT_TABLES = {"documents": "doc_id", "pages": "page_id"}
-
 # Searches of one session share the index of a folder: it is a stored table, written once.
 _STORED: dict[tuple[str, str, str], search.Index] = {}
 
@@ -45,7 +42,7 @@ class Tables:
         self.spark, self.folder = spark, folder.rstrip("/")
 
     def raw(self, name: str) -> DataFrame:
-        return read_table(self.spark, f"{self.folder}/{name}.parquet", TEXT_TABLES.get(name))
+        return read_table(self.spark, f"{self.folder}/{name}.parquet")
 
     @cached_property
     def documents(self) -> DataFrame:

@@ -45,16 +45,6 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def read_table(spark: SparkSession, path: str, key: str | None = None) -> DataFrame:
-    """Read a Parquet table. One that is smaller than one full-size split per core is spread over the cores by ``key``.
-
-    Such a table often sits in one row group, which a scan gives to a single task. Its size is known from the file
-    listing, so the exchange is bounded; a large table has splits enough and is read in place."""
-    df = spark.read.parquet(path)
-    if key is None:
-        return df
-    cores = spark.sparkContext.defaultParallelism
-    split = int(spark.sparkContext._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get("spark.sql.files.maxPartitionBytes").removesuffix("b")))
-    place = spark._jvm.org.apache.hadoop.fs.Path(path)
-    size = place.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(place).getLength()
-    return df.repartition(cores, key) if size < cores * split else df
+def read_table(spark: SparkSession, path: str) -> DataFrame:
+    """Read a Parquet table in place."""
+    return spark.read.parquet(path)
