@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,7 +18,8 @@ from foliary.llm.common import as_bytes, documents, materialize, query
 
 WINDOW, END_ID, STEP = 4096, 2, 16
 TOKENIZER = "word_bpe_49k.json"
-CACHED_WORDS = 400_000  # a worker forgets its words when it knows this many; this bounds its memory, not the result
+# A worker forgets its words when it knows this many, and long ones at once; this bounds its memory, not the result.
+CACHED_WORDS, CACHED_BYTES = 1_000_000, 64
 SPREAD = 256  # parts that a length class is ranked in
 
 _cache: dict[str, tuple[Tokenizer, dict[bytes, bytes]]] = {}
@@ -40,11 +42,17 @@ def token_bytes(texts: list[bytes], path: str) -> Iterator[bytes]:
         split = [t.split() for t in texts[at : at + 500]]
         if len(known) > CACHED_WORDS:
             known.clear()
-        new = list({w for words in split for w in words if w not in known})
+        words = set()
+        for text in split:
+            words.update(text)
+        new = list(words.difference(known))
         for word, found in zip(new, tokenizer.encode_batch_fast([w.decode() for w in new], add_special_tokens=False)):
-            known[word] = np.array(found.ids, "<u4").tobytes()
-        for words in split:
-            yield b"".join(map(known.__getitem__, words))
+            known[word] = array("I", found.ids).tobytes()
+        for text in split:
+            yield b"".join(map(known.__getitem__, text))
+        for word in new:
+            if len(word) > CACHED_BYTES:
+                del known[word]
 
 
 def pieces(docs: DataFrame, window: int = WINDOW, end_id: int = END_ID, path: str | None = None, text: str = "text") -> DataFrame:
