@@ -19,6 +19,7 @@ LEAST_WORDS = 5  # shorter items are not passages
 SAMPLED = 4  # coordinates per key
 AGREEMENT = 0.55  # share of coordinates in which the walks of a match are expected to agree, at least
 RECALL = 0.99
+VERIFIED = 4096  # pairs whose edit tables are worked out together
 BLOCK_ITEMS, BLOCK_WORDS = 1000, 200_000  # of the benchmark that one pass over the documents answers
 
 
@@ -71,23 +72,27 @@ def keys(windows: np.ndarray, times: int, sampled: int = SAMPLED) -> np.ndarray:
     return out
 
 
-def best_match(item: np.ndarray, region: np.ndarray) -> tuple[int, int, int]:
-    """(edit distance, start, end) of the part of ``region`` nearest to ``item``: exact, by rows of the edit table."""
-    width = len(region) + 1
-    cost, start = np.zeros(width, np.int64), np.arange(width)
-    steps = np.arange(width)
-    for symbol in item:
-        up, cross = cost + 1, np.full(width, 1 << 30)
-        cross[1:] = cost[:-1] + (region != symbol)
-        new = np.minimum(up, cross)
-        origin = np.where(cross <= up, np.concatenate(([0], start[:-1])), start)
+def best_matches(items: np.ndarray, regions: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(edit distance, start, end) of the part of each region nearest to the item in the same row: exact, by rows of the
+    edit tables of all pairs. Regions are filled up on the right with a symbol that no item has; as the first of equal
+    ends counts, no match ends there."""
+    n, width = len(regions), regions.shape[1] + 1
+    steps = np.arange(width, dtype=np.int32)
+    cost, start = np.zeros((n, width), np.int32), np.tile(steps, (n, 1))
+    cross, origin = np.full((n, width), 1 << 30, np.int32), np.zeros((n, width), np.int32)
+    for symbol in items.T:
+        cost += 1
+        cross[:, 1:] = cost[:, :-1] - (regions == symbol[:, None])
+        diagonal = cross <= cost
+        origin[:, 1:] = start[:, :-1]
+        origin = np.where(diagonal, origin, start)
         # a step to the right costs one: the best is the smallest of cost - position so far, the last such place
-        level = new - steps
-        low = np.minimum.accumulate(level)
-        source = np.maximum.accumulate(np.where(level == low, steps, 0))
-        cost, start = low + steps, origin[source]
-    end = int(np.argmin(cost))
-    return int(cost[end]), int(start[end]), end
+        level = np.minimum(cost, cross) - steps
+        low = np.minimum.accumulate(level, axis=1)
+        source = np.maximum.accumulate(np.where(level == low, steps, 0), axis=1)
+        cost, start = low + steps, np.take_along_axis(origin, source, axis=1)
+    row, end = np.arange(n), np.argmin(cost, axis=1)
+    return cost[row, end], start[row, end], end
 
 
 @dataclass
@@ -99,6 +104,9 @@ class Index:
     vocabulary: dict[bytes, int] = field(default_factory=dict)
     items: dict[int, list[tuple[int, np.ndarray]]] = field(default_factory=dict)  # by number of words
     keys: dict[int, np.ndarray] = field(default_factory=dict)
+    orders: dict[int, tuple[np.ndarray, np.ndarray]] = field(default_factory=dict)  # keys of each repetition in order
+    runs: dict[int, tuple[np.ndarray, np.ndarray]] = field(default_factory=dict)  # words in a row, and where in an item
+    all_runs: dict[int, np.ndarray] = field(default_factory=dict)  # those of all items, by their number of words
 
     @classmethod
     def build(cls, items: list[tuple[int, list[bytes]]], similarity: float, recall: float) -> Index:
@@ -108,6 +116,15 @@ class Index:
             index.items.setdefault(len(words), []).append((item_id, ids))
         for m, group in index.items.items():
             index.keys[m] = keys(np.stack([ids for _, ids in group]), index.times)
+            order = np.argsort(index.keys[m], axis=0, kind="stable")
+            index.orders[m] = order, np.take_along_axis(index.keys[m], order, axis=0)
+        for m, group in index.items.items():
+            length = shared_run(m, similarity)
+            if length not in index.all_runs:
+                index.all_runs[length] = np.unique(np.concatenate([index._grams(ids, length) for g in index.items.values() for _, ids in g]))
+            grams = np.concatenate([index._grams(ids, length)[: m - length + 1] for _, ids in group])
+            order = np.argsort(grams, kind="stable")
+            index.runs[m] = grams[order], np.tile(np.arange(m - length + 1), len(group))[order]
         return index
 
     def _grams(self, symbols: np.ndarray, length: int) -> np.ndarray:
@@ -127,23 +144,20 @@ class Index:
         known = np.concatenate(([0], np.cumsum(symbols > 0)))
         grams: dict[int, tuple[np.ndarray, np.ndarray]] = {}
         out = {}
-        for m, group in self.items.items():
+        for m in self.items:
             e, length = edits(m, self.similarity), shared_run(m, self.similarity)
             if length not in grams:
-                all_grams = self._grams(symbols, length)
+                all_grams, own = self._grams(symbols, length), self.all_runs[length]
                 at = np.nonzero(all_grams >= 0)[0]
-                own = np.unique(np.concatenate([self._grams(ids, length) for g in self.items.values() for _, ids in g]))
                 slot = np.minimum(np.searchsorted(own, all_grams[at]), len(own) - 1)
                 at = at[own[slot] == all_grams[at]]
                 grams[length] = at, all_grams[at]
             at, value = grams[length]
-            item_grams = np.concatenate([self._grams(ids, length)[: m - length + 1] for _, ids in group])
-            shift = np.tile(np.arange(m - length + 1), len(group))
-            order = np.argsort(item_grams, kind="stable")
-            low, high = (np.searchsorted(item_grams[order], value, side=s) for s in ("left", "right"))
+            item_grams, shift = self.runs[m]
+            low, high = (np.searchsorted(item_grams, value, side=s) for s in ("left", "right"))
             count = high - low
             inner = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-            centre = np.unique(np.repeat(at, count) - shift[order][np.repeat(low, count) + inner])
+            centre = np.unique(np.repeat(at, count) - shift[np.repeat(low, count) + inner])
             places = np.unique((centre[:, None] + np.arange(-e, e + 1)).ravel())
             places = places[(places >= 0) & (places < len(symbols))]
             out[m] = places[known[np.minimum(places + m, len(symbols))] - known[places] >= m - e]
@@ -154,10 +168,10 @@ class Index:
         document = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
         found: dict[tuple[int, int], tuple[int, int, int]] = {}
         for m, starts in self.starts(symbols).items():
-            e, group = edits(m, self.similarity), self.items[m]
+            e, ids = edits(m, self.similarity), np.stack([x for _, x in self.items[m]])
             length = offsets[document[starts] + 1] - starts
             starts = starts[length >= m - e]
-            orders = np.argsort(self.keys[m], axis=0, kind="stable")
+            orders, ordered_keys = self.orders[m]
             for part in range(0, len(starts), 20_000):
                 at = starts[part : part + 20_000]
                 place = at[:, None] + np.arange(m)  # past the end of a text a window is filled with unknown words
@@ -165,26 +179,25 @@ class Index:
                 near = keys(windows, self.times)
                 pairs = set()
                 for j in range(self.times):
-                    ordered = self.keys[m][orders[:, j], j]
+                    ordered = ordered_keys[:, j]
                     low, high = (np.searchsorted(ordered, near[:, j], side=s) for s in ("left", "right"))
                     for i in np.nonzero(high > low)[0].tolist():
                         pairs.update((i, g) for g in orders[low[i] : high[i], j].tolist())
-                for i, g in sorted(pairs):
-                    self._verify(group[g], int(at[i]), int(document[at[i]]), e, symbols, offsets, found)
+                chosen = np.array(sorted(pairs), np.int64).reshape(-1, 2)
+                for some in range(0, len(chosen), VERIFIED):
+                    i, g = chosen[some : some + VERIFIED].T
+                    doc = document[at[i]]
+                    first = np.maximum(offsets[doc], at[i] - e)
+                    place = first[:, None] + np.arange(m + 2 * e)
+                    last = np.minimum(offsets[doc + 1], at[i] + m + e)
+                    regions = np.where(place < last[:, None], symbols[np.minimum(place, len(symbols) - 1)], 0)
+                    cost, start, end = best_matches(ids[g], regions)
+                    for k in np.nonzero(cost <= e)[0].tolist():
+                        key, shift = (int(doc[k]), self.items[m][g[k]][0]), int(first[k] - offsets[doc[k]])
+                        if key not in found or cost[k] < found[key][0]:
+                            found[key] = int(cost[k]), shift + int(start[k]), shift + int(end[k])
         return found
 
-    @staticmethod
-    def _verify(item, at, doc, e, symbols, offsets, found) -> None:
-        item_id, ids = item
-        best = found.get((doc, item_id))
-        first, last = int(offsets[doc]), int(offsets[doc + 1])
-        if best and best[1] - e <= at - first <= best[1] + e:
-            return
-        a, b = max(first, at - e), min(last, at + len(ids) + e)
-        cost, start, end = best_match(ids, symbols[a:b])
-        if cost <= e and (not best or cost < best[0]):
-            found[doc, item_id] = (cost, a - first + start, a - first + end)
-
 
 def _blocks(benchmark: DataFrame, least: int) -> Iterator[list[tuple[int, list[bytes]]]]:
     """Benchmark items as lists of lower-cased words, in blocks of bounded size; the driver holds one at a time."""
