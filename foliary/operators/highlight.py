@@ -12,97 +12,81 @@ from foliary.functions import text as tx
 # Fixed values.
 MAX_WORDS = 24
 DASHES = "[-\u2010-\u2015\u2212]"
-SPACE = f"[{tx.WHITESPACE}\ufeff]"
+BLANKS = f"{tx.WHITESPACE}\ufeff"
 LETTER = "[\\p{L}\\p{N}]"
 
-OPEN, CLOSE = "\u0001", "\u0002"
-
-
-def phrase_words(query: str) -> list[str]:
-    """Ordered words of a query with the punctuation people search for; repeats stay, order matters."""
-    words = ("".join(ch for ch in word if ch.isalpha() or ch.isnumeric() or ch in "_/()-") for word in query.lower().split())
-    return [word for word in words if word][:MAX_WORDS]
-
-
-def phrase_pattern(words: list[str], gap: str) -> str | None:
-    """Regular expression of the words in a row. A typed hyphen matches any dash, with white space around it, and word
-    boundaries apply only at an end that is a letter or digit."""
-    if not words:
+# Code points that are never text: begin and end of a hit, and the seam between two items.
+BEGIN, END, SEAM = "\ufdd0", "\ufdd1", "\ufdd2"
+
+UNIT = re.compile(r"(?P<letters>[^\W_]+)|(?P<dash>-)|(?P<sign>[_/()])|(?P<blank>\s+)", re.IGNORECASE)
+
+
+def phrase_expression(query: str, blanks: str, apart: bool) -> str | None:
+    """Java expression of a phrase, or None where the query has nothing to look for.
+
+    The query is read once, unit by unit: runs of letters and digits, signs and dashes stand for themselves, a dash for
+    any dash with ``blanks`` around it; whatever else is typed is passed over. Between two words there are ``blanks``,
+    at least one of them if ``apart``. A phrase that begins or ends in letters does not begin or end inside a run of them.
+    """
+    parts, kinds, words, between = [], [], 0, True
+    for unit in UNIT.finditer(query.lower()):
+        kind = unit.lastgroup
+        if kind == "blank":
+            between = True
+            continue
+        if between:
+            if words == MAX_WORDS:
+                break
+            if words:
+                parts.append(f"[{blanks}]" + ("+" if apart else "*"))
+            words, between = words + 1, False
+        kinds.append(kind)
+        parts.append(f"[{blanks}]*{DASHES}[{blanks}]*" if kind == "dash" else f"\\Q{unit[0]}\\E")
+    if not kinds:
         return None
+    edges = [f"(?<!{LETTER})" if kinds[0] == "letters" else "", f"(?!{LETTER})" if kinds[-1] == "letters" else ""]
+    return "(?iu)" + "".join(parts).join(edges)
+
 
-    def literal(word: str) -> str:
-        return "".join(f"{SPACE}*{DASHES}{SPACE}*" if ch == "-" else re.sub(r"[^\w\s]", r"\\\g<0>", ch) for ch in word)
+def _plain(text: Column) -> Column:
+    return F.translate(F.coalesce(text, F.lit("")), BEGIN + END + SEAM, "")
 
-    def is_letter(ch: str) -> bool:
-        return ch.isalpha() or ch.isnumeric()
 
-    before = f"(?<!{LETTER})" if is_letter(words[0][0]) else ""
-    after = f"(?!{LETTER})" if is_letter(words[-1][-1]) else ""
-    return f"(?iu){before}(?:{gap.join(map(literal, words))}){after}"
+def _html(marked: Column) -> Column:
+    escaped = tx.escape_html(F.replace(marked, F.lit(BEGIN + END), F.lit("")))
+    return F.replace(F.replace(escaped, F.lit(BEGIN), F.lit("<mark>")), F.lit(END), F.lit("</mark>"))
 
 
 def phrase_highlight(texts: DataFrame, query: str, column: str = "text") -> DataFrame:
     """Number of phrase hits and the escaped text with the hits marked. Whole texts, one pass, no shuffle."""
-    pattern = phrase_pattern(phrase_words(query), f"{SPACE}+")
-    text = F.col(column)
-    if pattern is None:
+    expression = phrase_expression(query, BLANKS, apart=True)
+    text = _plain(F.col(column))
+    if expression is None:
         return texts.withColumn("hits", F.lit(0).cast("bigint")).withColumn("html", tx.escape_html(text))
-    marked = tx.escape_html(F.regexp_replace(text, pattern, f"{OPEN}$0{CLOSE}"))
-    html = F.replace(F.replace(marked, F.lit(OPEN), F.lit("<mark>")), F.lit(CLOSE), F.lit("</mark>"))
-    return texts.withColumn("hits", F.regexp_count(text, F.lit(pattern)).cast("bigint")).withColumn("html", html)
+    hits = F.regexp_count(text, F.lit(expression)).cast("bigint")
+    return texts.withColumn("hits", hits).withColumn("html", _html(F.regexp_replace(text, expression, f"{BEGIN}$0{END}")))
 
 
 def highlight_items(items: DataFrame, query: str) -> DataFrame:
     """Mark phrase hits that may run across the text items of a page (``page_id, item_no, text``).
 
-    The items of a page are joined with single spaces, matched there, and each match is mapped back to the items it
-    covers. Groups are the items of one page."""
-    pattern = phrase_pattern(phrase_words(query), f"{SPACE}*")
-    if pattern is None:
-        return items.select("page_id", "item_no", tx.escape_html(F.col("text")).alias("html"))
-    ordered = F.sort_array(F.collect_list(F.struct("item_no", "text")))
-    pages = items.groupBy("page_id").agg(ordered.alias("items"))
-    none = F.array().cast("array<struct<first:int,last:int>>")
-
-    # No separator goes before the first item that has text.
-    def place(spans: Column, item: Column) -> Column:
-        end = F.coalesce(F.try_element_at(spans, F.lit(-1))["last"], F.lit(0))
-        first = F.when(end > 0, end + 1).otherwise(0)
-        return F.concat(spans, F.array(F.struct(first.alias("first"), (first + F.length(item["text"])).alias("last"))))
-
-    texts = F.transform("items", lambda item: item["text"])
-    leading = F.length(F.regexp_extract(F.array_join(F.transform(texts, lambda t: F.when(t == "", "").otherwise("x")), " "), "^( *)", 1))
-    pages = pages.withColumn("spans", F.aggregate("items", none, place)).withColumn(
-        "joined", F.substr(F.array_join(texts, " "), leading + 1)
-    )
-    pages = pages.withColumn("found", F.regexp_extract_all("joined", F.lit(pattern), F.lit(0))).withColumn("rest", F.split("joined", pattern))
-
-    def match(found: Column, position: Column) -> Column:
-        before = F.aggregate(F.slice("rest", F.lit(1), position + 1), F.lit(0), lambda n, part: n + F.length(part))
-        earlier = F.aggregate(F.slice("found", F.lit(1), position), F.lit(0), lambda n, part: n + F.length(part))
-        return F.struct((before + earlier).alias("first"), (before + earlier + F.length(found)).alias("last"))
-
-    pages = pages.withColumn("matches", F.transform("found", match))
-
-    def mark(item: Column, position: Column) -> Column:
-        span = F.col("spans")[position]
-        local = F.transform(
-            "matches",
-            lambda m: F.struct(
-                (F.greatest(m["first"], span["first"]) - span["first"]).alias("first"), (F.least(m["last"], span["last"]) - span["first"]).alias("last")
-            ),
-        )
-        ranges = F.filter(local, lambda r: r["last"] > r["first"])
-        piece = lambda a, b: tx.escape_html(F.substr(item["text"], a + 1, b - a))
-        start = F.struct(F.lit("").alias("html"), F.lit(0).alias("at"))
-        body = F.aggregate(
-            ranges,
-            start,
-            lambda acc, r: F.struct(
-                F.concat(acc["html"], piece(acc["at"], r["first"]), F.lit("<mark>"), piece(r["first"], r["last"]), F.lit("</mark>")).alias("html"),
-                r["last"].alias("at"),
-            ),
-        )
-        return F.struct(item["item_no"].alias("item_no"), F.concat(body["html"], piece(body["at"], F.length(item["text"]))).alias("html"))
-
-    return pages.select("page_id", F.explode(F.transform("items", mark)).alias("item")).select("page_id", "item.*")
+    The items of a page become one text with seams, which count as blanks; hits are marked there, a hit is closed before
+    each seam in it and opened again behind it, and the text is taken apart at its seams. Linear in the text of a page.
+    Groups are the items of one page."""
+    expression = phrase_expression(query, BLANKS + SEAM, apart=False)
+    if expression is None:
+        return items.select("page_id", "item_no", tx.escape_html(_plain(F.col("text"))).alias("html"))
+    in_order = F.sort_array(F.collect_list(F.struct("item_no", _plain(F.col("text")).alias("text"))))
+    pages = items.groupBy("page_id").agg(in_order.alias("items"))
+    marked = F.regexp_replace(F.array_join("items.text", SEAM), expression, f"{BEGIN}$0{END}")
+
+    def reopened(part: Column) -> Column:
+        """What follows the begin of a hit: the hit itself, its end, and text without a hit."""
+        hit = F.substring_index(part, END, 1)
+        return F.concat(F.replace(hit, F.lit(SEAM), F.lit(END + SEAM + BEGIN)), F.substr(part, F.length(hit) + 1))
+
+    parts = F.split("marked", BEGIN)
+    whole = F.array_join(F.concat(F.slice(parts, 1, 1), F.transform(F.slice(parts, F.lit(2), F.size(parts)), reopened)), BEGIN)
+    pieces = pages.withColumn("marked", marked).withColumn("html", F.split(whole, SEAM))
+    rows = pieces.select("page_id", F.explode(F.arrays_zip(F.col("items.item_no").alias("item_no"), "html")).alias("item"))
+    return rows.select("page_id", "item.item_no", _html(F.col("item.html")).alias("html"))

@@ -231,12 +231,12 @@ class Tables:
         level = F.when(F.col("event_type") == "error", "ERROR").when(F.col("event_type") == "signup", "WARN").otherwise("INFO")
         number = i.cast("string")
         text = (
-            F.when(i % 6 == 0, F.concat(F.lit("api_key=sk-or-v1-abc"), number, F.lit("xyz used")))
-            .when(i % 6 == 1, F.concat(F.lit("processing /var/data/in/file"), number, F.lit(".pdf now")))
-            .when(i % 6 == 2, F.concat(F.lit("pdfium=\\\\?\\C:\\Users\\bin\\lib"), number, F.lit(".dll")))
-            .when(i % 6 == 3, F.concat(F.lit("share \\\\host\\folder\\scan"), number, F.lit(".pdf")))
-            .when(i % 6 == 4, F.concat(F.repeat(F.lit("Recognized text "), 16), number))
-            .otherwise(F.concat(F.lit("props "), "props", F.lit(' token = "sk-short"')))
+            F.when(i % 6 == 0, F.concat(F.lit("model call "), number, F.lit(" signed sk-ant-demo_"), number, F.lit(" accepted")))
+            .when(i % 6 == 1, F.concat(F.lit("stored page image /srv/scans/batch/page"), number, F.lit(".png in time")))
+            .when(i % 6 == 2, F.concat(F.lit("loaded \\\\?\\D:\\Tools\\ocr\\engine"), number, F.lit(".bin")))
+            .when(i % 6 == 3, F.concat(F.lit("copied \\\\nas\\archive\\letter"), number, F.lit(".pdf")))
+            .when(i % 6 == 4, F.concat(F.repeat(F.lit("lorem folio "), 20), number))
+            .otherwise(F.concat(F.lit("quota "), number, F.lit(" of sk-few tokens, props "), "props"))
         )
         return e.select(
             F.concat(F.lit("app-"), F.col("user_id").cast("string"), F.lit(".log")).alias("file"),
@@ -331,12 +331,12 @@ SELECT 1000000000 + page_id, '/drop/' || upper(regexp_extract(url, '^https?://[^
     "log_lines": r"""
 SELECT 'app-' || user_id || '.log' AS file, event_id AS line_no,
   '2024 ' || CASE event_type WHEN 'error' THEN 'ERROR' WHEN 'signup' THEN 'WARN' ELSE 'INFO' END || ' ' ||
-  CASE event_id % 6 WHEN 0 THEN 'api_key=sk-or-v1-abc' || event_id || 'xyz used'
-    WHEN 1 THEN 'processing /var/data/in/file' || event_id || '.pdf now'
-    WHEN 2 THEN 'pdfium=\\?\C:\Users\bin\lib' || event_id || '.dll'
-    WHEN 3 THEN 'share \\host\folder\scan' || event_id || '.pdf'
-    WHEN 4 THEN repeat('Recognized text ', 16) || event_id
-    ELSE 'props ' || props || ' token = "sk-short"' END AS line
+  CASE event_id % 6 WHEN 0 THEN 'model call ' || event_id || ' signed sk-ant-demo_' || event_id || ' accepted'
+    WHEN 1 THEN 'stored page image /srv/scans/batch/page' || event_id || '.png in time'
+    WHEN 2 THEN 'loaded \\?\D:\Tools\ocr\engine' || event_id || '.bin'
+    WHEN 3 THEN 'copied \\nas\archive\letter' || event_id || '.pdf'
+    WHEN 4 THEN repeat('lorem folio ', 20) || event_id
+    ELSE 'quota ' || event_id || ' of sk-few tokens, props ' || props END AS line
 FROM events""",
     "known_names": r"""
 SELECT document_id, display_name, original_path,

@@ -66,9 +66,9 @@ def test_naming_inputs_join_parts_in_order(spark):
 @pytest.mark.parametrize(
     "line, shown",
     [
-        ("api_key=sk-or-v1-abc..xyz", "api_key=<API_KEY>"), ("processing /very/long/sensitive/path/secret.pdf", "processing secret.pdf"),
-        (r"pdfium=\\?\C:\Users\jane\bin\pdfium\pdfium.dll", "pdfium=pdfium.dll"), ("Recognized text " * 16, "<TEXT len=256>"), ('token = "sk-short"', 'token = "sk-short"'),
-        (r"see \\host\share\a.pdf", "see a.pdf"), ("x" * 200, "x" * 200),
+        ("signed sk-ant-demo_7 twice", "signed <API_KEY> twice"), ("image (/srv/scans/b/p7.png)", "image (p7.png)"), ("moved /one.png", "moved /one.png"),
+        (r"loaded \\?\D:\Tools\ocr\e.bin", "loaded e.bin"), ("folio " * 40, "<TEXT len=240>"), ("quota sk-few", "quota sk-few"),
+        (r"copied \\nas\archive\l.pdf", "copied l.pdf"), ("y" * 200, "y" * 200), ("y" * 201, "<TEXT len=201>"),
     ],
 )
 def test_redaction(spark, line, shown):
