@@ -11,17 +11,31 @@ from foliary.functions import text as tx
 # Fixed values.
 SCALE_BOUNDS = (20.0, 400.0)
 BAND_PX = 10
-ENTITIES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&#39;", "'"), ("&#34;", '"'), ("&amp;", "&"))
+ENTITIES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"))
+REFERENCE = "^(?:[xX]([0-9a-fA-F]{1,6})|([0-9]{1,7}));"  # what follows "&#" in a character reference
 
 BLOCK_OPEN = r"""(?i)<div[^>]*class=(?:'[^']*(?:ocr_carea|ocrx_block)[^']*'|"[^"]*(?:ocr_carea|ocrx_block)[^"]*")[^>]*>"""
 LINE_OPEN = r"""(?i)<span[^>]*class=(?:'[^']*ocr_line[^']*'|"[^"]*ocr_line[^"]*")[^>]*>"""
 WORD = r"""(?is)<span(?=[^>]*class=['"][^'"]*ocrx_word)[^>]*(?<!/)>.*?</span>"""
 
 
+def _character(part: Column) -> Column:
+    """Text behind ``&#`` with its reference replaced; left as it is where that is none, or is no character."""
+    digits, decimal = F.regexp_extract(part, REFERENCE, 1), F.regexp_extract(part, REFERENCE, 2)
+    code = F.when(digits != "", F.conv(digits, 16, 10)).otherwise(decimal).try_cast("bigint")
+    valid = code.between(1, 0xD7FF) | code.between(0xE000, 0x10FFFF)
+    safe = F.when(valid, code).otherwise(63)
+    found = F.when(code == 38, "&amp;").otherwise(F.decode(F.unhex(F.lpad(F.hex(safe), 8, "0")), "UTF-32"))
+    return F.when(valid, F.concat(found, F.regexp_replace(part, REFERENCE, ""))).otherwise(F.concat(F.lit("&#"), part))
+
+
 def unescape(text: Column) -> Column:
+    """Named and numbered character references as characters; the ampersand comes last, so nothing is read twice."""
     for entity, char in ENTITIES:
         text = F.replace(text, F.lit(entity), F.lit(char))
-    return text
+    parts = F.split(text, "&#")
+    numbered = F.concat(F.element_at(parts, 1), F.array_join(F.transform(F.slice(parts, F.lit(2), F.size(parts)), _character), ""))
+    return F.replace(F.when(F.contains(text, F.lit("&#")), numbered).otherwise(text), F.lit("&amp;"), F.lit("&"))
 
 
 def hocr_words(pages: DataFrame) -> DataFrame:

@@ -29,6 +29,14 @@ def test_markup_corner_cases(spark):
     assert page["text"] == "a &lt; b\nc\n\nd" and page["mean_confidence"] is None
 
 
+@pytest.mark.parametrize(
+    "markup, text",
+    [("caf&#233; &#xE9;&#x1F600;", "café é😀"), ("&#38;lt; &amp;#233; &#38;amp;", "&lt; &#233; &amp;"), ("&#55296; &#; &#x; &#99999999; a&#", "&#55296; &#; &#x; &#99999999; a&#"), ("&#39;&lt;&#34;", "'<\"")],
+)
+def test_character_references(spark, markup, text):
+    assert spark.createDataFrame([(markup,)], "m string").select(recognition.unescape(F.col("m"))).first()[0] == text
+
+
 def test_quad_to_box(spark):
     quad = [(21.5, 60.2), (70.1, 58.9), (71.4, 80.0), (20.2, 81.3)]
     schema = "page_id bigint, line_id bigint, polygon array<struct<x:double,y:double>>, text string, confidence double, width_px int, height_px int"
