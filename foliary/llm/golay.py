@@ -46,3 +46,27 @@ def nearby(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     words = words.astype(np.uint32)
     syndrome = low[words & 0xFFF] ^ high[words >> 12]
     return ((words[:, None] ^ patterns[syndrome]) >> PARITY).astype(np.uint64), counts[syndrome]
+
+
+@cache
+def _signs() -> np.ndarray:
+    """Every codeword as a column of -1 and 1."""
+    index = np.arange(1 << (LENGTH - PARITY), dtype=np.uint32) << PARITY
+    low, high, _, _ = _tables()
+    words = index ^ low[index & 0xFFF] ^ high[index >> 12]
+    return ((words[None, :] >> np.arange(LENGTH, dtype=np.uint32)[:, None] & 1) * 2.0 - 1).astype(np.float32)
+
+
+def nearest(weights: np.ndarray, number: int, block: int = 512) -> np.ndarray:
+    """Soft decoding: indices of the ``number`` codewords that agree best with each row of 23 signed weights.
+
+    Ties go to the smaller index; weights that are whole numbers are added without rounding."""
+    out = np.empty((len(weights), number), np.int64)
+    for at in range(0, len(weights), block):
+        score = weights[at : at + block].astype(np.float32) @ _signs()
+        rows = np.arange(len(score))
+        for k in range(number):
+            best = score.argmax(axis=1)
+            out[at : at + block, k] = best
+            score[rows, best] = -np.inf
+    return out

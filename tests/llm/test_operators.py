@@ -179,6 +179,59 @@ def test_near_copies_leave_one_document(spark):
     assert kept == {0, *range(len(near) + 1, len(rows))}
 
 
+def test_soft_decoding_gives_the_codewords_that_agree_best():
+    rng = np.random.default_rng(5)
+    weights = rng.integers(-9, 10, (50, 23))
+    signs = golay._signs()
+    assert {golay._remainder(int(sum(1 << i for i in range(23) if column[i] > 0))) for column in signs.T[:200]} == {0}
+    found = golay.nearest(weights, 3, block=7)
+    for row, best in zip(weights, found):
+        score = row @ signs
+        assert best.tolist() == sorted(range(4096), key=lambda c: (-score[c], c))[:3]
+
+
+def test_near_classes_against_resemblance(spark):
+    """Random near copies at every resemblance: nearly all pairs at 0.85 and above are linked, none below 0.6."""
+    rng = np.random.default_rng(6)
+    rows, like = [], {}
+    for pair in range(600):
+        words = rng.integers(0, 10**6, 300)
+        other = words.copy()
+        other[rng.choice(300, pair % 20 + 1, replace=False)] = rng.integers(0, 10**6, pair % 20 + 1)
+        a, b = ({tuple(w[i : i + 5]) for i in range(296)} for w in (words.tolist(), other.tolist()))
+        like[pair] = len(a & b) / len(a | b)
+        rows += [(2 * pair, " ".join(map(str, words))), (2 * pair + 1, " ".join(map(str, other)))]
+    found = simhash.near_classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    linked = {r["node"] // 2 for r in found if r["root"] != r["node"]}
+    assert all(r["node"] // 2 == r["root"] // 2 for r in found)
+    high = [p for p, j in like.items() if j >= 0.85]
+    at = [p for p, j in like.items() if 0.8 <= j < 0.85]
+    assert len(linked & set(high)) >= 0.98 * len(high) and len(high) > 50
+    assert len(linked & set(at)) >= 0.75 * len(at) and len(at) > 20
+    assert not [p for p in linked if like[p] < 0.6]
+
+
+@pytest.mark.parametrize("number", [2, 47, 49, 300])
+def test_a_key_of_many_batches_is_one_group(spark, number):
+    rng = np.random.default_rng(7)
+    words = [f"w{i}" for i in rng.integers(0, 10**6, 400)]
+    rows = [(i, " ".join(words[:i] + [f"x{i}"] + words[i + 1 :])) for i in range(number)]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 10)
+    try:
+        kept = [r["doc_id"] for r in simhash.first_of_each(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert kept == [0]
+
+
+def test_null_ids_stay_and_texts_of_one_id_are_judged_apart(spark):
+    long = " ".join(f"w{i}" for i in range(60))
+    rows = [(3, long), (5, long), (5, long.replace("w", "v")), (None, long), (7, ""), (8, None), (8, "  ")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("root", F.lit(1)).withColumn("node", F.lit(2))
+    kept = [(r["doc_id"], r["text"]) for r in simhash.first_of_each(docs).collect()]
+    assert sorted(kept, key=str) == sorted([(3, long), (5, long.replace("w", "v")), (None, long), (7, "")], key=str)
+
+
 def test_base_counts_are_those_of_brute_force(docs, texts):
     for r in quality.quality_rules(docs).collect():
         t = texts[r["doc_id"]]
