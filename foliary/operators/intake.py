@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -89,46 +88,20 @@ def instability_streaks(checks: DataFrame, slice_width: int = 86_400_000_000) ->
     return streaks.withColumn("alert", F.col("failures") >= ALERT_AFTER)
 
 
-def anchored_dedup(
-    events: DataFrame,
-    keys: Sequence[str],
-    ts: str,
-    window: int = DEDUP_MICROS,
-    inclusive: bool = False,
-    max_group: int = 20_000,
-) -> DataFrame:
+def anchored_dedup(events: DataFrame, keys: Sequence[str], ts: str, window: int = DEDUP_MICROS, inclusive: bool = False) -> DataFrame:
     """Moments at which an event of a key passes: the first one, then each first one after ``window`` measured from
-    the last that *passed*. With ``inclusive`` an event exactly ``window`` later passes too.
-
-    Events of a key at the same moment count once. Keys with up to ``max_group`` distinct moments are folded in place,
-    one key per row. Larger keys are never gathered: see :func:`_dedup_by_jumps`."""
-    moments = events.select(*keys, F.col(ts).cast("bigint").alias("__t")).distinct()
-    sizes = moments.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
-    large = sizes.filter(F.col("__n") > max_group).select(*keys)
-    gap = F.lit(window)
-
-    def step(state: Column, t: Column) -> Column:
-        last = F.try_element_at(state, F.lit(-1))
-        passes = (F.size(state) == 0) | ((t - last >= gap) if inclusive else (t - last > gap))
-        return F.when(passes, F.concat(state, F.array(t))).otherwise(state)
-
-    small = moments.join(large, list(keys), "left_anti").groupBy(*keys).agg(F.sort_array(F.collect_list("__t")).alias("__ts"))
-    folded = small.select(*keys, F.explode(F.aggregate("__ts", F.array().cast("array<bigint>"), step)).alias(ts))
-    if not large.isEmpty():
-        hot = moments.join(large, list(keys), "left_semi")
-        folded = folded.unionByName(_dedup_by_jumps(hot, keys, window, inclusive).withColumnRenamed("__t", ts))
-    return folded
-
-
-def _dedup_by_jumps(moments: DataFrame, keys: Sequence[str], window: int, inclusive: bool) -> DataFrame:
-    """Anchored de-duplication of keys too large for one task, by pointer doubling.
+    the last that *passed*. With ``inclusive`` an event exactly ``window`` later passes too. Events of a key at the
+    same moment count once.
 
     Every moment points to the one that would pass next if it passed itself. Following pointers from the first moment
     is sequential, but doubling them (a pointer over 1, 2, 4 ... passes) reaches all passed moments in a logarithmic
-    number of equi-joins on (key, moment), none of which is skewed. Passed moments lie more than a window apart, so
-    the rounds are bounded by the logarithm of the covered time over the window.
+    number of equi-joins on (key, moment), none of which is skewed: the rounds end when no chain of passes is as long
+    as the pointers.
 
     Pointers are found inside narrow time slices; where a slice has no later moment, a per-slice minimum supplies it."""
+    moments = events.select(*keys, F.col(ts).cast("bigint").alias("__t")).distinct()
+    if window <= 0:
+        return moments.withColumnRenamed("__t", ts)
     keys, moments = list(keys), materialize(moments, "dedup-moments")
     width = max(1, min(window, 60_000_000))
     probe_at = F.col("__t") + F.lit(window)
@@ -148,18 +121,16 @@ def _dedup_by_jumps(moments: DataFrame, keys: Sequence[str], window: int, inclus
         .filter(F.col("is_event") == 0)
         .join(slices, [*keys, "slice"])
         .select(*keys, "__t", F.coalesce("near", "far").alias("next"))
+        .filter("next IS NOT NULL")
     )
     jumps = materialize(pointers, "dedup-jumps")
-    span = moments.agg((F.max("__t") - F.min("__t")).alias("span")).first()["span"] or 0
-    rounds = math.ceil(math.log2(span / max(1, window) + 2)) if window > 0 else 64
     reached = moments.groupBy(*keys).agg(F.min("__t").alias("__t"))
-    for _ in range(rounds):
-        hop = jumps.filter(F.col("next").isNotNull())
-        landed = reached.join(hop, [*keys, "__t"]).select(*keys, F.col("next").alias("__t"))
+    while not jumps.isEmpty():
+        landed = reached.join(jumps, [*keys, "__t"]).select(*keys, F.col("next").alias("__t"))
         reached = materialize(reached.unionByName(landed), "dedup-reached")
-        second = hop.select(*keys, F.col("__t").alias("next"), F.col("next").alias("over"))
-        jumps = materialize(hop.join(second, [*keys, "next"]).select(*keys, "__t", F.col("over").alias("next")), "dedup-jumps")
-    return reached
+        second = jumps.select(*keys, F.col("__t").alias("next"), F.col("next").alias("over"))
+        jumps = materialize(jumps.join(second, [*keys, "next"]).select(*keys, "__t", F.col("over").alias("next")), "dedup-jumps")
+    return reached.withColumnRenamed("__t", ts)
 
 
 # ---- against the library ---------------------------------------------------------------------------------------------

@@ -52,47 +52,51 @@ def ingest_stream(t: Tables) -> DataFrame:
     return _append(t, jobs.ingest_stream(files, ["/watch/spam-farm.example.org"]), "ingest").select("page_id", "path", "sha256")
 
 
-def _closed(delay_seconds: int) -> str:
-    """SQL: the watermark after all events were read, in microseconds. Spark keeps it in whole milliseconds."""
-    return f"(SELECT (max(epoch_us(ts)) // 1000 - {delay_seconds * 1000}) * 1000 FROM events)"
+def _ended(t: Tables) -> DataFrame:
+    """The event stream, and a day after its last event the mark of its end."""
+    path = scratch_path(t.spark, "end")
+    last = t.raw("events").agg(F.max(tx.epoch_micros(F.col("ts"))).alias("last"))
+    end = last.select(F.timestamp_micros(F.col("last") + 86_400_000_000).alias("ts"))
+    end.write.parquet(path)
+    return jobs.with_end(_events(t), t.spark.readStream.schema(end.schema).parquet(path))
 
 
 DEBOUNCED = """
 WITH gaps AS (SELECT {key} AS key, epoch_us(ts) AS t, coalesce(epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY {key} ORDER BY ts), 1e15) >= {gap} AS opens FROM events),
 bursts AS (SELECT key, t, count(*) FILTER (opens) OVER (PARTITION BY key ORDER BY t) AS burst FROM gaps)
-SELECT key AS {key}, min(t) AS first_event, max(t) AS last_event, count(*) AS events FROM bursts GROUP BY key, burst HAVING max(t) + {gap} <= {closed}"""
+SELECT key AS {key}, min(t) AS first_event, max(t) AS last_event, count(*) AS events FROM bursts GROUP BY key, burst"""
 
 
-@query(DEBOUNCED.format(key="user_id", gap=2_000_000, closed=_closed(10)))
+@query(DEBOUNCED.format(key="user_id", gap=2_000_000))
 def debounce_stream(t: Tables) -> DataFrame:
-    bursts = jobs.debounce_stream(_events(t), "user_id", "ts")
+    bursts = jobs.debounce_stream(_ended(t), "user_id", "ts")
     return _append(t, bursts, "debounce").select("user_id", _micros("first_event"), _micros("last_event"), "events")
 
 
-@query(DEBOUNCED.format(key="event_type", gap=600_000_000, closed=_closed(10)))
+@query(DEBOUNCED.format(key="event_type", gap=600_000_000))
 def debounce_stream_long(t: Tables) -> DataFrame:
-    bursts = jobs.debounce_stream(_events(t), "event_type", "ts", "600 seconds")
+    bursts = jobs.debounce_stream(_ended(t), "event_type", "ts", "600 seconds")
     return _append(t, bursts, "debounce-long").select("event_type", _micros("first_event"), _micros("last_event"), "events")
 
 
 PROGRESS = """
 WITH flushes AS (SELECT user_id AS job_id, epoch_us(ts) // {width} * {width} AS flush_start, count(*) AS updates, arg_max(event_type, (ts, event_type)) AS stage,
   arg_max(value, (ts, event_type)) AS progress_pct FROM events GROUP BY 1, 2)
-SELECT * FROM flushes WHERE flush_start + {width} <= {closed}"""
+SELECT * FROM flushes"""
 
 
 def _progress(t: Tables, interval: str) -> DataFrame:
-    updates = _events(t).select(F.col("user_id").alias("job_id"), "ts", F.col("event_type").alias("stage"), F.col("value").alias("progress_pct"))
+    updates = _ended(t).select(F.col("user_id").alias("job_id"), "ts", F.col("event_type").alias("stage"), F.col("value").alias("progress_pct"))
     flushed = jobs.progress_batches(updates, "ts", ["stage", "progress_pct"], interval=interval)
     return _append(t, flushed, "progress").select("job_id", _micros("flush_start"), "updates", "stage", "progress_pct")
 
 
-@query(PROGRESS.format(width=250_000, closed=_closed(10)))
+@query(PROGRESS.format(width=250_000))
 def progress_batches(t: Tables) -> DataFrame:
     return _progress(t, jobs.FLUSH_INTERVAL)
 
 
-@query(PROGRESS.format(width=3_600_000_000, closed=_closed(10)))
+@query(PROGRESS.format(width=3_600_000_000))
 def progress_batches_hourly(t: Tables) -> DataFrame:
     return _progress(t, "1 hour")
 

@@ -6,7 +6,7 @@ table and run the batch operator on each micro-batch, so they share its handling
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,6 +22,7 @@ RESCAN_SECONDS = (30, 300, 86_400)
 BINARY_FILE = "path string, modificationTime timestamp, length bigint, content binary"
 DEBOUNCE = "2 seconds"
 FLUSH_INTERVAL = "250 milliseconds"
+MAX_FILE_AGE = "36500d"  # the source would skip files a week older than the newest
 
 
 def rescan_seconds(setting: str | None) -> int:
@@ -36,8 +37,10 @@ def watch_folder(spark: SparkSession, folder: str, recursive: bool = True) -> Da
     """Stream of new PDF files below a folder (``path, content, length, modificationTime``).
 
     The source's own log remembers which files it has handed out, so unchanged files are not read again; trigger it
-    with ``processingTime=f"{rescan_seconds(...)} seconds"`` for periodic scans."""
+    with ``processingTime=f"{rescan_seconds(...)} seconds"`` for periodic scans. A file of any age counts as new when it
+    first appears. A file written anew under a path that was handed out is not seen: let writers rename it into place."""
     reader = spark.readStream.format("binaryFile").schema(BINARY_FILE).option("recursiveFileLookup", str(recursive).lower())
+    reader = reader.option("maxFileAge", MAX_FILE_AGE)
     return reader.option("pathGlobFilter", "*.[pP][dD][fF]").load(folder)
 
 
@@ -47,8 +50,18 @@ def ingest_stream(files: DataFrame, excluded: Sequence[str] = ()) -> DataFrame:
     return library.content_fingerprint(kept, "content").drop("content")
 
 
+def with_end(events: DataFrame, ends: DataFrame) -> DataFrame:
+    """A stream together with its end marks: ``ends`` streams moments (same name and type as the event time).
+
+    A mark has nulls in all other columns. It moves the watermark past whatever is open, and gives no row itself,
+    because nothing later closes it. It must lie a gap or interval and the allowed delay after the last event."""
+    return events.unionByName(ends, allowMissingColumns=True)
+
+
 def debounce_stream(events: DataFrame, key: str, ts: str, gap: str = DEBOUNCE, delay: str = "10 seconds") -> DataFrame:
-    """Bursts of events of a key, each closed by a quiet ``gap``, as one row."""
+    """Bursts of events of a key, each closed by a quiet ``gap``, as one row.
+
+    Bursts still open when a feed ends are closed by :func:`with_end`."""
     burst = F.session_window(ts, gap).alias("burst")
     return (
         events.withWatermark(ts, delay)
@@ -59,7 +72,9 @@ def debounce_stream(events: DataFrame, key: str, ts: str, gap: str = DEBOUNCE, d
 
 
 def progress_batches(updates: DataFrame, ts: str, columns: Sequence[str], delay: str = "10 seconds", interval: str = FLUSH_INTERVAL) -> DataFrame:
-    """The last update of every job in each flush interval; an interval without updates gives nothing."""
+    """The last update of every job in each flush interval; an interval without updates gives nothing.
+
+    Intervals still open when a feed ends are closed by :func:`with_end`."""
     last = F.max_by(F.struct(*columns), F.struct(ts, *columns)).alias("last")
     return (
         updates.withWatermark(ts, delay)
@@ -101,8 +116,8 @@ class DedupStream:
     The last passed moment of every key is state; it enters the next batch as an event that has already passed.
     Anchors too old to hold anything back are dropped."""
 
-    def __init__(self, spark: SparkSession, path: str, keys: Sequence[str], ts: str, window: int = intake.DEDUP_MICROS, max_group: int = 20_000):
-        self.spark, self.keys, self.ts, self.window, self.max_group = spark, list(keys), ts, window, max_group
+    def __init__(self, spark: SparkSession, path: str, keys: Sequence[str], ts: str, window: int = intake.DEDUP_MICROS):
+        self.spark, self.keys, self.ts, self.window = spark, list(keys), ts, window
         self.path = path.rstrip("/")
 
     def _schema(self, batch: DataFrame) -> str:
@@ -115,7 +130,7 @@ class DedupStream:
         anchors = previous.withColumnRenamed(self.ts, "__anchor")
         fresh = moments.join(anchors, self.keys, "left").filter(F.col("__anchor").isNull() | (F.col(self.ts) > F.col("__anchor")))
         together = fresh.select(*self.keys, self.ts).unionByName(previous)
-        passed = intake.anchored_dedup(together, self.keys, self.ts, self.window, max_group=self.max_group)
+        passed = intake.anchored_dedup(together, self.keys, self.ts, self.window)
         passed.join(previous, [*self.keys, self.ts], "left_anti").select(*self.keys, self.ts).write.mode("overwrite").parquet(f"{self.path}/passed/batch={batch_id}")
         new = self.spark.read.schema(schema).parquet(f"{self.path}/passed/batch={batch_id}")
         latest = previous.unionByName(new).groupBy(*self.keys).agg(F.max(self.ts).alias(self.ts))
@@ -212,11 +227,14 @@ class EnqueueStream:
     """Turns file events (``file_id, path, sha256``) into ledger rows.
 
     Each batch is decided against the library and the jobs of earlier batches. A new document takes the id of its first
-    file, and its job the same id in a range of its own."""
+    file, and its job the same id in a range of its own (negative, so it never meets those of the ledger). A job counts
+    as queued until the ledger holds it with another status: ``jobs`` may be a function that reads the ledger anew for
+    every batch, so that content whose job has ended is queued again."""
 
-    def __init__(self, spark: SparkSession, path: str, documents: DataFrame, jobs: DataFrame):
+    def __init__(self, spark: SparkSession, path: str, documents: DataFrame, jobs: DataFrame | Callable[[], DataFrame]):
         self.spark, self.path = spark, path.rstrip("/")
-        self.documents, self.jobs = documents.select("document_id", "sha256"), jobs.select("job_id", "document_id", "status", "created_at")
+        self.documents = documents.select("document_id", "sha256")
+        self.ledger = jobs if callable(jobs) else lambda: jobs
 
     ACTIONS = "file_id bigint, sha256 string, action string, document_id bigint, active_job_id bigint, first_file_id bigint, batch bigint"
 
@@ -230,9 +248,11 @@ class EnqueueStream:
         done = self._earlier(batch_id).filter(F.col("action") != "reuse_job")
         target = F.coalesce("document_id", "first_file_id")
         created = done.filter(F.col("action") == "new_document").select(F.col("first_file_id").alias("document_id"), "sha256")
-        # Jobs of this stream get negative ids, so they never meet those of the ledger.
-        queued = done.select((-1 - F.col("file_id")).alias("job_id"), target.alias("document_id"), F.lit("queued").alias("status"), F.lit(2**40).cast("bigint").alias("created_at"))
-        actions = intake.enqueue_files(batch, self.documents.unionByName(created), self.jobs.unionByName(queued))
+        jobs = self.ledger().select("job_id", "document_id", "status", "created_at")
+        # A job of this stream is later than all that were in the ledger when it was made; the order is that of batches.
+        queued = done.select((-1 - F.col("file_id")).alias("job_id"), target.alias("document_id"), F.lit("queued").alias("status"), (F.lit(2**40) + F.col("batch")).cast("bigint").alias("created_at"))
+        queued = queued.join(jobs, "job_id", "left_anti")
+        actions = intake.enqueue_files(batch, self.documents.unionByName(created), jobs.unionByName(queued))
         actions.write.mode("overwrite").parquet(f"{self.path}/actions/batch={batch_id}")
 
     def actions(self) -> DataFrame:

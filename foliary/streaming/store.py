@@ -69,3 +69,9 @@ def run_to_files(stream: DataFrame, path: str, checkpoint: str, trigger: dict |
     if trigger is None:
         query.awaitTermination()
     return query
+
+
+def late_rows(query) -> int:
+    """Rows that the stateful operators of a query dropped because they came after the watermark, over the batches in
+    its recent progress (``spark.sql.streaming.numRecentProgressUpdates``)."""
+    return sum(state["numRowsDroppedByWatermark"] for progress in query.recentProgress for state in progress["stateOperators"])

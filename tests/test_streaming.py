@@ -1,3 +1,4 @@
+import os
 import random
 
 import pytest
@@ -6,7 +7,7 @@ from pyspark.sql import functions as F
 from foliary.operators import search
 from foliary.session import materialize, shared_folder
 from foliary.streaming import jobs
-from foliary.streaming.store import VersionedRows, run_batches, run_to_files
+from foliary.streaming.store import VersionedRows, late_rows, run_batches, run_to_files
 from tests.test_intake import brute
 
 
@@ -48,12 +49,11 @@ def feed(spark, path, batches, schema):
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(path)
 
 
-@pytest.mark.parametrize("max_group", [1000, 0])
-def test_dedup_across_batches(spark, tmp_path, max_group):
+def test_dedup_across_batches(spark, tmp_path):
     rng, window = random.Random(1), 100
     events = sorted({(rng.choice("ab"), rng.randrange(2000)) for _ in range(200)}, key=lambda e: e[1])
     batches = [events[n : n + 50] for n in range(0, len(events), 50)]
-    sink = jobs.DedupStream(spark, str(tmp_path / "d"), ["k"], "t", window, max_group)
+    sink = jobs.DedupStream(spark, str(tmp_path / "d"), ["k"], "t", window)
     run_batches(feed(spark, str(tmp_path / "f"), batches, "k string, t bigint"), str(tmp_path / "log"), sink.on_batch)
     assert {tuple(r) for r in sink.passed().select("k", "t").collect()} == brute(events, window, False)
 
@@ -117,6 +117,46 @@ def test_enqueue_uses_earlier_batches(spark, tmp_path):
     assert got == {10: "reuse_job", 11: "reset_document", 12: "new_document", 13: "reuse_job", 14: "reuse_job", 15: "reuse_job", 16: "new_document"}
 
 
+def test_content_whose_job_has_ended_is_queued_again(spark, tmp_path):
+    docs = spark.createDataFrame([(1, "h1")], "document_id bigint, sha256 string")
+    rows = [(7, 1, "done", 5)]
+    ledger = lambda: spark.createDataFrame(rows, "job_id bigint, document_id bigint, status string, created_at bigint")
+    sink = jobs.EnqueueStream(spark, str(tmp_path / "q"), docs, ledger)
+    files = lambda *f: spark.createDataFrame(f, "file_id bigint, path string, sha256 string")
+    sink.on_batch(files((10, "a", "h1")), 0)
+    sink.on_batch(files((11, "b", "h1")), 1)
+    rows.append((-11, 1, "done", 6))
+    sink.on_batch(files((12, "c", "h1")), 2)
+    got = {r["file_id"]: r["action"] for r in sink.actions().collect()}
+    assert got == {10: "reset_document", 11: "reuse_job", 12: "reset_document"}
+
+
+def test_old_files_are_read(spark, tmp_path):
+    folder = tmp_path / "in"
+    folder.mkdir()
+    for name, age in (("new.pdf", 0), ("old.PDF", 400 * 86_400)):
+        (folder / name).write_bytes(name.encode())
+        os.utime(folder / name, (1_700_000_000 - age,) * 2)
+    run_to_files(jobs.ingest_stream(jobs.watch_folder(spark, str(folder))), str(tmp_path / "out"), str(tmp_path / "log"))
+    assert spark.read.parquet(str(tmp_path / "out")).count() == 2
+
+
+def test_an_end_mark_closes_what_is_open_and_late_rows_are_counted(spark, tmp_path):
+    at = lambda *rows: spark.createDataFrame(rows, "user_id bigint, t bigint").select("user_id", F.timestamp_seconds("t").alias("ts"))
+    rows, ends = at((1, 0), (1, 1), (1, 60), (2, 61)), at((0, 10_000)).select("ts")
+    rows.write.parquet(str(tmp_path / "in" / "first"))
+    ends.write.parquet(str(tmp_path / "end"))
+    stream = spark.readStream.schema(rows.schema).option("recursiveFileLookup", "true").parquet(str(tmp_path / "in"))
+    both = jobs.with_end(stream, spark.readStream.schema(ends.schema).parquet(str(tmp_path / "end")))
+    bursts = jobs.debounce_stream(both, "user_id", "ts")
+    run_to_files(bursts, str(tmp_path / "out"), str(tmp_path / "log"))
+    got = {(r["user_id"], r["events"]) for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+    assert got == {(1, 2), (1, 1), (2, 1)}
+    at((1, 5)).write.parquet(str(tmp_path / "in" / "late"))
+    query = run_to_files(bursts, str(tmp_path / "out"), str(tmp_path / "log"))
+    assert late_rows(query) == 1
+
+
 def test_materialize_uses_the_shared_folder(spark):
     kept = materialize(spark.range(5).withColumn("x", F.col("id") * 2), "probe")
     assert kept.count() == 5 and all(shared_folder(spark) in f for f in kept.inputFiles())
