@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from foliary.llm.common import materialize
 
+SPREAD = 16  # tasks that share the links of one node
+
 
 def _digest(links: DataFrame) -> tuple:
     """Order-free digest of a table of links (one row)."""
@@ -20,7 +22,7 @@ def components(edges: DataFrame) -> DataFrame:
     (``node``, ``root``) per node with at least one edge to another node; ``root`` is the smallest node of its component.
 
     Every round hangs the larger neighbours of a node below the smallest one (a minimum per node, combined on the map
-    side, and a join back, which adaptive execution splits at hot nodes), so no adjacency list is ever gathered. Rounds
+    side, and a join back, salted by the neighbour), so no adjacency list is ever gathered. Rounds
     are logarithmic in the longest path. Each round is written to the shared folder, which cuts the lineage.
     """
     links = materialize(
@@ -33,7 +35,9 @@ def components(edges: DataFrame) -> DataFrame:
     while before[0]:
         both = links.union(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
         lowest = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(lowest, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        salted = both.filter("v > u").withColumn("salt", F.pmod(F.xxhash64("v"), F.lit(SPREAD)).cast("int"))
+        everywhere = lowest.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1))))
+        large = salted.join(everywhere, ["u", "salt"]).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         large = materialize(large, "links")
         lowest = large.groupBy("u").agg(F.min("v").alias("m"))
         moved = large.join(lowest, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
