@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -21,7 +21,9 @@ PAIRWISE = 48  # groups up to this size are compared by shifts, larger ones by v
 # First bits of the two 23-bit segments of a lane that give codeword keys; its other bits only verify.
 HALVES = (0, 23)
 LANES, NEAREST = 6, 3
-DIFFERING = 64  # of the 384 bits of six lanes: the expected share at a resemblance of 0.76
+RESEMBLANCE = 0.8  # of the sets of shingles of two near copies, at least
+DIFFERING = 92  # of the 384 bits of six lanes: 58 are expected at a resemblance of 0.8 (deviation 7), 92 at 0.58
+BLOCK = 2000  # rows of a key that are compared with so many others in one step
 
 
 def _lane(hashes: np.ndarray, lane: int) -> np.ndarray:
@@ -181,47 +183,157 @@ def stars(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return nodes[moved], nodes[label[moved]]
 
 
-def fingerprint_links(values: DataFrame, most: int = 3) -> DataFrame:
-    """Links (a, b) among the distinct fingerprints in ``values.fp`` that differ in at most ``most`` bits.
+def _marks(column: pa.Array) -> np.ndarray:
+    """A column of bit strings of one length as rows of 64-bit numbers."""
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint64).reshape(len(column), -1)
 
-    All are found up to 3 bits. With a higher ``most``, pairs beyond 3 bits are linked if they happen to share a key.
 
-    Rows (key, fp) are dealt and sorted by key; a task compares the values of each key and sends on one row per linked
-    value, so a group of n near copies never becomes n² rows. A key's group holds distinct values that agree in a
-    segment and in the neighbourhood of another, or in three neighbourhoods, whatever the number of documents is.
+def _marks_apart(marks: np.ndarray, other: np.ndarray) -> np.ndarray:
+    return np.bitwise_count(marks ^ other).sum(axis=-1, dtype=np.int64)
+
+
+def pairs_in_groups(cells: np.ndarray, nodes: np.ndarray, roots: np.ndarray, marks: np.ndarray, most: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """All pairs of nodes with equal cells (``cells`` is sorted) and different roots whose marks differ in at most
+    ``most`` bits, in parts."""
+    starts = np.nonzero(np.concatenate(([True], cells[1:] != cells[:-1])))[0]
+    sizes = np.diff(np.append(starts, len(cells)))
+    big = sizes > PAIRWISE
+    for start, size in zip(starts[big].tolist(), sizes[big].tolist()):
+        for i in range(start, start + size - 1):
+            rest = np.nonzero(roots[i + 1 : start + size] != roots[i])[0] + i + 1
+            rest = rest[_marks_apart(marks[rest], marks[i]) <= most]
+            if len(rest):
+                yield np.full(len(rest), nodes[i]), nodes[rest]
+    small = np.repeat(~big & (sizes > 1), sizes)
+    cells, nodes, roots, marks = cells[small], nodes[small], roots[small], marks[small]
+    for shift in range(1, PAIRWISE):
+        same = np.nonzero(cells[shift:] == cells[:-shift])[0]
+        if not len(same):
+            break
+        same = same[roots[same] != roots[same + shift]]
+        same = same[_marks_apart(marks[same], marks[same + shift]) <= most]
+        yield nodes[same], nodes[same + shift]
+
+
+def _nearest_first(shared: DataFrame, nodes: DataFrame, most: int) -> DataFrame:
+    """(a, b): per node the nearest of the smallest nodes of its keys, if its mark differs in at most ``most`` bits."""
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                apart = _marks_apart(_marks(batch.column(1)), _marks(batch.column(3)))
+                close = pa.array(apart <= most)
+                columns = [batch.column(0), batch.column(2), pa.array(apart)]
+                yield pa.RecordBatch.from_arrays([c.filter(close) for c in columns], ["a", "b", "apart"])
+
+    pairs = shared.filter("node <> least").select("node", "least").distinct()
+    marked = pairs.join(nodes.select("node", "mark"), "node").join(nodes.select(F.col("node").alias("least"), F.col("mark").alias("other")), "least")
+    close = marked.select("node", "mark", "least", "other").mapInArrow(compare, "a long, b long, apart long")
+    return close.groupBy("a").agg(F.min(F.struct("apart", "b")).alias("best")).select("a", "best.b")
+
+
+def _dealt(shared: DataFrame, placed: DataFrame, block: int) -> DataFrame:
+    """(cell, node, root, mark) of the keys whose nodes have several roots: every two rows of a key with different roots
+    meet in a cell of some ``2 * block`` rows at most.
+
+    The rows of a key's most frequent root and all its other rows are cut into blocks by a hash, and each two blocks,
+    other than two of the most frequent root, make a cell.
+    """
+    rooted = shared.select("key", "node").join(placed, "node")
+    counted = rooted.groupBy("key", "root").agg(F.count(F.lit(1)).alias("n"))
+    mixed = counted.groupBy("key").agg(F.max_by("root", F.struct("n", "root")).alias("top"), F.max("n").alias("n_top"), F.sum("n").alias("n")).filter("n > n_top")
+    tops, rests = F.ceil(F.col("n_top") / block).cast("int"), F.ceil((F.col("n") - F.col("n_top")) / block).cast("int")
+    cuts = rooted.join(mixed, "key").select("*", tops.alias("tops"), rests.alias("rests"), (F.col("root") == F.col("top")).alias("is_top"))
+    mine = F.pmod(F.xxhash64("node"), F.when(F.col("is_top"), F.col("tops")).otherwise(F.col("rests"))).cast("int")
+    upto = lambda n: F.sequence(F.lit(0), n - 1)
+    cell = lambda kind, i, j: F.xxhash64(F.col("key"), F.lit(kind), i, j)
+    across = F.transform(upto(F.col("tops")), lambda i: cell(0, i, F.col("mine")))
+    within = F.transform(upto(F.col("rests")), lambda j: cell(1, F.least(F.col("mine"), j), F.greatest(F.col("mine"), j)))
+    cells = F.when(F.col("is_top"), F.transform(upto(F.col("rests")), lambda j: cell(0, F.col("mine"), j))).otherwise(F.concat(across, within))
+    return cuts.withColumn("mine", mine).select(F.explode(cells).alias("cell"), "node", "root", "mark")
+
+
+def connected(nodes: DataFrame, rows: DataFrame, most: int, confirm: Callable[[DataFrame], DataFrame] | None = None, block: int = BLOCK) -> DataFrame:
+    """(node, root) of the components by links between nodes that share a key and whose marks differ in at most ``most``
+    bits; with ``confirm``, only the pairs (a, b) that it returns of those it is given are links.
+
+    ``nodes`` has node and mark (binary), ``rows`` key and node. First every node meets the smallest of each of its keys,
+    by a minimum per key and a join, and is linked to the nearest of them. After that, only keys whose nodes are not all
+    connected are left, and within them only pairs that are not connected yet are compared, in cells of bounded size. So
+    no task holds the rows of a key, a family of near copies is not compared pairwise, and no link is lost.
     """
+    every = confirm is not None  # each candidate is asked for, not only enough of them to connect what they connect
+    least = rows.groupBy("key").agg(F.min("node").alias("least"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("key", "least")
+    shared = materialize(rows.join(least, "key"), "shared")
+    first = _nearest_first(shared, nodes, most)
+    first = materialize(confirm(first) if confirm else first, "links")
+    roots = components(first)
+    placed = materialize(nodes.join(roots, "node", "left").select("node", "mark", F.coalesce("root", "node").alias("root")), "placed")
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def settle(cells: np.ndarray, *columns: np.ndarray) -> Iterator[pa.RecordBatch]:
+            left, right, size = [], [], 0
+            for a, b in pairs_in_groups(cells, *columns, most):
+                left.append(np.minimum(a, b))
+                right.append(np.maximum(a, b))
+                size += len(a)
+                if size > 1_000_000:
+                    yield send(left, right)
+                    left, right, size = [], [], 0
+            if size:
+                yield send(left, right)
+
+        def send(left: list[np.ndarray], right: list[np.ndarray]) -> pa.RecordBatch:
+            a, b = np.concatenate(left), np.concatenate(right)
+            if every:
+                order = np.lexsort((b, a))
+                a, b = a[order], b[order]
+                new = np.concatenate(([True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])))
+                a, b = a[new], b[new]
+            else:
+                a, b = stars(a, b)
+            return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+
+        held = []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            held.append((*(batch.column(i).to_numpy() for i in range(3)), _marks(batch.column(3))))
+            if held[0][0][0] == held[-1][0][-1]:
+                continue  # all of one cell so far
+            columns = [np.concatenate(parts) for parts in zip(*held)]
+            cut = np.searchsorted(columns[0], columns[0][-1])  # the last cell may go on
+            yield from settle(*(c[:cut] for c in columns))
+            held = [tuple(c[cut:] for c in columns)]
+        if held:
+            yield from settle(*(np.concatenate(parts) for parts in zip(*held)))
+
+    dealt = _dealt(shared, placed, block).repartition("cell").sortWithinPartitions("cell")
+    second = dealt.mapInArrow(compare, "a long, b long").distinct()
+    second = materialize(confirm(second) if confirm else second, "links")
+    return components(first.union(second))
+
+
+def fingerprint_components(values: DataFrame, most: int = 3, block: int = BLOCK) -> DataFrame:
+    """(node, root) of the components of the distinct fingerprints in ``values.fp``, by links of at most ``most`` bits.
+
+    All are found up to 3 bits. With a higher ``most``, pairs beyond 3 bits are linked if they happen to share a key.
+    """
+
     def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = batch.column(0).to_numpy().view(np.uint64)
             for at in range(0, len(found), 20_000):
                 part = found[at : at + 20_000]
                 keys, rows = golay_keys(part)
-                yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(part[rows].view(np.int64))], ["key", "fp"])
+                yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(part[rows].view(np.int64))], ["key", "node"])
 
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        left, right = [], []
-        keys = values = np.zeros(0, np.uint64)
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            k, v = (batch.column(i).to_numpy().view(np.uint64) for i in (0, 1))
-            if not len(k):
-                continue
-            keys, values = np.concatenate((keys, k)), np.concatenate((values, v))
-            cut = np.searchsorted(keys.view(np.int64), keys[-1].view(np.int64))  # the last group may go on
-            if cut:
-                a, b = links_in_groups(keys[:cut], values[:cut], most)
-                left.append(a)
-                right.append(b)
-                keys, values = keys[cut:], values[cut:]
-        if len(keys):
-            a, b = links_in_groups(keys, values, most)
-            left.append(a)
-            right.append(b)
-        if left:
-            a, b = stars(np.concatenate(left), np.concatenate(right))
-            yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], ["a", "b"])
-
-    rows = values.select("fp").mapInArrow(explode, "key long, fp long")
-    return rows.repartition("key").sortWithinPartitions("key").mapInArrow(compare, "a long, b long")
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x.tobytes() for x in batch.column(0).to_numpy()], pa.binary())], ["node", "mark"])
+
+    fps = values.select("fp")
+    return connected(fps.mapInArrow(mark, "node long, mark binary"), fps.mapInArrow(explode, "key long, node long"), most, block=block)
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 3, most: int = 3, text: str = "text") -> DataFrame:
@@ -234,7 +346,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, most: int = 3, text: str
     """
     marked = materialize(fingerprints(docs, shingle, text=text), "fingerprints")
     nodes = materialize(marked.groupBy("fp").agg(F.min("doc_id").alias("first")), "nodes")
-    roots = components(fingerprint_links(nodes, most))
+    roots = fingerprint_components(nodes, most)
     labelled = nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     labelled = materialize(labelled, "labels")
     smallest = labelled.groupBy("root").agg(F.min("first").alias("component_id"))
@@ -245,135 +357,96 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, most: int = 3, text: str
 
 
 def sketches(docs: DataFrame, shingle: int = 5, lanes: int = LANES, seed: int = SEED, text: str = "text") -> DataFrame:
-    """(doc_id, text_key, mark, codes) of every text: the bits of ``lanes`` fingerprints of its distinct shingles, and
-    for both segments of every lane the indices of the ``NEAREST`` codewords, weighing each bit by its margin."""
+    """(doc_id, text_key, mark, digest, codes) of every text: the bits of ``lanes`` fingerprints of its distinct shingles,
+    a digest of their set, and for both segments of every lane the indices of the ``NEAREST`` codewords, weighing each
+    bit by its margin."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = as_bytes(batch.column(2))
-            found = np.zeros((len(texts), lanes, 64), np.float32)
+            found, digests = np.zeros((len(texts), lanes, 64), np.float32), []
             for row, text in zip(found, texts):
                 hashes = np.unique(shingle_hashes(text, shingle, seed))
+                digests.append(xxhash.xxh3_128_digest(hashes.tobytes()))
                 for lane in range(lanes):
                     row[lane] = margins(hashes, lane)
             marks = np.packbits(found > 0, axis=2, bitorder="little").reshape(len(texts), -1)
             codes = np.stack([nearest(found[:, :, at : at + 23].reshape(-1, 23), NEAREST) for at in HALVES], axis=1)
             codes = codes.astype(np.uint16).reshape(len(texts), -1)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array([m.tobytes() for m in marks], pa.binary()), pa.array([c.tobytes() for c in codes], pa.binary())],
-                ["doc_id", "text_key", "mark", "codes"],
+                [batch.column(0), batch.column(1), pa.array([m.tobytes() for m in marks], pa.binary()), pa.array(digests, pa.binary()), pa.array([c.tobytes() for c in codes], pa.binary())],
+                ["doc_id", "text_key", "mark", "digest", "codes"],
             )
 
     whole = F.coalesce(F.col(text).cast("string"), F.lit(""))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(whole).alias("text_key"), whole.alias("text"))
-    return rows.mapInArrow(run, "doc_id long, text_key long, mark binary, codes binary")
-
-
-def _marks_apart(marks: np.ndarray, other: np.ndarray) -> np.ndarray:
-    return np.bitwise_count(marks ^ other).sum(axis=-1, dtype=np.int64)
-
-
-def _visit_marks(nodes: np.ndarray, marks: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links (node, first node) of one group: what has been reached is not compared again."""
-    left, right = [], []
-    rest = np.arange(len(nodes))
-    while len(rest):
-        first, frontier, rest = rest[0], [rest[0]], rest[1:]
-        while frontier and len(rest):
-            hit = _marks_apart(marks[rest], marks[frontier.pop()]) <= most
-            if hit.any():
-                reached, rest = rest[hit], rest[~hit]
-                left.append(nodes[reached])
-                right.append(np.full(len(reached), nodes[first]))
-                frontier.extend(reached.tolist())
-    return (np.concatenate(left), np.concatenate(right)) if left else (nodes[:0], nodes[:0])
-
-
-def sketch_links_in_groups(keys: np.ndarray, nodes: np.ndarray, marks: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links among nodes with equal keys (``keys`` is sorted) whose marks differ in at most ``most`` bits, or enough of
-    them to connect what they connect."""
-    starts = np.nonzero(np.concatenate(([True], keys[1:] != keys[:-1])))[0]
-    sizes = np.diff(np.append(starts, len(keys)))
-    left, right = [nodes[:0]], [nodes[:0]]
-    big = sizes > PAIRWISE
-    for start, size in zip(starts[big].tolist(), sizes[big].tolist()):
-        a, b = _visit_marks(nodes[start : start + size], marks[start : start + size], most)
-        left.append(a)
-        right.append(b)
-    small = np.repeat(~big & (sizes > 1), sizes)
-    keys, nodes, marks = keys[small], nodes[small], marks[small]
-    for shift in range(1, PAIRWISE):
-        same = np.nonzero(keys[shift:] == keys[:-shift])[0]
-        if not len(same):
-            break
-        same = same[_marks_apart(marks[same], marks[same + shift]) <= most]
-        left.append(nodes[same])
-        right.append(nodes[same + shift])
-    return np.concatenate(left), np.concatenate(right)
+    return rows.mapInArrow(run, "doc_id long, text_key long, mark binary, digest binary, codes binary")
 
 
-def sketch_links(nodes: DataFrame, lanes: int = LANES, most: int = DIFFERING) -> DataFrame:
-    """Links (a, b) between the ``node`` of rows whose marks differ in at most ``most`` bits and that share a key.
-
-    A key is a lane and a codeword index of each of its two segments: ``NEAREST`` squared keys per lane and row. Rows
-    are dealt and sorted by key; a task holds the rows of one key and sends on one row per linked node.
-    """
+def sketch_keys(nodes: DataFrame, lanes: int = LANES) -> DataFrame:
+    """(key, node): a key is a lane and a codeword index of each of its two segments, ``NEAREST`` squared keys per lane
+    and row."""
 
     def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 1000):
                 part = batch.slice(at, 1000)
-                codes = np.frombuffer(b"".join(part.column(2).to_pylist()), np.uint16).reshape(part.num_rows, lanes, 2, NEAREST).astype(np.uint64)
+                codes = np.frombuffer(b"".join(part.column(1).to_pylist()), np.uint16).reshape(part.num_rows, lanes, 2, NEAREST).astype(np.uint64)
                 pairs = codes[:, :, 0, :, None] << np.uint64(12) | codes[:, :, 1, None, :]
                 keys = _mix(0, (pairs | np.arange(lanes, dtype=np.uint64)[None, :, None, None] << np.uint64(24)).reshape(-1))
                 rows = pa.array(np.repeat(np.arange(part.num_rows), len(keys) // max(part.num_rows, 1)))
-                yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), part.column(0).take(rows), part.column(1).take(rows)], ["key", "node", "mark"])
+                yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), part.column(0).take(rows)], ["key", "node"])
 
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        left, right, held = [], [], []
+    return nodes.select("node", "codes").mapInArrow(explode, "key long, node long")
 
-        def settle(keys: np.ndarray, nodes: np.ndarray, marks: np.ndarray) -> None:
-            if len(keys) > 1:
-                a, b = sketch_links_in_groups(keys, nodes, marks, most)
-                left.append(a)
-                right.append(b)
-
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            marks = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.uint64).reshape(-1, lanes)
-            held.append((batch.column(0).to_numpy(), batch.column(1).to_numpy(), marks))
-            if held[0][0][0] == held[-1][0][-1]:
-                continue  # all of one key so far
-            keys, nodes, marks = (np.concatenate(parts) for parts in zip(*held))
-            cut = np.searchsorted(keys, keys[-1])  # the last group may go on
-            settle(keys[:cut], nodes[:cut], marks[:cut])
-            held = [(keys[cut:], nodes[cut:], marks[cut:])]
-        if held:
-            settle(*(np.concatenate(parts) for parts in zip(*held)))
-        if left:
-            a, b = stars(np.concatenate(left), np.concatenate(right))
-            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
-
-    rows = nodes.select("node", "mark", "codes").mapInArrow(explode, "key long, node long, mark binary")
-    return rows.repartition("key").sortWithinPartitions("key").mapInArrow(compare, "a long, b long")
 
+def resembling(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, shingle: int = 5, least: float = RESEMBLANCE, text: str = "text") -> DataFrame:
+    """The pairs (a, b) of nodes whose sets of shingles have a Jaccard resemblance of at least ``least``, by the hashes
+    of all shingles of either text."""
 
-def near_classes(docs: DataFrame, shingle: int = 5, most: int = DIFFERING, lanes: int = LANES, text: str = "text") -> DataFrame:
-    """One row per class of texts with one mark: node (its smallest doc_id), text_key (of one text there), mark, and root
-    (the smallest doc_id that the class reaches through links).
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [np.unique(shingle_hashes(t, shingle)).tobytes() for t in as_bytes(batch.column(1))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], ["node", "shingles"])
 
-    Texts are linked if the marks of their distinct five-word shingles differ in at most ``most`` of 64 * ``lanes``
-    bits, and a segment pair of some lane decodes to common codewords. The codewords are found with the margins of the
-    bits, which says which bits are likely to differ in a near copy: at a resemblance of 0.8, 99 % share a key; the bits
-    accept 81 % of the pairs there, over 99 % from 0.85 on, half at 0.76 and one in 100 at 0.67.
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for x, y in zip(batch.column(2), batch.column(3)):
+                x, y = np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)
+                shared = len(np.intersect1d(x, y, assume_unique=True))
+                keep.append(shared >= least * (len(x) + len(y) - shared) - 1e-9)
+            keep = pa.array(keep, pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column(i).filter(keep) for i in (0, 1)], ["a", "b"])
+
+    pairs = materialize(pairs, "pairs")
+    wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct().join(nodes.select("node", "text_key"), "node")
+    whole = F.coalesce(F.col(text).cast("string"), F.lit(""))
+    texts = docs.select(F.col("doc_id").cast("long").alias("node"), F.xxhash64(whole).alias("text_key"), whole.alias("text"))
+    texts = texts.join(wanted, ["node", "text_key"]).dropDuplicates(["node", "text_key"]).select("node", "text")
+    sets = materialize(texts.mapInArrow(hashed, "node long, shingles binary"), "shingles")
+    both = pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b")
+    return both.select("a", "b", "x", "y").mapInArrow(compare, "a long, b long")
+
+
+def near_classes(
+    docs: DataFrame, shingle: int = 5, most: int = DIFFERING, lanes: int = LANES, text: str = "text", least: float = RESEMBLANCE, block: int = BLOCK
+) -> DataFrame:
+    """One row per class of texts with one set of shingles: node (its smallest doc_id), text_key (of one text there), mark,
+    digest (of the set), and root (the smallest doc_id that the class reaches through links).
+
+    Texts are linked if the Jaccard resemblance of the sets of their five-word shingles is at least ``least``. Candidates
+    are pairs whose marks differ in at most ``most`` of 64 * ``lanes`` bits, and of which a segment pair of some lane
+    decodes to common codewords; each is verified by all shingles of both texts. The codewords are found with the margins
+    of the bits, which says which bits are likely to differ in a near copy: at a resemblance of 0.8, 99 % share a key.
     Rows without doc_id take no part. Blank texts are copies of each other. An empty table gives no rows.
     """
-    marked = sketches(docs.filter("doc_id IS NOT NULL"), shingle, lanes, text=text)
-    least = marked.groupBy("mark").agg(F.min(F.struct("doc_id", "text_key", "codes")).alias("least"))
-    nodes = materialize(least.select(F.col("least.doc_id").alias("node"), "least.text_key", "mark", "least.codes"), "nodes")
-    roots = components(sketch_links(nodes, lanes, most))
-    return nodes.join(roots, "node", "left").select("node", "text_key", "mark", F.coalesce("root", "node").alias("root"))
+    docs = docs.filter("doc_id IS NOT NULL")
+    marked = sketches(docs, shingle, lanes, text=text)
+    first = marked.groupBy("mark", "digest").agg(F.min(F.struct("doc_id", "text_key", "codes")).alias("least"))
+    nodes = materialize(first.select(F.col("least.doc_id").alias("node"), "least.text_key", "mark", "digest", "least.codes"), "nodes")
+    roots = connected(nodes.select("node", "mark"), sketch_keys(nodes, lanes), most, lambda pairs: resembling(pairs, nodes, docs, shingle, least, text), block)
+    return nodes.join(roots, "node", "left").select("node", "text_key", "mark", "digest", F.coalesce("root", "node").alias("root"))
 
 
 def first_of_each(docs: DataFrame, text: str = "text", **options) -> DataFrame:

@@ -211,6 +211,27 @@ def test_near_classes_against_resemblance(spark):
     assert not [p for p in linked if like[p] < 0.6]
 
 
+def test_near_copies_are_those_of_brute_force(spark):
+    """Pairs about a resemblance of 0.8: practically all at 0.8 and above are linked, and none below."""
+    rng = np.random.default_rng(16)
+    rows, like = [], {}
+    for pair in range(600):
+        size = int(rng.integers(60, 400))
+        words = rng.integers(0, 10**6, size)
+        other = words.copy()
+        at = rng.choice(size, max(1, int(size * rng.uniform(0.01, 0.035))), replace=False)
+        other[at] = rng.integers(0, 10**6, len(at))
+        a, b = ({tuple(w[i : i + 5]) for i in range(size - 4)} for w in (words.tolist(), other.tolist()))
+        like[pair] = len(a & b) / len(a | b)
+        rows += [(2 * pair, " ".join(map(str, words))), (2 * pair + 1, " ".join(map(str, other)))]
+    found = simhash.near_classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    linked = {r["node"] // 2 for r in found if r["root"] != r["node"]}
+    high, at, low = ({p for p, j in like.items() if a <= j < b} for a, b in ((0.8, 1.1), (0.8, 0.85), (0.5, 0.8)))
+    assert len(at) > 50 and len(low) > 100
+    assert len(linked & high) >= 0.98 * len(high) and len(linked & at) >= 0.97 * len(at)
+    assert not linked & low
+
+
 @pytest.mark.parametrize("number", [2, 47, 49, 300])
 def test_a_key_of_many_batches_is_one_group(spark, number):
     rng = np.random.default_rng(7)
