@@ -245,6 +245,38 @@ def test_a_key_of_many_batches_is_one_group(spark, number):
     assert kept == [0]
 
 
+@pytest.mark.parametrize("block", [3, 2000])
+def test_keys_cut_into_cells_lose_no_link(spark, block):
+    """A family around one fingerprint, all on few keys, and a chain of texts: as brute force has it for cells of any size."""
+    rng = np.random.default_rng(8)
+    base, values = rng.integers(0, 1 << 63, dtype=np.uint64), set()
+    for _ in range(400):
+        x = base
+        for bit in rng.choice(12, int(rng.integers(0, 12)), replace=False):
+            x ^= np.uint64(1) << np.uint64(5 * bit)
+        values.add(int(x))
+    f = np.array(sorted(values), np.uint64)
+    close = np.bitwise_count(f[:, None] ^ f[None, :]) <= 3
+    label = f.copy()
+    while True:
+        new = np.array([label[close[i]].min() for i in range(len(f))])
+        if (new == label).all():
+            break
+        label = new
+    found = simhash.fingerprint_components(spark.createDataFrame([(int(x),) for x in f.view(np.int64)], "fp long"), block=block)
+    roots = {r["node"]: r["root"] for r in found.collect()}
+    assert [roots.get(int(x), int(x)) for x in f] == label.tolist()
+    # a pair of one root is in no cell; a pair of two roots of one key is in one, which is small
+    shared = spark.createDataFrame([(1, i) for i in range(60)] + [(2, i) for i in range(9)], "key long, node long")
+    placed = spark.createDataFrame([(i, bytes(8), 0 if i < 40 else i) for i in range(60)], "node long, mark binary, root long")
+    cells = collections.defaultdict(set)
+    for r in simhash._dealt(shared, placed, block).collect():
+        cells[r["cell"]].add(r["node"])
+    met = {(a, b) for nodes in cells.values() for a in nodes for b in nodes if a < b}
+    assert {(a, b) for a in range(60) for b in range(a + 1, 60) if b >= 40} <= met
+    assert max(map(len, cells.values())) <= (20 if block == 3 else 60)
+
+
 def test_null_ids_stay_and_texts_of_one_id_are_judged_apart(spark):
     long = " ".join(f"w{i}" for i in range(60))
     rows = [(3, long), (5, long), (5, long.replace("w", "v")), (None, long), (7, ""), (8, None), (8, "  ")]
