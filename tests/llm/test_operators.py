@@ -396,6 +396,19 @@ def test_word_scores_are_those_of_brute_force(docs, texts):
         assert r["score"] < 0
 
 
+def test_copies_of_a_text_of_many_words(spark):
+    text = " ".join(f"{i:x}" if i % 3 else f"{i:x} {i:x}" for i in range(70_000))
+    docs = spark.createDataFrame([(i, text) for i in range(8)], "doc_id long, text string").coalesce(1)
+    learnt = sum(zlib.crc32(str(i).encode()) % 5 != 1 for i in range(8))
+    count = collections.Counter(text.split())
+    count[None] = 1
+    total = learnt * count.total()
+    score = sum(n * math.log10((learnt * n + 0.5) / (total + 0.5 * (len(count) + 1))) for n in count.values())
+    for r in context_tree.score_documents(docs).collect():
+        assert (r["n_known"], r["train_tokens"]) == (count.total(), total)
+        assert r["base_score"] == pytest.approx(score, rel=1e-9)
+
+
 def test_context_tree_is_normalised_and_weighted():
     stream, starts = context_tree._stream([b"abab abba", b"cab"])
     keep = np.ones(len(stream), bool)
