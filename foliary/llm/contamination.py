@@ -1,8 +1,7 @@
-"""Benchmark decontamination by a random-walk embedding of the edit distance."""
+"""Benchmark decontamination by the runs of words that a match must share, and the exact edit distance."""
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from itertools import repeat
@@ -16,18 +15,11 @@ from foliary.llm.common import as_bytes, documents, query
 
 SIMILARITY = 0.8  # share of an item's words that may not be edited
 LEAST_WORDS = 5  # shorter items are not passages
-SAMPLED = 4  # coordinates per key
-AGREEMENT = 0.55  # share of coordinates in which the walks of a match are expected to agree, at least
 RECALL = 0.99
-VERIFIED = 4096  # pairs whose edit tables are worked out together
+VERIFIED, CELLS = 4096, 4_000_000  # pairs whose edit tables are worked out together, and cells of a row of them
 BLOCK_ITEMS, BLOCK_WORDS = 1000, 200_000  # of the benchmark that one pass over the documents answers
 
 
-def repetitions(recall: float, agreement: float = AGREEMENT, sampled: int = SAMPLED) -> int:
-    """How many keys per window give a match with this agreement the wanted chance of sharing at least one."""
-    return math.ceil(math.log(1 - recall) / math.log(1 - agreement**sampled))
-
-
 def edits(words: int, similarity: float = SIMILARITY) -> int:
     return int(words * (1 - similarity) + 1e-9)
 
@@ -39,37 +31,10 @@ def shared_run(words: int, similarity: float = SIMILARITY) -> int:
     return max(1, min(3, (words - e) // (e + 1)))
 
 
-def embed(windows: np.ndarray, coordinates: np.ndarray) -> np.ndarray:
-    """Values of the random walk over each row of symbols at the given (sorted) coordinates.
-
-    The walk has three steps per symbol. Step j writes the symbol under the pointer, then moves on by one or stays, as a
-    random function of j and the symbol says; after the end it writes 0. Sequences at a small edit distance fall into
-    step again after an edit, so they agree at most coordinates.
-    """
-    n, m = windows.shape
-    padded = np.concatenate((windows, np.zeros((n, 1), windows.dtype)), axis=1).astype(np.uint64)
-    odd = np.random.default_rng(6).integers(0, 1 << 63, 3 * m, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-    rows, at, out, wanted = np.arange(n), np.zeros(n, np.int64), [], set(coordinates.tolist())
-    for j in range(int(coordinates[-1]) + 1):
-        symbol = padded[rows, at]
-        if j in wanted:
-            out.append(symbol)
-        move = ((symbol + np.uint64(0x5851F42D4C957F2D)) * odd[j]) >> np.uint64(63)
-        at = np.minimum(at + move.astype(np.int64), m)
-    return np.stack(out, axis=1)
-
-
-def keys(windows: np.ndarray, times: int, sampled: int = SAMPLED) -> np.ndarray:
-    """(n, times) keys: each hashes the embedding at ``sampled`` coordinates drawn for this window length."""
-    m = windows.shape[1]
-    drawn = np.random.default_rng(60 + m).integers(0, 3 * m, (times, sampled))
-    coordinates, index = np.unique(drawn, return_inverse=True)
-    walk, index = embed(windows, coordinates), index.reshape(times, sampled)
-    out = np.zeros((len(windows), times), np.uint64)
-    for i in range(sampled):
-        out = (out ^ walk[:, index[:, i]]) * np.uint64(0x9E3779B97F4A7C15)
-        out ^= out >> np.uint64(29)
-    return out
+def shared_runs(words: int, similarity: float = SIMILARITY) -> int:
+    """How many of its runs of ``shared_run`` words any match of an item keeps: an edit spoils one run per word of it."""
+    length = shared_run(words, similarity)
+    return max(1, words - length + 1 - edits(words, similarity) * length)
 
 
 def best_matches(items: np.ndarray, regions: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -99,32 +64,27 @@ def best_matches(items: np.ndarray, regions: np.ndarray) -> tuple[np.ndarray, np
 class Index:
     """A block of benchmark items, ready to search for."""
 
-    times: int
     similarity: float
     vocabulary: dict[bytes, int] = field(default_factory=dict)
     items: dict[int, list[tuple[int, np.ndarray]]] = field(default_factory=dict)  # by number of words
-    keys: dict[int, np.ndarray] = field(default_factory=dict)
-    orders: dict[int, tuple[np.ndarray, np.ndarray]] = field(default_factory=dict)  # keys of each repetition in order
-    runs: dict[int, tuple[np.ndarray, np.ndarray]] = field(default_factory=dict)  # words in a row, and where in an item
+    runs: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = field(default_factory=dict)  # words in a row, where in an item, and in which
     all_runs: dict[int, np.ndarray] = field(default_factory=dict)  # those of all items, by their number of words
 
     @classmethod
-    def build(cls, items: list[tuple[int, list[bytes]]], similarity: float, recall: float) -> Index:
-        index = cls(repetitions(recall), similarity)
+    def build(cls, items: list[tuple[int, list[bytes]]], similarity: float, recall: float = RECALL) -> Index:
+        """All matches are found, so any ``recall`` is reached."""
+        index = cls(similarity)
         for item_id, words in items:
             ids = np.array([index.vocabulary.setdefault(w, len(index.vocabulary) + 1) for w in words], np.int64)
             index.items.setdefault(len(words), []).append((item_id, ids))
-        for m, group in index.items.items():
-            index.keys[m] = keys(np.stack([ids for _, ids in group]), index.times)
-            order = np.argsort(index.keys[m], axis=0, kind="stable")
-            index.orders[m] = order, np.take_along_axis(index.keys[m], order, axis=0)
         for m, group in index.items.items():
             length = shared_run(m, similarity)
             if length not in index.all_runs:
                 index.all_runs[length] = np.unique(np.concatenate([index._grams(ids, length) for g in index.items.values() for _, ids in g]))
             grams = np.concatenate([index._grams(ids, length)[: m - length + 1] for _, ids in group])
             order = np.argsort(grams, kind="stable")
-            index.runs[m] = grams[order], np.tile(np.arange(m - length + 1), len(group))[order]
+            owner = np.repeat(np.arange(len(group)), m - length + 1)
+            index.runs[m] = grams[order], np.tile(np.arange(m - length + 1), len(group))[order], owner[order]
         return index
 
     def _grams(self, symbols: np.ndarray, length: int) -> np.ndarray:
@@ -135,16 +95,15 @@ class Index:
             out = np.where((out > 0) & (following > 0), out * (len(self.vocabulary) + 1) + following, 0)
         return np.where(out > 0, out, -1)
 
-    def starts(self, symbols: np.ndarray) -> dict[int, np.ndarray]:
-        """Per window length, the places where a window may match: no other window is within the allowed edits.
+    def candidates(self, symbols: np.ndarray, document: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+        """Per item length: documents, items of that length and places, so that every match of such an item lies between
+        ``e`` words before and ``m + 4 * e`` words after a place (e: allowed edits, m: length).
 
-        Such a window shares a run of words with its item, shifted by ``e`` words at most, and holds all but ``e`` of
-        the item's words.
+        A match keeps ``shared_runs`` runs of its item, each shifted by ``e`` words at most, so at least as many runs
+        that say where the item starts agree within ``2 * e`` words. Places are multiples of ``2 * e + 1``.
         """
-        known = np.concatenate(([0], np.cumsum(symbols > 0)))
         grams: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-        out = {}
-        for m in self.items:
+        for m, group in self.items.items():
             e, length = edits(m, self.similarity), shared_run(m, self.similarity)
             if length not in grams:
                 all_grams, own = self._grams(symbols, length), self.all_runs[length]
@@ -153,49 +112,36 @@ class Index:
                 at = at[own[slot] == all_grams[at]]
                 grams[length] = at, all_grams[at]
             at, value = grams[length]
-            item_grams, shift = self.runs[m]
+            item_grams, shift, owner = self.runs[m]
             low, high = (np.searchsorted(item_grams, value, side=s) for s in ("left", "right"))
             count = high - low
-            inner = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-            centre = np.unique(np.repeat(at, count) - shift[np.repeat(low, count) + inner])
-            places = np.unique((centre[:, None] + np.arange(-e, e + 1)).ravel())
-            places = places[(places >= 0) & (places < len(symbols))]
-            out[m] = places[known[np.minimum(places + m, len(symbols))] - known[places] >= m - e]
-        return out
+            run = np.repeat(low, count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+            at = np.repeat(at, count)
+            span = len(symbols) + 2 * (m + e) + 2  # of the starts of one document and item: from -m on
+            start = np.sort((document[at] * len(group) + owner[run]) * span + at - shift[run] + m)
+            enough = np.searchsorted(start, start + 2 * e, side="right") - np.arange(len(start)) >= shared_runs(m, self.similarity)
+            pair, start = np.divmod(start[enough], span)
+            found = np.unique(np.stack((pair, (start - m) // (2 * e + 1))), axis=1)
+            yield m, found[0] // len(group), found[0] % len(group), found[1] * (2 * e + 1)
 
     def search(self, symbols: np.ndarray, offsets: np.ndarray) -> dict[tuple[int, int], tuple[int, int, int]]:
         """Best match of each (document, item) that is similar enough, as (distance, start, end) in the document's words."""
         document = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
         found: dict[tuple[int, int], tuple[int, int, int]] = {}
-        for m, starts in self.starts(symbols).items():
+        for m, docs, items, places in self.candidates(symbols, document):
             e, ids = edits(m, self.similarity), np.stack([x for _, x in self.items[m]])
-            length = offsets[document[starts] + 1] - starts
-            starts = starts[length >= m - e]
-            orders, ordered_keys = self.orders[m]
-            for part in range(0, len(starts), 20_000):
-                at = starts[part : part + 20_000]
-                place = at[:, None] + np.arange(m)  # past the end of a text a window is filled with unknown words
-                windows = np.where(place < offsets[document[at] + 1][:, None], symbols[np.minimum(place, len(symbols) - 1)], 0)
-                near = keys(windows, self.times)
-                pairs = set()
-                for j in range(self.times):
-                    ordered = ordered_keys[:, j]
-                    low, high = (np.searchsorted(ordered, near[:, j], side=s) for s in ("left", "right"))
-                    for i in np.nonzero(high > low)[0].tolist():
-                        pairs.update((i, g) for g in orders[low[i] : high[i], j].tolist())
-                chosen = np.array(sorted(pairs), np.int64).reshape(-1, 2)
-                for some in range(0, len(chosen), VERIFIED):
-                    i, g = chosen[some : some + VERIFIED].T
-                    doc = document[at[i]]
-                    first = np.maximum(offsets[doc], at[i] - e)
-                    place = first[:, None] + np.arange(m + 2 * e)
-                    last = np.minimum(offsets[doc + 1], at[i] + m + e)
-                    regions = np.where(place < last[:, None], symbols[np.minimum(place, len(symbols) - 1)], 0)
-                    cost, start, end = best_matches(ids[g], regions)
-                    for k in np.nonzero(cost <= e)[0].tolist():
-                        key, shift = (int(doc[k]), self.items[m][g[k]][0]), int(first[k] - offsets[doc[k]])
-                        if key not in found or cost[k] < found[key][0]:
-                            found[key] = int(cost[k]), shift + int(start[k]), shift + int(end[k])
+            step = max(1, min(VERIFIED, CELLS // (m + 5 * e)))
+            for some in range(0, len(docs), step):
+                doc, g, at = (x[some : some + step] for x in (docs, items, places))
+                first = np.maximum(offsets[doc], at - e)
+                place = first[:, None] + np.arange(m + 5 * e)
+                last = np.minimum(offsets[doc + 1], at + m + 4 * e)
+                regions = np.where(place < last[:, None], symbols[np.minimum(place, len(symbols) - 1)], 0)
+                cost, start, end = best_matches(ids[g], regions)
+                for k in np.nonzero(cost <= e)[0].tolist():
+                    key, shift = (int(doc[k]), self.items[m][g[k]][0]), int(first[k] - offsets[doc[k]])
+                    if key not in found or cost[k] < found[key][0]:
+                        found[key] = int(cost[k]), shift + int(start[k]), shift + int(end[k])
         return found
 
 
@@ -253,12 +199,10 @@ def contaminated(
     """One row per document and benchmark item that it holds: doc_id, item_id, distance, first_word, n_words.
 
     Texts are compared as lower-case words. A document holds an item of m words if some run of its words is within
-    ``(1 - similarity) * m`` insertions, deletions or replacements of words. Runs with as many words as the item are
-    embedded at every word of every document, and keys of sampled coordinates, repeated as the wanted recall asks, pick
-    the candidates; each is then verified by the exact edit distance, and the best place in the document is returned.
-    Verbatim copies share every key, so they are always found. ``recall`` is the chance for a passage whose embedding
-    agrees in 55 % of its coordinates; windows that
-    cannot be within the edits, by a run of words that they must share, are left out before, which loses no match.
+    ``(1 - similarity) * m`` insertions, deletions or replacements of words. A match must keep a number of the item's
+    runs of up to three words, shifted by no more words than may be edited; every place where so many are found is
+    verified by the exact edit distance, so no match is lost, and the best place in the document is returned. All
+    matches are found whatever ``recall`` asks for.
 
     The benchmark is a stated query set: it is read in blocks of bounded size and each block is searched for in one pass
     over the documents without a shuffle. Null texts and ids hold nothing: items without id or with fewer than ``least``

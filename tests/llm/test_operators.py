@@ -383,6 +383,25 @@ def test_verbatim_and_edited_passages_are_found(spark, docs, texts):
     assert found >= 0.95 * len(items)
 
 
+@pytest.mark.parametrize("kind", ["replace", "insert", "delete", "mixed"])
+@pytest.mark.parametrize("size", [5, 10, 12, 20, 60, 100, 150, 250])
+def test_passages_at_the_full_edit_allowance_are_found(kind, size):
+    rng = np.random.default_rng(size)
+    words = [f"w{i}".encode() for i in range(400)]
+    items = [(i, rng.choice(words, size).tolist()) for i in range(40)]
+    index, texts = contamination.Index.build(items, 0.8, 0.99), []
+    for _, item in items:
+        item = list(item)
+        for at in sorted(rng.choice(size, contamination.edits(size), replace=False).tolist(), reverse=True):
+            way = kind if kind != "mixed" else rng.choice(["replace", "insert", "delete"])
+            item[at : at + (way != "insert")] = [] if way == "delete" else [b"other"]
+        texts.append([b"x"] * 20 + item + [b"y"] * 20)
+    symbols = np.array([index.vocabulary.get(w, 0) for t in texts for w in t])
+    found = index.search(symbols, np.concatenate(([0], np.cumsum([len(t) for t in texts]))))
+    assert {(i, i) for i, _ in items} <= set(found)
+    assert all(cost <= contamination.edits(size) for cost, _, _ in found.values())
+
+
 def test_word_scores_are_those_of_brute_force(docs, texts):
     held = {i: zlib.crc32(str(i).encode()) % 5 == 1 for i in texts}
     words = {i: t.encode().lower().split() + [None] for i, t in texts.items()}
