@@ -303,6 +303,25 @@ def test_divergence(spark):
     assert (row["far"], row["same"]) == (1.0, 0.0)
 
 
+def test_languages_that_are_not_listed_are_judged_by_themselves(spark, docs):
+    rng = np.random.default_rng(9)
+    frequent = "и в не на я быть он с что а по это она этот".split()
+    rare = ["".join(rng.choice(list("абвгдежзиклмнопрстуя"), 7)) for _ in range(600)]
+    clean = [(10**6 + i, " ".join(rng.choice(frequent if rng.random() < 0.4 else rare) for _ in range(120)), "ru") for i in range(60)]
+    junk = [(2 * 10**6 + i, " ".join("".join(rng.choice(list("0123456789"), 6)) for _ in range(120)), "ru") for i in range(3)]
+    short = [(3 * 10**6, "λόγος " * 3, "el")]
+    more = spark.createDataFrame(clean + junk + short, "doc_id long, text string, lang string")
+    given = docs.select("doc_id", "text", "lang")
+    rows = {r["doc_id"]: r for r in quality.quality_rules(given.union(more)).collect()}
+    assert all(rows[i]["kept"] for i, _, _ in clean)
+    assert not any(rows[i]["kept"] for i, _, _ in junk)
+    assert rows[3 * 10**6]["character_distance"] is None and rows[3 * 10**6]["base_failed"]
+    alone = {r["doc_id"]: r["kept"] for r in quality.quality_rules(given).collect()}
+    assert {i: rows[i]["kept"] for i in alone} == alone
+    kept = {r["doc_id"] for r in quality.good_documents(given.union(more)).collect()}
+    assert kept == {i for i, r in rows.items() if r["kept"]}
+
+
 def test_surrogates(spark):
     rows = [
         (1, "mail Bob.X1@mail7.test.com, call +1 (375) 555-4393; card 4111 1111 1111 1111 and 4111111111111111."),
