@@ -7,6 +7,7 @@ from foliary.llm import (  # noqa: F401
     context_tree,
     packing,
     quality,
+    resampling,
     sharding,
     simhash,
     substrings,
