@@ -5,6 +5,7 @@ from foliary.llm import (  # noqa: F401
     compression,
     contamination,
     context_tree,
+    conversations,
     packing,
     quality,
     resampling,
