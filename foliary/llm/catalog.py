@@ -11,6 +11,7 @@ from foliary.llm import (  # noqa: F401
     resampling,
     sharding,
     simhash,
+    sketches,
     substrings,
     surrogates,
 )
