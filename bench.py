@@ -61,7 +61,7 @@ def main() -> None:
 
     def run(name: str) -> None:
         if name == "index_build":
-            store_index(build_index(Tables(spark, folder).pages))
+            store_index(build_index(Tables(spark, folder).pages.repartition(int(cpus))))
         else:
             QUERIES[name].run(spark, folder).write.format("noop").mode("overwrite").save()
 

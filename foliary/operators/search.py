@@ -10,6 +10,7 @@ from pyspark.sql.window import Window as W
 
 from foliary.functions import text as tx
 from foliary.operators.library import ENGINES, visible_documents
+from foliary.operators.postings import BLOCKS, corpus_totals, cut_blocks, phrases_in_blocks, scores_in_blocks, term_totals, tokens_of
 from foliary.sources import schemas
 from foliary.session import materialize, scratch_path
 
@@ -26,7 +27,7 @@ SNIPPET_SENTENCE_BONUS = 100
 SNIPPET_OPENING_BONUS = 120
 SORTS = ("relevance", "newestFirst", "oldestFirst")
 
-# Partitions of a stored index.
+# Folders of a stored index, unless its maker says otherwise.
 BUCKETS = 64
 
 # The rows of one query are spread over the shuffle partitions, up to this many, before its best rows are chosen.
@@ -36,12 +37,19 @@ SCORE_DIGITS = 8
 
 @dataclass(frozen=True)
 class Index:
-    """``postings``: one row per token with its position and the length of its row. ``corpus``: one row of totals.
+    """``blocks``: postings in blocks of rows (:mod:`foliary.operators.postings`). ``terms``: rows and occurrences of every term.
+    ``corpus``: one row of totals.
 
     A stored index also has a ``bucket`` column, a hash of the term by which its files are partitioned."""
 
-    postings: DataFrame
+    blocks: DataFrame
+    terms: DataFrame
     corpus: DataFrame
+    buckets: int = 0
+
+    @property
+    def postings(self) -> DataFrame:
+        return tokens_of(self.blocks)
 
     def row_count(self) -> Column:
         return self.corpus.select("n_rows").scalar()
@@ -49,61 +57,61 @@ class Index:
     def average_length(self) -> Column:
         return self.corpus.select(F.col("total_len") / F.col("n_rows")).scalar()
 
-    def with_terms(self, terms: DataFrame) -> DataFrame:
-        """Postings of the terms of a table. On a stored index only the partitions that may hold them are listed; the
-        buckets collected for this are at most ``BUCKETS`` numbers."""
-        postings = self.postings
-        if "bucket" in postings.columns:
-            wanted = [row["bucket"] for row in terms.select(bucket_of(F.col("term")).alias("bucket")).distinct().collect()]
-            postings = postings.filter(F.col("bucket").isin(wanted)).drop("bucket")
-        return postings.join(terms, "term")
+    def narrowed(self, terms: DataFrame) -> Index:
+        """The part of the index that may hold the terms of a table. Of a stored index only their folders are listed from then on;
+        the numbers collected for this are at most one per folder."""
+        if not self.buckets:
+            return self
+        wanted = [row["bucket"] for row in terms.select(bucket_of(F.col("term"), self.buckets).alias("bucket")).distinct().collect()]
+        inside = F.col("bucket").isin(wanted)
+        return Index(self.blocks.filter(inside).drop("bucket"), self.terms.filter(inside).drop("bucket"), self.corpus)
+
+    def statistics(self, terms: DataFrame) -> DataFrame:
+        return self.terms.join(terms.select("term").distinct(), "term").select("term", "df")
+
 
+def bucket_of(term: Column, buckets: int = BUCKETS) -> Column:
+    return F.pmod(F.xxhash64(F.coalesce(term, F.lit(""))), F.lit(buckets)).cast("int")
 
-def bucket_of(term: Column) -> Column:
-    return F.pmod(F.xxhash64(term), F.lit(BUCKETS)).cast("int")
+
+def index_of(blocks: DataFrame) -> Index:
+    return Index(blocks, term_totals(blocks), corpus_totals(blocks))
 
 
 def build_index(rows: DataFrame, row_id: str = "page_id", text: str = "text") -> Index:
     """Index the text of ``rows``. Row-local: nothing is shuffled until the index is stored or asked."""
-    tokenised = rows.select(F.col(row_id).alias("row_id"), "document_id", tx.tokens(F.col(text)).alias("tokens"))
-    length = F.size("tokens").cast("bigint").alias("row_len")
-    # The outer form, because for the inner one Spark adds a filter on the array that tokenises every text twice.
-    exploded = tokenised.select("row_id", "document_id", length, F.posexplode_outer("tokens").alias("position", "term"))
-    postings = exploded.filter(F.col("term").isNotNull())
-    corpus = tokenised.agg(F.count(F.lit(1)).alias("n_rows"), F.sum(F.size("tokens")).alias("total_len"))
-    return Index(postings.select("term", "row_id", "document_id", "row_len", "position"), corpus)
+    return index_of(cut_blocks(rows, row_id, text))
 
 
-def store_index(index: Index, path: str | None = None) -> Index:
+def store_index(index: Index, path: str | None = None, buckets: int = BUCKETS) -> Index:
     """Write an index and return it reading from storage.
 
-    Folders are term buckets, so a search lists only those of its own terms. Files are ranges of (bucket, term, row): a
-    term in a third of all rows spans many files, and runs of equal values compress to almost nothing."""
-    spark = index.postings.sparkSession
+    Texts are tokenised once, for the blocks; terms and totals are then counted from the numbers stored with these. Folders are
+    term buckets, so a search lists only those of its own terms. Spark sizes the files by what is in a bucket, so a stop word
+    spans many, and in a file the terms lie in order."""
+    spark = index.blocks.sparkSession
     path = path or scratch_path(spark, "index")
-    keys = ["bucket", "term", "row_id"]
-    ordered = index.postings.withColumn("bucket", bucket_of(F.col("term"))).repartitionByRange(*keys).sortWithinPartitions(*keys)
-    ordered.write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings")
-    index.corpus.write.mode("overwrite").parquet(f"{path}/corpus")
+    blocks = index.blocks.withColumn("bucket", bucket_of(F.col("term"), buckets))
+    blocks = blocks.hint("rebalance", "bucket").sortWithinPartitions("bucket", "term", "block")
+    blocks.write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/blocks")
+    written = spark.read.schema(f"{BLOCKS}, bucket int").parquet(f"{path}/blocks")
+    terms = term_totals(written).withColumn("bucket", bucket_of(F.col("term"), buckets))
+    terms.hint("rebalance", "bucket").sortWithinPartitions("bucket", "term").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/terms")
+    corpus = corpus_totals(written).withColumn("buckets", F.lit(buckets))
+    corpus.write.mode("overwrite").parquet(f"{path}/corpus")
     return load_index(spark, path)
 
 
 def load_index(spark, path: str) -> Index:
-    corpus = spark.read.schema("n_rows bigint, total_len bigint").parquet(f"{path}/corpus")
-    return Index(spark.read.schema(f"{schemas.POSTINGS}, bucket int").parquet(f"{path}/postings"), corpus)
+    corpus = spark.read.schema("n_rows bigint, total_len bigint, buckets int").parquet(f"{path}/corpus")
+    blocks = spark.read.schema(f"{BLOCKS}, bucket int").parquet(f"{path}/blocks")
+    terms = spark.read.schema("term string, df bigint, occurrences bigint, bucket int").parquet(f"{path}/terms")
+    return Index(blocks, terms, corpus.select("n_rows", "total_len"), corpus.first()["buckets"])
 
 
 def term_stats(index: Index) -> DataFrame:
-    """Document frequency and occurrences per term, with the corpus totals that BM25 needs.
-
-    Both groupings combine on the map side, so a frequent term sends a few rows per task."""
-    per_row = index.postings.groupBy("term", "row_id").agg(F.count(F.lit(1)).alias("n"))
-    return (
-        per_row.groupBy("term")
-        .agg(F.count(F.lit(1)).alias("df"), F.sum("n").alias("occurrences"))
-        .withColumn("n_rows", index.row_count())
-        .withColumn("avg_len", F.round(index.average_length(), 4))
-    )
+    """Document frequency and occurrences per term, with the corpus totals that BM25 needs."""
+    return index.terms.select("term", "df", "occurrences").withColumn("n_rows", index.row_count()).withColumn("avg_len", F.round(index.average_length(), 4))
 
 
 # ---- queries ---------------------------------------------------------------------------------------------------------
@@ -142,70 +150,67 @@ def phrases_of(queries: DataFrame) -> DataFrame:
 # ---- matching --------------------------------------------------------------------------------------------------------
 
 
-def phrase_hits(index: Index, phrases: DataFrame) -> DataFrame:
-    """Rows holding each distinct phrase, with the number of times.
-
-    Every phrase starts from its rarest word: each place of that word says where the phrase would begin, and so where
-    its other words must be. Those places are looked up by (term, row, position), a key that no frequent word can
-    skew, and a beginning with all words in place is an occurrence."""
+def rarest_first(index: Index, phrases: DataFrame) -> DataFrame:
+    """The distinct phrases all of whose words occur: ``parts`` has their words (df, term, offset), the rarest first. Known from the
+    stored statistics alone, before any postings are read."""
     words = phrases.select("phrase").distinct().select("phrase", F.posexplode(F.split("phrase", " ")).alias("offset", "term"))
-    terms = words.select("term").distinct()
-    postings = index.with_terms(terms)
-    counts = postings.groupBy("term").agg(F.count(F.lit(1)).alias("n"))
+    counted = words.join(index.statistics(words), "term", "left")
     # One row per phrase; its words are few, since the query text is bounded.
-    ordered = words.join(counts, "term", "left").groupBy("phrase").agg(
-        F.sort_array(F.collect_list(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "term", "offset"))).alias("parts")
-    )
-    lead, row = F.col("parts")[0], ["phrase", "row_id", "document_id", "row_len"]
-    alone = ordered.filter(F.size("parts") == 1).select("phrase", lead["term"].alias("term"))
-    single = postings.join(alone, "term").select(*row)
-    # One row per word that must stand at a distance from the lead.
-    others = F.explode(F.slice("parts", F.lit(2), F.size("parts") - 1)).alias("other")
-    pairs = ordered.filter(F.size("parts") > 1).select("phrase", lead.alias("lead"), (F.size("parts") - 1).alias("n_others"), others)
-    pairs = pairs.select("phrase", "n_others", "lead.term", "lead.offset", F.col("other.term").alias("other"), (F.col("other.offset") - F.col("lead.offset")).alias("shift"))
-    places = postings.join(pairs, "term").select(
-        *row, "n_others", (F.col("position") - F.col("offset")).alias("start"), F.col("other").alias("term"), (F.col("position") + F.col("shift")).alias("position")
-    )
-    found = (
-        places.join(postings.select("term", "row_id", "position"), ["term", "row_id", "position"])
-        .groupBy(*row, "start", "n_others")
-        .agg(F.count(F.lit(1)).alias("in_place"))
-        .filter(F.col("in_place") == F.col("n_others"))
-        .select(*row)
-    )
-    return single.unionByName(found).groupBy(*row).agg(F.count(F.lit(1)).alias("f"))
+    parts = counted.groupBy("phrase").agg(F.sort_array(F.collect_list(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "term", "offset"))).alias("parts"))
+    return parts.filter(F.col("parts")[0]["df"] > 0)
+
+
+def lead_blocks(index: Index, leads: DataFrame, *keys: str) -> DataFrame:
+    """The blocks that hold the rarest word of each phrase or query; no other block can hold all of its words."""
+    return index.blocks.select("term", "block").join(leads, "term").select(*keys, "block")
+
 
+def phrase_hits(index: Index, ordered: DataFrame) -> DataFrame:
+    """Postings of each phrase of several words, in blocks: of its other words only the blocks of its rarest one are joined."""
+    leads = lead_blocks(index, ordered.select("phrase", F.col("parts")[0]["term"].alias("term")), "phrase")
+    words = ordered.select("phrase", F.size("parts").alias("n_words"), F.explode("parts").alias("part")).select("phrase", "n_words", "part.term", "part.offset")
+    # A stored table has a known size, so Spark sends it to the postings when it is small instead of shuffling these.
+    wanted = materialize(leads.join(words, "phrase"), "wanted-words")
+    found = F.collect_list(F.struct("offset", "row_ids", "document_ids", "row_lens", "positions")).alias("found")
+    met = wanted.join(index.blocks.select("term", "block", "row_ids", "document_ids", "row_lens", "positions"), ["term", "block"])
+    grouped = met.groupBy("phrase", "block", "n_words").agg(found).filter(F.size("found") == F.col("n_words"))
+    return phrases_in_blocks(grouped.withColumnRenamed("phrase", "term"))
 
-def matches(queries: DataFrame, index: Index) -> DataFrame:
+
+def matches(queries: DataFrame, index: Index, within: DataFrame | None = None) -> DataFrame:
     """Rows that hold every phrase of a query, with their BM25 score (negative, lower is better).
 
-    Candidates come from the rarest phrase of each query and are then checked against its other phrases by
-    (phrase, row), so a stop word in a query costs no more than that query's rarest word."""
+    The frequency of a word is stored, that of a longer phrase is counted from its occurrences. The rarest phrase of a query says
+    which blocks of rows it can match in; only these blocks of its other phrases are joined, so of a stop word beside a rare word
+    little is read into the join, and positions only for phrases. A query meets a block in one step, over at most the words of
+    one query times the rows of one block. ``within`` (query_id, document_id) limits queries to documents; the statistics
+    stay those of all rows."""
     phrases = phrases_of(queries)
-    hits = materialize(phrase_hits(index, phrases), "phrase-hits")
-    df = hits.groupBy("phrase").agg(F.count(F.lit(1)).alias("df"))
+    index = index.narrowed(phrases.select(F.explode(F.split("phrase", " ")).alias("term")))
+    ordered = materialize(rarest_first(index, phrases), "phrases")
+    hits = materialize(phrase_hits(index, ordered.filter(F.size("parts") > 1)), "phrase-hits")
+    words = ordered.filter(F.size("parts") == 1).select("phrase", F.col("parts")[0]["df"].alias("df"))
+    counted = hits.groupBy(F.col("term").alias("phrase")).agg(F.sum(F.size("row_ids")).alias("df"))
     n_rows = index.row_count()
     idf = F.log((n_rows - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weighted = phrases.join(df, "phrase").withColumn("idf", F.when(idf > 0, idf).otherwise(IDF_FLOOR))
-    # One row per query: at most a few dozen phrases, since the query text is bounded.
-    plans = (
-        weighted.groupBy("query_id", F.size("phrases").alias("n_phrases"))
-        .agg(F.sort_array(F.collect_list(F.struct("df", "phrase", "idf"))).alias("parts"))
-        .filter(F.size("parts") == F.col("n_phrases"))
-        .select("query_id", "n_phrases", "parts", F.col("parts")[0]["phrase"].alias("phrase"))
-    )
-    candidates = hits.select("phrase", "row_id").join(plans, "phrase").select("query_id", "n_phrases", "row_id", F.explode("parts").alias("part"))
-    candidates = candidates.select("query_id", "n_phrases", "row_id", "part.phrase", "part.idf")
-    length_norm = BM25_K1 * (1 - BM25_B + BM25_B * F.col("row_len") / index.average_length())
-    score = F.col("idf") * F.col("f") * (BM25_K1 + 1) / (F.col("f") + length_norm)
-    return (
-        candidates.join(hits, ["phrase", "row_id"])
-        .select("query_id", "n_phrases", "row_id", "document_id", score.alias("part_score"))
-        .groupBy("query_id", "n_phrases", "row_id", "document_id")
-        .agg(F.count(F.lit(1)).alias("found"), F.round(F.sum("part_score"), SCORE_DIGITS).alias("score"))
-        .filter(F.col("found") == F.col("n_phrases"))
-        .select("query_id", "row_id", "document_id", (F.lit(0.0) - F.col("score")).alias("bm25_score"))
-    )
+    weighted = phrases.join(words.unionByName(counted), "phrase").withColumn("idf", F.when(idf > 0, idf).otherwise(IDF_FLOOR))
+    # One row per query: at most a few dozen phrases, since the query text is bounded. A phrase that is repeated counts again.
+    terms = weighted.groupBy("query_id", F.size("phrases").alias("n_phrases"), F.col("phrase").alias("term"), "df").agg(F.sum("idf").alias("weight"), F.count(F.lit(1)).alias("times"))
+    plans = terms.groupBy("query_id", "n_phrases").agg(F.sort_array(F.collect_list(F.struct("df", "term", "weight"))).alias("parts"), F.sum("times").alias("times"))
+    plans = materialize(plans.filter(F.col("times") == F.col("n_phrases")).select("query_id", "parts"), "query-plans")
+    wanted = plans.select("query_id", F.size("parts").alias("n_terms"), F.explode("parts").alias("part")).select("query_id", "n_terms", "part.term", "part.weight")
+    columns = ["term", "block", "row_ids", "document_ids", "row_lens", "counts"]
+    both = Index(index.blocks.select(*columns).unionByName(hits.select(*columns)), index.terms, index.corpus)
+    found = F.collect_list(F.struct("weight", "row_ids", "document_ids", "row_lens", "counts")).alias("found")
+    # What meets alone needs no other block, so it is not grouped.
+    alone = both.blocks.join(wanted.filter("n_terms = 1"), "term").select("query_id", F.array(F.struct("weight", "row_ids", "document_ids", "row_lens", "counts")).alias("found"))
+    several = lead_blocks(both, plans.filter(F.size("parts") > 1).select("query_id", F.col("parts")[0]["term"].alias("term")), "query_id").join(wanted, "query_id")
+    met = materialize(several, "wanted-terms").join(both.blocks, ["term", "block"]).groupBy("query_id", "block", "n_terms").agg(found).filter(F.size("found") == F.col("n_terms"))
+    grouped = alone.unionByName(met.select("query_id", "found")).withColumn("avg_len", index.average_length())
+    scored = scores_in_blocks(grouped, BM25_K1, BM25_B)
+    if within is not None:
+        scored = scored.join(within, ["query_id", "document_id"], "left_semi")
+    return scored.select("query_id", "row_id", "document_id", (F.lit(0.0) - F.round("score", SCORE_DIGITS)).alias("bm25_score"))
 
 
 def page_bounds(queries: DataFrame) -> DataFrame:
@@ -283,8 +288,8 @@ def search(queries: DataFrame, index: Index, pages: DataFrame, documents: DataFr
 
 def search_in_document(queries: DataFrame, index: Index, pages: DataFrame, documents: DataFrame) -> DataFrame:
     """Answer queries that each name one document: its matching pages in page order."""
-    targets = queries.select("query_id", "document_id")
-    found = matches(queries, index).join(targets, ["query_id", "document_id"], "left_semi")
+    targets = materialize(queries.select("query_id", "document_id"), "targets")
+    found = matches(queries, index, targets)
     facts = visible_documents(documents).select("document_id")
     numbers = pages.select(F.col("page_id").alias("row_id"), "page_number")
     ranked = (

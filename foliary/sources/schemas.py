@@ -18,7 +18,6 @@ FILE_LISTING = "path string, size bigint, mtime bigint, seen_at bigint"
 QUERIES = (
     "query_id bigint, q string, sort string, lim bigint, off bigint, date_from bigint, date_to bigint, engine string"
 )
-POSTINGS = "term string, row_id bigint, document_id bigint, row_len bigint, position int"
 MESSAGES = "thread_id bigint, turn bigint, role string, content string, citations string, created_at bigint"
 WORDS = (
     "page_id bigint, block bigint, line bigint, word bigint, text string, `left` bigint, top bigint, `right` bigint, "

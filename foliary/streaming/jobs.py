@@ -12,9 +12,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foliary.functions.grouping import streak_since
-from foliary.operators import intake, library, search, vectors
+from foliary.operators import intake, library, postings, search, vectors
 from foliary.operators.chunking import chunk_documents
 from foliary.operators.ledger import FINISHED_STAGES, TERMINAL, clamp_progress
+from foliary.session import materialize
 from foliary.streaming.store import VersionedRows
 
 # Fixed values.
@@ -179,28 +180,48 @@ class StabilityStream:
 class IndexStream:
     """Keeps an inverted index equal to a changing page table.
 
-    Changes (``op, seq, page_id, document_id, text`` with op insert, update or delete) replace the postings of the
-    pages they touch; the cost of a batch follows its changes, not the size of the index."""
+    Pages and their blocks lie in buckets of the page id. A batch of changes (``op, seq, page_id, document_id, text`` with op
+    insert, update or delete) reads the pages of the buckets it touches, applies them, and overwrites those buckets of both
+    tables, so its work follows the buckets it touches. A change counts only if its ``seq`` is not older than that of the
+    page, and deleted pages stay as marks; so a batch that is written again after a failure, in part or as a whole, changes nothing."""
 
-    ROWS = "row_id bigint, document_id bigint, row_len bigint, term string, position int"
+    PAGES = "page_id bigint, document_id bigint, text string, seq bigint, bucket int"
 
-    def __init__(self, spark: SparkSession, path: str):
-        self.postings = VersionedRows(spark, f"{path}/postings", "row_id", self.ROWS)
-        self.rows = VersionedRows(spark, f"{path}/rows", "row_id", "row_id bigint, row_len bigint")
+    def __init__(self, spark: SparkSession, path: str, buckets: int = 64):
+        self.spark, self.path, self.buckets = spark, path.rstrip("/"), buckets
+        for part, schema in (("pages", self.PAGES), ("blocks", f"{postings.BLOCKS}, bucket int")):
+            spark.createDataFrame([], schema).write.mode("append").parquet(f"{self.path}/{part}")
+
+    def _bucket(self):
+        return F.pmod(F.xxhash64("page_id"), F.lit(self.buckets)).cast("int")
+
+    def _overwrite(self, rows: DataFrame, part: str) -> None:
+        rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(f"{self.path}/{part}")
+
+    def pages(self) -> DataFrame:
+        return self.spark.read.schema(self.PAGES).parquet(f"{self.path}/pages")
 
     def on_batch(self, batch: DataFrame, batch_id: int) -> None:
-        last = batch.groupBy("page_id").agg(F.max_by(F.struct("op", "document_id", "text"), "seq").alias("last")).select("page_id", "last.*").persist()
-        live = last.filter(F.col("op") != "delete")
-        touched = last.select(F.col("page_id").alias("row_id"))
-        index = search.build_index(live)
-        self.postings.replace(batch_id, index.postings, touched)
-        lengths = live.select(F.col("page_id").alias("row_id"), F.size(search.tx.tokens(F.col("text"))).cast("bigint").alias("row_len"))
-        self.rows.replace(batch_id, lengths, touched)
-        last.unpersist()
+        text = F.when(F.col("op") != "delete", F.coalesce("text", F.lit("")))
+        changes = batch.select("page_id", "document_id", text.alias("text"), "seq", self._bucket().alias("bucket"))
+        touched = sorted(row["bucket"] for row in changes.select("bucket").distinct().collect())  # at most one number per bucket
+        if not touched:
+            return
+        inside = F.col("bucket").isin(touched)
+        both = self.pages().filter(inside).unionByName(changes)
+        newest = F.max_by(F.struct("document_id", "text", "seq"), F.struct("seq", "text")).alias("page")
+        merged = materialize(both.groupBy("bucket", "page_id").agg(newest).select("page_id", "page.*", "bucket"), "index-pages")
+        self._overwrite(merged, "pages")
+        # Sorted by bucket, and a block never spans two of them.
+        alive = merged.filter(F.col("text").isNotNull()).repartition("bucket").sortWithinPartitions("bucket", "page_id")
+        cut = postings.cut_blocks(alive, within="bucket")
+        # A bucket whose last page has gone still gets its (empty) totals, so its old blocks are replaced.
+        emptied = merged.groupBy("bucket").agg(F.count("text").alias("n")).filter("n = 0")
+        blank = emptied.select(*[F.lit(0 if name in ("block", "n_rows", "n_tokens") else None).cast(kind).alias(name) for name, kind in postings.FIELDS], "bucket")
+        self._overwrite(cut.unionByName(blank), "blocks")
 
     def index(self) -> search.Index:
-        corpus = self.rows.read().agg(F.count(F.lit(1)).alias("n_rows"), F.sum("row_len").alias("total_len"))
-        return search.Index(self.postings.read().select("term", "row_id", "document_id", "row_len", "position"), corpus)
+        return search.index_of(self.spark.read.schema(f"{postings.BLOCKS}, bucket int").parquet(f"{self.path}/blocks").drop("bucket"))
 
 
 class EmbedStream:
