@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
@@ -14,9 +18,19 @@ BAND_PX = 10
 ENTITIES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"))
 REFERENCE = "^(?:[xX]([0-9a-fA-F]{1,6})|([0-9]{1,7}));"  # what follows "&#" in a character reference
 
-BLOCK_OPEN = r"""(?i)<div[^>]*class=(?:'[^']*(?:ocr_carea|ocrx_block)[^']*'|"[^"]*(?:ocr_carea|ocrx_block)[^"]*")[^>]*>"""
-LINE_OPEN = r"""(?i)<span[^>]*class=(?:'[^']*ocr_line[^']*'|"[^"]*ocr_line[^"]*")[^>]*>"""
-WORD = r"""(?is)<span(?=[^>]*class=['"][^'"]*ocrx_word)[^>]*(?<!/)>.*?</span>"""
+# Class names of recognition markup.
+BLOCK_CLASSES, LINE_CLASS, WORD_CLASS = ("ocr_carea", "ocrx_block"), "ocr_line", "ocrx_word"
+
+# A whole word without inner markup comes as one piece; all else as a tag, or the text up to the next one.
+PIECE = re.compile(
+    r"""<(?P<word>[sS][pP][aA][nN]\b(?:[^>"']|"[^"]*"|'[^']*')*(?<!/))>(?P<inner>[^<]*)</[sS][pP][aA][nN]\s*>|<!--.*?-->|<!\[CDATA\[.*?\]\]>|<(?P<tag>(?:[^>"']|"[^"]*"|'[^']*')*)>|(?P<text>[^<]+)""",
+    re.DOTALL,
+)
+ATTRIBUTE = re.compile(r"""\b(class|title)\s*=\s*(?:"([^"]*)"|'([^']*)')""")
+BOX = re.compile(r"bbox\s+(\d+)\s+(\d+)\s+(\d+)\s+(\d+)")
+CONFIDENCE = re.compile(r"x_wconf\s+([0-9.+-]+)")
+REFERENCES = re.compile(r"&(?:(lt|gt|quot|apos|amp)|#[xX]([0-9a-fA-F]{1,6})|#([0-9]{1,7}));")
+NAMED = {"lt": "<", "gt": ">", "quot": '"', "apos": "'", "amp": "&"}
 
 
 def _character(part: Column) -> Column:
@@ -38,62 +52,146 @@ def unescape(text: Column) -> Column:
     return F.replace(F.when(F.contains(text, F.lit("&#")), numbered).otherwise(text), F.lit("&amp;"), F.lit("&"))
 
 
-def hocr_words(pages: DataFrame) -> DataFrame:
+def _resolved(found: re.Match) -> str:
+    name, digits, decimal = found.groups()
+    if name:
+        return NAMED[name]
+    code = int(digits, 16) if digits else int(decimal)
+    return chr(code) if 0 < code < 0xD800 or 0xE000 <= code <= 0x10FFFF else found.group()
+
+
+def _resolve(text: str) -> str:
+    return REFERENCES.sub(_resolved, text) if "&" in text else text
+
+
+def _attributes(tag: str) -> tuple[str, str]:
+    kept = {"class": "", "title": ""}
+    for name, double, single in ATTRIBUTE.findall(tag):
+        kept[name] = double or single
+    return kept["class"], _resolve(kept["title"])
+
+
+def _kind(name: str, classes: str) -> str:
+    """What an element is to the page: block, line, word or nothing."""
+    if name == "div":
+        return "block" if any(c in classes for c in BLOCK_CLASSES) else ""
+    return "line" if LINE_CLASS in classes else "word" if WORD_CLASS in classes else ""
+
+
+def _words_of(markup: str) -> Iterator[tuple]:
+    """(block, line, word, text, left, top, right, bottom, confidence) of every word of a page, in one pass over its pieces.
+
+    A word that is not blank takes the next place; opening or closing a line or block starts a new one there, once such a
+    word follows. Blank words have no place."""
+    at = [-1, -1, -1]
+    fresh = 0  # what the next word starts: 0 a block, 1 a line, 2 neither
+    opened = {"div": [], "span": []}
+    title, parts = None, []
+
+    def finished() -> tuple:
+        nonlocal fresh
+        text, box, sure = "".join(parts), BOX.search(title), CONFIDENCE.search(title)
+        try:
+            confidence = float(sure.group(1)) if sure else None
+        except ValueError:
+            confidence = None
+        sides = tuple(map(int, box.groups())) if box else (0, 0, 0, 0)
+        if not text.strip(tx.WHITESPACE_CHARS):
+            return (None, None, None, "", *sides, confidence)
+        at[fresh] += 1
+        at[fresh + 1 :] = [0] * (2 - fresh)
+        fresh = 2
+        return (*at, text, *sides, confidence)
+
+    for piece in PIECE.finditer(markup):
+        whole, tag, text = piece["word"], piece["tag"], piece["text"]
+        if whole is not None and title is None:
+            classes, found = _attributes(whole)
+            kind = _kind("span", classes)
+            if kind == "word":
+                title, parts = found, [_resolve(piece["inner"].strip(" \t\r\n"))]
+                yield finished()
+                title = None
+            elif kind == "line":
+                fresh = min(fresh, 1)
+        elif whole is not None:  # a span inside a word
+            parts.append(_resolve(piece["inner"].strip(" \t\r\n")))
+        elif text is not None:
+            if title is not None:
+                parts.append(_resolve(text.strip(" \t\r\n")))
+        elif tag:
+            name = tag.strip("/").split(None, 1)[0].lower() if tag.strip("/ \t\r\n") else ""
+            if name not in opened:
+                continue
+            if tag[0] == "/":
+                kind = opened[name].pop() if opened[name] else ""
+                if kind == "word" and title is not None:
+                    yield finished()
+                    title = None
+                elif kind in ("block", "line"):
+                    fresh = min(fresh, 0 if kind == "block" else 1)
+                continue
+            classes, found = _attributes(tag)
+            kind = _kind(name, classes)
+            if tag[-1] == "/":
+                if kind == "word":
+                    before = title, parts
+                    title, parts = found, []
+                    yield finished()
+                    title, parts = before
+                continue
+            opened[name].append(kind)
+            if kind == "word":
+                title, parts = found, []
+            elif kind:
+                fresh = min(fresh, 0 if kind == "block" else 1)
+    if title is not None:
+        yield finished()
+
+
+def hocr_words(pages: DataFrame, blank: bool = False) -> DataFrame:
     """Markup of whole pages (``page_id, hocr``) to a word table.
 
-    The markup is cut into blocks, lines and words inside the row; blocks, lines and words without text do not count.
-    A missing box is all zeros, a missing confidence NULL."""
-    has_text = f">[^<]*[^<{tx.WHITESPACE}]"
-    words = lambda line: F.filter(F.regexp_extract_all(line, F.lit(WORD), F.lit(0)), lambda w: w.rlike(has_text))
-    filled = lambda parts: F.filter(parts, lambda part: F.size(part) > 0)
-    lines = lambda block: filled(F.transform(F.split(block, LINE_OPEN), words))
-    tree = filled(F.transform(F.split("hocr", BLOCK_OPEN), lines))
-    exploded = (
-        pages.select("page_id", F.posexplode(tree).alias("block", "lines"))
-        .select("page_id", "block", F.posexplode("lines").alias("line", "words"))
-        .select("page_id", "block", "line", F.posexplode("words").alias("word", "markup"))
-    )
-    content = F.regexp_replace("markup", "<[^>]*>", "")
-    content = F.when(F.contains(content, F.lit("&")), unescape(content)).otherwise(content)
-    title = F.regexp_extract("markup", r"""(?is)^<span[^>]*title=(?:'[^']*'|"[^"]*")""", 0)
-    box = F.split(F.regexp_extract(title, r"bbox\s+(\d+\s+\d+\s+\d+\s+\d+)", 1), r"\s+")
-    side = lambda n: F.coalesce(F.get(box, F.lit(n)).try_cast("bigint"), F.lit(0))
-    number = lambda c: F.col(c).cast("bigint").alias(c)
-    return exploded.select(
-        "page_id",
-        number("block"),
-        number("line"),
-        number("word"),
-        tx.squeeze(content).alias("text"),
-        side(0).alias("left"),
-        side(1).alias("top"),
-        side(2).alias("right"),
-        side(3).alias("bottom"),
-        F.regexp_extract(title, r"x_wconf\s+([0-9.+-]+)", 1).try_cast("double").alias("confidence"),
-    )
+    Places number the blocks, lines and words that have text. Text keeps its inner spaces; around tags it is trimmed. A missing box is
+    all zeros, a missing or unreadable confidence NULL. Words without text are left out, unless ``blank`` asks for them:
+    then they come without a place, for the sake of their confidence. Markup that is not well formed is read as far as it goes."""
+    kinds = [pages.schema["page_id"].dataType.simpleString(), *["bigint"] * 3, "string", *["bigint"] * 4, "double"]
+    names = ["page_id", "block", "line", "word", "text", "left", "top", "right", "bottom", "confidence"]
+    types = [pa.int64()] * 3 + [pa.string()] + [pa.int64()] * 4 + [pa.float64()]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            owner, found = [], []
+            for number, markup in enumerate(batch.column(1).to_pylist()):
+                words = [w for w in _words_of(markup or "") if blank or w[3]]
+                owner.extend([number] * len(words))
+                found.extend(words)
+            columns = list(zip(*found)) or [()] * len(types)
+            made = [batch.column(0).take(pa.array(owner, pa.int64())), *(pa.array(c, kind) for c, kind in zip(columns, types))]
+            yield pa.RecordBatch.from_arrays(made, names)
+
+    return pages.select("page_id", "hocr").mapInArrow(run, ", ".join(f"`{n}` {k}" for n, k in zip(names, kinds)))
 
 
 def page_text_from_words(words: DataFrame) -> DataFrame:
     """Words to lines, lines to blocks, blocks to the text of a page, with the mean known confidence.
 
+    Words without text count for the confidence alone; a page of such words has an empty text.
     Every group is part of one page. The first grouping by page keeps its rows together for the later ones."""
     word = tx.trim(F.col("text"))
-    ordered = F.sort_array(F.collect_list(F.struct("block", "line", "word", word.alias("text"))))
-    pages = words.filter(word != "").groupBy("page_id").agg(
-        ordered.alias("words"), F.round(F.avg("confidence"), 4).alias("mean_confidence"), F.count(F.lit(1)).alias("words_count")
+    ordered = F.sort_array(F.collect_list(F.when(word != "", F.struct("block", "line", "word", word.alias("text")))))
+    pages = words.groupBy("page_id").agg(
+        ordered.alias("words"), F.round(F.avg("confidence"), 4).alias("mean_confidence"), F.count(F.when(word != "", 1)).alias("words_count")
     )
+    near = F.col("words")
+
+    def gap(i: Column) -> Column:
+        w, before = near[i], near[i - 1]
+        return F.when(i == 0, "").when(before["block"] != w["block"], "\n\n").when(before["line"] != w["line"], "\n").otherwise(" ")
 
-    def append(text: Column, w: Column) -> Column:
-        gap = (
-            F.when(text["text"] == "", "")
-            .when(text["block"] != w["block"], "\n\n")
-            .when(text["line"] != w["line"], "\n")
-            .otherwise(" ")
-        )
-        return F.struct(F.concat(text["text"], gap, w["text"]).alias("text"), w["block"].alias("block"), w["line"].alias("line"))
-
-    start = F.struct(F.lit("").alias("text"), F.lit(-1).cast("bigint").alias("block"), F.lit(-1).cast("bigint").alias("line"))
-    return pages.select("page_id", F.aggregate("words", start, append)["text"].alias("text"), "words_count", "mean_confidence")
+    # Pieces joined at the end: a page of any length is copied once.
+    text = F.array_join(F.transform("words", lambda w, i: F.concat(gap(i), w["text"])), "")
+    return pages.select("page_id", text.alias("text"), "words_count", "mean_confidence")
 
 
 def polygon_box(polygon: Column, width: Column, height: Column) -> Column:

@@ -12,7 +12,8 @@ from foliary.plans.tables import Tables
 
 
 def hocr(t: Tables) -> DataFrame:
-    """Pages written as markup: two lines per block, boxes from the word's place, some confidences and boxes missing."""
+    """Pages written as markup: two lines per block, boxes from the word's place, some confidences and boxes missing. Some words hold inner
+    spans or spaces, some blocks end before their second line, and every line ends in a blank word, some with a confidence."""
     i32 = lambda c: c.cast("int")
 
     def word(line_no, page_id):
@@ -25,7 +26,9 @@ def hocr(t: Tables) -> DataFrame:
             parts = F.concat(
                 F.when((line_no + n) % 17 == 0, F.lit("")).otherwise(box), F.when(confidence % 10 == 0, F.lit("")).otherwise(F.concat(F.lit("; x_wconf "), confidence.cast("string")))
             )
-            return F.concat(F.lit("<span class='ocrx_word' title='"), parts, F.lit("'>"), tx.escape_html(text), F.lit("</span>"))
+            inner = F.concat(tx.escape_html(text), F.when((line_no + n) % 13 == 6, "  x").otherwise(""))
+            inner = F.when((line_no + n) % 11 == 5, F.concat(F.lit("<span lang='en'>"), inner, F.lit("</span>"))).otherwise(inner)
+            return F.concat(F.lit("<span class='ocrx_word' title='"), parts, F.lit("'>"), inner, F.lit("</span>"))
 
         return build
 
@@ -33,19 +36,24 @@ def hocr(t: Tables) -> DataFrame:
         words = F.filter(F.split(tx.squeeze(text), " "), lambda w: w != "")
         body = F.array_join(F.transform(words, word(i32(n), F.col("page_id"))), "\n")
         opening = F.when(n % 2 == 0, F.lit("<div class='ocr_carea'>")).otherwise("")
-        return F.concat(opening, F.lit("<span class='ocr_line'>"), body, F.lit("<span class='ocrx_word' title=''> </span></span>"))
+        blank = F.when(n % 2 == 0, "<span class='ocrx_word' title='x_wconf 50'> </span></span>").otherwise("<span class='ocrx_word' title=''> </span></span>")
+        closing = F.when((F.col("page_id") % 5 == 0) & (n == 2), F.lit("</div>")).otherwise("")
+        return F.concat(opening, F.lit("<span class='ocr_line'>"), body, blank, closing)
 
     lines = F.transform(F.split("text", "\n"), line)
-    return t.pages.select("page_id", F.concat(F.lit("<div class='ocr_page'>"), F.array_join(lines, "\n"), F.lit("</div></div>")).alias("hocr"))
+    # Few rows carry much work here, so they are spread before the markup is made.
+    pages = t.pages.repartition(int(t.spark.conf.get("spark.sql.shuffle.partitions")))
+    return pages.select("page_id", F.concat(F.lit("<div class='ocr_page'>"), F.array_join(lines, "\n"), F.lit("</div></div>")).alias("hocr"))
 
 
 WORDS = r"""
 source_lines AS (SELECT page_id, unnest(string_split(text, chr(10))) AS line_text, unnest(range(len(string_split(text, chr(10))))) AS i FROM lib_pages),
-source_words AS (SELECT page_id, i, unnest(w) AS text, unnest(range(len(w))) AS j FROM
+source_words AS (SELECT page_id, i, CASE WHEN page_id % 5 = 0 AND i = 3 THEN 3 ELSE i // 2 * 2 END AS area, unnest(w) AS raw, unnest(range(len(w))) AS j FROM
   (SELECT page_id, i, list_filter(string_split(trim(regexp_replace(line_text, '\s+', ' ', 'g')), ' '), lambda x: x <> '') AS w FROM source_lines)),
-words AS (SELECT page_id, dense_rank() OVER (PARTITION BY page_id ORDER BY i // 2) - 1 AS block, dense_rank() OVER (PARTITION BY page_id, i // 2 ORDER BY i) - 1 AS line, j AS word, text,
+words AS (SELECT page_id, dense_rank() OVER (PARTITION BY page_id ORDER BY area) - 1 AS block, dense_rank() OVER (PARTITION BY page_id, area ORDER BY i) - 1 AS line, j AS word,
+    raw || CASE WHEN (i + j) % 13 = 6 THEN '  x' ELSE '' END AS text,
     CASE WHEN (i + j) % 17 = 0 THEN 0 ELSE j * 50 END AS "left", CASE WHEN (i + j) % 17 = 0 THEN 0 ELSE i * 40 END AS top,
-    CASE WHEN (i + j) % 17 = 0 THEN 0 ELSE j * 50 + 10 * length(text) END AS "right", CASE WHEN (i + j) % 17 = 0 THEN 0 ELSE i * 40 + 30 END AS bottom,
+    CASE WHEN (i + j) % 17 = 0 THEN 0 ELSE j * 50 + 10 * length(raw) END AS "right", CASE WHEN (i + j) % 17 = 0 THEN 0 ELSE i * 40 + 30 END AS bottom,
     CASE WHEN ((page_id + i * 7 + j * 13) % 100) % 10 <> 0 THEN (page_id + i * 7 + j * 13) % 100 END::DOUBLE AS confidence FROM source_words)"""
 
 
@@ -58,11 +66,14 @@ def hocr_words(t: Tables) -> DataFrame:
     f"""
 WITH {WORDS}, lines AS (SELECT page_id, block, line, string_agg(text, ' ' ORDER BY word) AS text FROM words GROUP BY page_id, block, line),
 blocks AS (SELECT page_id, block, string_agg(text, chr(10) ORDER BY line) AS text FROM lines GROUP BY page_id, block),
-joined AS (SELECT page_id, string_agg(text, chr(10) || chr(10) ORDER BY block) AS text FROM blocks GROUP BY page_id)
-SELECT page_id, j.text, count(*) AS words_count, round(avg(confidence), 4) AS mean_confidence FROM joined j JOIN words USING (page_id) GROUP BY page_id, j.text"""
+joined AS (SELECT page_id, string_agg(text, chr(10) || chr(10) ORDER BY block) AS text FROM blocks GROUP BY page_id),
+blanks AS (SELECT page_id, count_if(i % 2 = 0) AS n FROM source_lines GROUP BY page_id),
+sums AS (SELECT page_id, count(*) AS words_count, count(confidence) AS n, sum(confidence) AS total FROM words GROUP BY page_id)
+SELECT page_id, coalesce(j.text, '') AS text, coalesce(words_count, 0) AS words_count,
+  round((coalesce(total, 0) + 50 * blanks.n) / (coalesce(sums.n, 0) + blanks.n), 4) AS mean_confidence FROM blanks LEFT JOIN joined j USING (page_id) LEFT JOIN sums USING (page_id)"""
 )
 def page_text_from_words(t: Tables) -> DataFrame:
-    return recognition.page_text_from_words(recognition.hocr_words(hocr(t)))
+    return recognition.page_text_from_words(recognition.hocr_words(hocr(t), blank=True))
 
 
 def _lines(t: Tables) -> DataFrame:
