@@ -11,7 +11,7 @@ from foliary.plans.retrieval import CHUNKS
 from foliary.plans.tables import Tables, list_files
 from foliary.session import scratch_path
 from foliary.streaming import jobs
-from foliary.streaming.store import run_batches, run_to_files
+from foliary.streaming.run import run_batches, run_to_files
 
 
 def _stream(t: Tables, table: str) -> DataFrame:
@@ -38,6 +38,16 @@ def _append(t: Tables, stream: DataFrame, label: str) -> DataFrame:
     return t.spark.read.schema(stream.schema).parquet(f"{path}/out")
 
 
+def _in_turns(t: Tables, parts: list[DataFrame], label: str, run) -> str:
+    """Parts of a feed that arrive one after the other: each is written, and the stream goes on from where it stopped.
+    ``run(stream, folder)`` starts the stream and waits for it."""
+    path = scratch_path(t.spark, label)
+    for part in parts:
+        part.write.mode("append").parquet(f"{path}/feed")
+        run(t.spark.readStream.schema(part.schema).parquet(f"{path}/feed"), path)
+    return path
+
+
 def _micros(column: str):
     return F.unix_micros(column).alias(column)
 
@@ -141,17 +151,11 @@ SELECT user_id, event_type, moment FROM anchors"""
 def dedup_stream(t: Tables) -> DataFrame:
     """A ten-hour window over events that arrive in several batches in time order."""
     moments = t.raw("events").select("user_id", "event_type", tx.epoch_micros(F.col("ts")).alias("moment"))
-    path = scratch_path(t.spark, "dedup")
-    # Ranges of time, written one after the other: files reach the stream by age.
     bounds = moments.agg(F.min("moment").alias("a"), F.max("moment").alias("b")).first()
-    step, feed = (bounds["b"] - bounds["a"]) // 3 + 1, f"{path}/feed"
-    for part in range(3):
-        inside = (F.col("moment") >= bounds["a"] + part * step) & (F.col("moment") < bounds["a"] + (part + 1) * step)
-        moments.filter(inside).coalesce(1).write.mode("append").parquet(feed)
-    stream = t.spark.readStream.schema(moments.schema).option("maxFilesPerTrigger", 1).parquet(feed)
-    sink = jobs.DedupStream(t.spark, path, ["user_id", "event_type"], "moment", 36_000_000_000)
-    run_batches(stream, f"{path}/checkpoint", sink.on_batch)
-    return sink.passed()
+    step = (bounds["b"] - bounds["a"]) // 3 + 1
+    ranges = [moments.filter((F.col("moment") >= bounds["a"] + n * step) & (F.col("moment") < bounds["a"] + (n + 1) * step)) for n in range(3)]
+    run = lambda stream, path: run_to_files(jobs.dedup_stream(stream, ["user_id", "event_type"], "moment", 36_000_000_000), f"{path}/out", f"{path}/checkpoint")
+    return t.spark.read.schema(moments.schema).parquet(f"{_in_turns(t, ranges, 'dedup', run)}/out")
 
 
 @query(
@@ -163,14 +167,11 @@ SELECT path, listing_id, stable, failures, failures >= 3 AS alert FROM (
   SELECT *, count(*) FILTER (NOT stable) OVER (PARTITION BY path, island ORDER BY seen_at, listing_id) AS failures FROM islands)"""
 )
 def stability_stream(t: Tables) -> DataFrame:
-    path, feed = scratch_path(t.spark, "stability"), scratch_path(t.spark, "listings")
     middle = t.listings.agg(F.percentile_approx("seen_at", 0.5).alias("m")).first()["m"]
-    for half in (F.col("seen_at") <= middle, F.col("seen_at") > middle):
-        t.listings.filter(half).coalesce(1).write.mode("append").parquet(feed)
-    stream = t.spark.readStream.schema(t.listings.schema).option("maxFilesPerTrigger", 1).parquet(feed)
-    sink = jobs.StabilityStream(t.spark, path)
-    run_batches(stream, f"{path}/checkpoint", sink.on_batch)
-    return sink.checks().select("path", "listing_id", "stable", "failures", "alert")
+    halves = [t.listings.filter(F.col("seen_at") <= middle), t.listings.filter(F.col("seen_at") > middle)]
+    run = lambda stream, path: run_to_files(jobs.stability_stream(stream), f"{path}/out", f"{path}/checkpoint")
+    checks = t.spark.read.schema(jobs.CHECK).parquet(f"{_in_turns(t, halves, 'stability', run)}/out")
+    return checks.select("path", "listing_id", "stable", "failures", "alert")
 
 
 def _page_changes(t: Tables) -> list[DataFrame]:
@@ -197,13 +198,8 @@ cut AS (SELECT row_id, document_id, regexp_extract_all(lower(strip_accents(text)
 SELECT unnest(tokens) AS term, row_id, document_id, len(tokens) AS row_len, unnest(range(len(tokens))) AS position FROM cut"""
 )
 def index_stream(t: Tables) -> DataFrame:
-    path = scratch_path(t.spark, "index-stream")
-    changes = _page_changes(t)
-    for rows in changes:
-        rows.coalesce(1).write.mode("append").parquet(f"{path}/changes")
-    stream = t.spark.readStream.schema(changes[0].schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/changes")
-    sink = jobs.IndexStream(t.spark, f"{path}/index")
-    run_batches(stream, f"{path}/checkpoint", sink.on_batch)
+    sink = jobs.IndexStream(t.spark, scratch_path(t.spark, "index-stream"))
+    _in_turns(t, _page_changes(t), "page-changes", lambda stream, path: run_batches(stream, f"{path}/checkpoint", sink.on_batch))
     return sink.index().postings.withColumn("position", F.col("position").cast("bigint"))
 
 

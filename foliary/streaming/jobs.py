@@ -1,22 +1,22 @@
 """Structured Streaming jobs: ingest, debounce, de-duplication, stability, progress, and index upkeep.
 
-Windowed jobs are ordinary streaming aggregates. Jobs whose rule depends on order within a key keep their state in a
-table and run the batch operator on each micro-batch, so they share its handling of large keys.
+Windowed jobs are ordinary streaming aggregates. Jobs whose rule depends on order within a key are processors with a state
+per key (``transformWithState``). Jobs that keep tables replace rows of the buckets they touch.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from foliary.functions.grouping import streak_since
 from foliary.operators import intake, library, postings, search, vectors
 from foliary.operators.chunking import chunk_documents
 from foliary.operators.ledger import FINISHED_STAGES, TERMINAL, clamp_progress
 from foliary.session import materialize
-from foliary.streaming.store import VersionedRows
+from foliary.sources.files import BucketedRows
 
 # Fixed values.
 RESCAN_SECONDS = (30, 300, 86_400)
@@ -105,76 +105,104 @@ class JobStates:
     """Sink of :func:`job_states`: every micro-batch replaces the state of the jobs it changed."""
 
     def __init__(self, spark: SparkSession, path: str):
-        self.states = VersionedRows(spark, path, "job_id", "job_id bigint, status string, stage string, progress_pct double, events bigint")
+        self.states = BucketedRows(spark, path, "job_id", "job_id bigint, status string, stage string, progress_pct double, events bigint")
 
     def on_batch(self, batch: DataFrame, batch_id: int) -> None:
-        self.states.replace(batch_id, batch)
+        self.states.replace(batch)
 
 
-class DedupStream:
-    """Anchored de-duplication of a stream, exact across micro-batches.
+class Anchors(StatefulProcessor):
+    """State of one key of :func:`dedup_stream`: the moment that passed last, until the watermark leaves its window."""
 
-    The last passed moment of every key is state; it enters the next batch as an event that has already passed.
-    Anchors too old to hold anything back are dropped."""
+    def __init__(self, keys: Sequence[str], ts: str, window: int):
+        self.keys, self.ts, self.window = list(keys), ts, window
 
-    def __init__(self, spark: SparkSession, path: str, keys: Sequence[str], ts: str, window: int = intake.DEDUP_MICROS):
-        self.spark, self.keys, self.ts, self.window = spark, list(keys), ts, window
-        self.path = path.rstrip("/")
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle, self.anchor = handle, handle.getValueState("anchor", "at bigint")
 
-    def _schema(self, batch: DataFrame) -> str:
-        return ", ".join(f"{c} {batch.schema[c].dataType.simpleString()}" for c in [*self.keys, self.ts])
+    def _over(self, anchor: int) -> int:
+        return (anchor + self.window) // 1000 + 1
 
-    def on_batch(self, batch: DataFrame, batch_id: int) -> None:
-        moments = batch.select(*self.keys, F.col(self.ts).cast("bigint").alias(self.ts)).distinct()
-        schema = self._schema(moments)
-        previous = self.spark.read.schema(schema).parquet(f"{self.path}/anchors/{batch_id - 1}") if batch_id else self.spark.createDataFrame([], schema)
-        anchors = previous.withColumnRenamed(self.ts, "__anchor")
-        fresh = moments.join(anchors, self.keys, "left").filter(F.col("__anchor").isNull() | (F.col(self.ts) > F.col("__anchor")))
-        together = fresh.select(*self.keys, self.ts).unionByName(previous)
-        passed = intake.anchored_dedup(together, self.keys, self.ts, self.window)
-        passed.join(previous, [*self.keys, self.ts], "left_anti").select(*self.keys, self.ts).write.mode("overwrite").parquet(f"{self.path}/passed/batch={batch_id}")
-        new = self.spark.read.schema(schema).parquet(f"{self.path}/passed/batch={batch_id}")
-        latest = previous.unionByName(new).groupBy(*self.keys).agg(F.max(self.ts).alias(self.ts))
-        newest = moments.agg(F.max(self.ts).alias("t")).scalar()
-        alive = latest.filter(F.coalesce(F.col(self.ts) >= newest - self.window, F.lit(True)))
-        alive.write.mode("overwrite").parquet(f"{self.path}/anchors/{batch_id}")
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        before = anchor = self.anchor.get()[0] if self.anchor.exists() else None
+        for at in sorted({row[self.ts] for row in rows}):
+            if anchor is None or at > anchor + self.window:
+                anchor = at
+                yield Row(**dict(zip(self.keys, key)), **{self.ts: at})
+        if anchor is not None and anchor != before:
+            self.anchor.update((anchor,))
+            self.handle.registerTimer(self._over(anchor))
 
-    def passed(self) -> DataFrame:
-        return self.spark.read.parquet(f"{self.path}/passed").drop("batch")
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        # A timer of an earlier anchor says nothing about the present one.
+        if self.anchor.exists() and self._over(self.anchor.get()[0]) <= expiredTimerInfo.getExpiryTimeInMs():
+            self.anchor.clear()
+        return iter(())
 
+    def close(self) -> None:
+        pass
 
-class StabilityStream:
-    """Stability checks over successive listings of a stream (``path, listing_id, size, mtime, seen_at``).
 
-    State per path is its last listing and the length of the current run of failures."""
+def dedup_stream(events: DataFrame, keys: Sequence[str], ts: str, window: int = intake.DEDUP_MICROS, delay: str = "0 seconds") -> DataFrame:
+    """Anchored de-duplication of a stream (``ts`` in microseconds): the moments at which an event of a key passes.
 
-    LISTING = "path string, listing_id bigint, size bigint, mtime bigint, seen_at bigint"
+    The anchor of a key is its state and goes by a timer once nothing it could hold back can still come, so the state counts the
+    keys of one window. Moments of a key within a micro-batch are put in order; an event later than ``delay`` is dropped
+    by the watermark, and one that comes after a later one of its key has passed does not pass."""
+    moments = events.select(*keys, F.col(ts).cast("bigint").alias(ts)).withColumn("event_time", F.timestamp_micros(ts))
+    schema = ", ".join(f"`{c}` {moments.schema[c].dataType.simpleString()}" for c in [*keys, ts])
+    return moments.withWatermark("event_time", delay).groupBy(*keys).transformWithState(Anchors(keys, ts, window), schema, "append", "eventTime")
 
-    def __init__(self, spark: SparkSession, path: str, slice_width: int = 86_400_000_000):
-        self.spark, self.path, self.slice_width = spark, path.rstrip("/"), slice_width
 
-    def on_batch(self, batch: DataFrame, batch_id: int) -> None:
-        schema = f"{self.LISTING}, failures bigint"
-        state = self.spark.read.schema(schema).parquet(f"{self.path}/state/{batch_id - 1}") if batch_id else self.spark.createDataFrame([], schema)
-        columns = [f.split()[0] for f in self.LISTING.split(", ")]
-        new = batch.select(*columns)
-        both = new.withColumn("is_new", F.lit(True)).unionByName(state.select(*columns).withColumn("is_new", F.lit(False)))
-        checked = intake.stable_files(both, slice_width=self.slice_width).filter("is_new").drop("is_new")
-        counted = streak_since(checked, "path", ["seen_at", "listing_id"], F.col("stable"), "streak", self.slice_width)
-        counted = streak_since(counted, "path", ["seen_at", "listing_id"], F.lit(False), "position", self.slice_width)
-        carried = counted.join(state.select("path", F.col("failures").alias("carried")), "path", "left")
-        unbroken = F.col("streak") == F.col("position")
-        failures = F.col("streak") + F.when(unbroken, F.coalesce("carried", F.lit(0))).otherwise(0)
-        result = carried.withColumn("failures", failures).withColumn("alert", F.col("failures") >= intake.ALERT_AFTER)
-        result.select(*columns, "stable", "failures", "alert").write.mode("overwrite").parquet(f"{self.path}/checks/batch={batch_id}")
-        done = self.spark.read.schema(f"{self.LISTING}, stable boolean, failures bigint, alert boolean").parquet(f"{self.path}/checks/batch={batch_id}")
-        everything = state.unionByName(done.select(*columns, "failures"))
-        values = F.struct(*[c for c in [*columns, "failures"] if c != "path"])
-        latest = everything.groupBy("path").agg(F.max_by(values, F.struct("seen_at", "listing_id")).alias("row")).select("path", "row.*")
-        latest.write.mode("overwrite").parquet(f"{self.path}/state/{batch_id}")
-
-    def checks(self) -> DataFrame:
-        return self.spark.read.parquet(f"{self.path}/checks").drop("batch")
+LISTING = "path string, listing_id bigint, size bigint, mtime bigint, seen_at bigint"
+CHECK = f"{LISTING}, stable boolean, failures bigint, alert boolean"
+
+
+class LastListings(StatefulProcessor):
+    """State of one path of :func:`stability_stream`: its last listing and the length of the current run of failed checks."""
+
+    def __init__(self, required: int, forget: int | None):
+        self.required, self.forget = required, forget
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle, self.last = handle, handle.getValueState("last", "size bigint, mtime bigint, seen_at bigint, failures bigint")
+
+    def _over(self, seen_at: int) -> int:
+        return (seen_at + self.forget) // 1000 + 1
+
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        size, mtime, seen_at, failures = self.last.get() if self.last.exists() else (None, None, None, 0)
+        for row in sorted(rows, key=lambda row: (row["seen_at"], row["listing_id"])):
+            same = size is not None and mtime is not None and (row["size"], row["mtime"]) == (size, mtime)
+            stable = same and row["seen_at"] - seen_at >= self.required
+            failures = 0 if stable else failures + 1
+            size, mtime, seen_at = row["size"], row["mtime"], row["seen_at"]
+            yield Row(path=key[0], listing_id=row["listing_id"], size=size, mtime=mtime, seen_at=seen_at, stable=stable, failures=failures, alert=failures >= intake.ALERT_AFTER)
+        if seen_at is not None:
+            self.last.update((size, mtime, seen_at, failures))
+            if self.forget is not None:
+                self.handle.registerTimer(self._over(seen_at))
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        if self.last.exists() and self._over(self.last.get()[2]) <= expiredTimerInfo.getExpiryTimeInMs():
+            self.last.clear()
+        return iter(())
+
+    def close(self) -> None:
+        pass
+
+
+def stability_stream(listings: DataFrame, required: int = intake.STABLE_MICROS, forget: int | None = None, delay: str = "0 seconds") -> DataFrame:
+    """Stability checks over successive listings of a stream (``path, listing_id, size, mtime, seen_at``, microseconds).
+
+    With ``forget`` a path that was not listed for so many microseconds starts anew, and its state is freed; without it
+    the state keeps one row per path for ever, as the batch operator would see it."""
+    rows = listings.select("path", "listing_id", "size", "mtime", "seen_at")
+    processor = LastListings(required, forget)
+    if forget is None:
+        return rows.groupBy("path").transformWithState(processor, CHECK, "append", "none")
+    timed = rows.withColumn("event_time", F.timestamp_micros("seen_at")).withWatermark("event_time", delay)
+    return timed.groupBy("path").transformWithState(processor, CHECK, "append", "eventTime")
 
 
 class IndexStream:
@@ -234,14 +262,14 @@ class EmbedStream:
 
     def __init__(self, spark: SparkSession, path: str, pages: DataFrame, embedder: vectors.Embedder | None = None, dim: int = 384):
         self.pages, self.embedder, self.dim = pages, embedder, dim
-        self.chunks = VersionedRows(spark, path, "document_id", self.CHUNKS)
+        self.chunks = BucketedRows(spark, path, "document_id", self.CHUNKS)
 
     def on_batch(self, batch: DataFrame, batch_id: int) -> None:
         ready = batch.filter(F.col("status").isin(*library.SEARCHABLE)).select("document_id").distinct()
         cut = chunk_documents(self.pages.join(ready, "document_id", "left_semi"))
         cut = cut.withColumn("chunk_id", F.col("page_id") * self.CHUNK_SLOTS + F.col("chunk_no"))
         embedded = cut.join(vectors.embed_chunks(cut, self.embedder, self.dim), "chunk_id")
-        self.chunks.replace(batch_id, embedded, ready)
+        self.chunks.replace(embedded, ready)
 
 
 class EnqueueStream:

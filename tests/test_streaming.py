@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from foliary.operators import search
 from foliary.session import materialize, shared_folder
 from foliary.streaming import jobs
-from foliary.streaming.store import VersionedRows, late_rows, run_batches, run_to_files
+from foliary.sources.files import BucketedRows
+from foliary.streaming.run import late_rows, run_batches, run_to_files
 from tests.test_intake import brute
 
 
@@ -30,17 +31,20 @@ def test_watched_folder_hands_out_a_file_once(spark, tmp_path):
     assert sorted(r["path"].rsplit("/", 1)[1] for r in rows) == ["a.pdf", "c.PDF", "d.pdf"]
 
 
-def test_segments_replace_and_replay(spark, tmp_path):
-    table = VersionedRows(spark, str(tmp_path / "t"), "k", "k bigint, v string")
+def test_buckets_replace_and_replay(spark, tmp_path):
+    table = BucketedRows(spark, str(tmp_path / "t"), "k", "k bigint, v string", buckets=4)
     make = lambda *rows: spark.createDataFrame(rows, "k bigint, v string")
     keys = lambda *ks: spark.createDataFrame([(k,) for k in ks], "k bigint")
     assert table.read().count() == 0
-    table.replace(0, make((1, "a"), (1, "b"), (2, "c")))
+    table.replace(make((1, "a"), (1, "b"), (2, "c"), (3, "d")))
     for _ in range(2):  # a batch that is written again counts once
-        table.replace(1, make((1, "z")), keys(1, 2))
-    assert [tuple(r) for r in table.read().collect()] == [(1, "z")]
-    compact = table.compact(str(tmp_path / "c"))
-    assert [tuple(r) for r in compact.read().collect()] == [(1, "z")]
+        table.replace(make((1, "z")), keys(1, 2))
+    assert sorted(tuple(r) for r in table.read().collect()) == [(1, "z"), (3, "d")]
+    table.replace(make((9, "x")).limit(0), keys(1, 3))
+    assert table.read().count() == 0
+
+
+START = 1_700_000_000_000_000  # microseconds
 
 
 def feed(spark, path, batches, schema):
@@ -53,29 +57,44 @@ def test_dedup_across_batches(spark, tmp_path):
     rng, window = random.Random(1), 100
     events = sorted({(rng.choice("ab"), rng.randrange(2000)) for _ in range(200)}, key=lambda e: e[1])
     batches = [events[n : n + 50] for n in range(0, len(events), 50)]
-    sink = jobs.DedupStream(spark, str(tmp_path / "d"), ["k"], "t", window)
-    run_batches(feed(spark, str(tmp_path / "f"), batches, "k string, t bigint"), str(tmp_path / "log"), sink.on_batch)
-    assert {tuple(r) for r in sink.passed().select("k", "t").collect()} == brute(events, window, False)
-
-
-def test_replayed_batch_changes_nothing(spark, tmp_path):
-    sink = jobs.DedupStream(spark, str(tmp_path / "d"), ["k"], "t", 100)
-    make = lambda *rows: spark.createDataFrame(rows, "k string, t bigint")
-    sink.on_batch(make(("a", 0), ("a", 50)), 0)
-    for _ in range(2):
-        sink.on_batch(make(("a", 90), ("a", 101), ("b", 5)), 1)
-    assert {tuple(r) for r in sink.passed().select("k", "t").collect()} == {("a", 0), ("a", 101), ("b", 5)}
+    shifted = [[(k, START + t) for k, t in batch] for batch in batches]
+    stream = feed(spark, str(tmp_path / "f"), shifted, "k string, t bigint")
+    run_to_files(jobs.dedup_stream(stream, ["k"], "t", window), str(tmp_path / "out"), str(tmp_path / "log"))
+    assert {(r["k"], r["t"] - START) for r in spark.read.parquet(str(tmp_path / "out")).collect()} == brute(events, window, False)
+
+
+def test_dedup_goes_on_after_a_restart_and_forgets_old_keys(spark, tmp_path):
+    schema, second = "k string, t bigint", 1_000_000
+    make = lambda *rows: [(k, START + t * second) for k, t in rows]
+    inbox, out, log = (str(tmp_path / n) for n in ("f", "out", "log"))
+    run = lambda batches: run_to_files(jobs.dedup_stream(feed(spark, inbox, batches, schema), ["k"], "t", 100 * second), out, log)
+    run([make(("a", 0), ("a", 50), ("x", 1))])
+    run([make(("a", 101), ("b", 60), ("a", 90))])
+    query = run([make(("b", 150), ("b", 161)), make(("c", 9000)), make(("c", 9050))])
+    got = {(r["k"], (r["t"] - START) // second) for r in spark.read.parquet(out).collect()}
+    assert got == {("a", 0), ("x", 1), ("a", 101), ("b", 60), ("b", 161), ("c", 9000)}
+    live = [state["customMetrics"].get("numValueStateVars") for state in query.lastProgress["stateOperators"]]
+    rows = query.lastProgress["stateOperators"][0]["numRowsTotal"]
+    assert live and rows <= 4  # the anchor of c and its timer; a, b and x are gone
 
 
 def test_failures_carry_over_batches(spark, tmp_path):
     rows = [("p", n, 100 + n, 1, n * 2_000_000) for n in range(4)] + [("p", 4, 103, 1, 8_000_000), ("p", 5, 9, 1, 10_000_000)]
-    schema = jobs.StabilityStream.LISTING
-    sink = jobs.StabilityStream(spark, str(tmp_path / "s"))
-    run_batches(feed(spark, str(tmp_path / "f"), [rows[:2], rows[2:3], rows[3:5], rows[5:]], schema), str(tmp_path / "log"), sink.on_batch)
-    got = [(r["failures"], r["stable"], r["alert"]) for r in sink.checks().orderBy("listing_id").collect()]
+    inbox, out, log = (str(tmp_path / n) for n in ("f", "out", "log"))
+    for batches in ([rows[:2], rows[2:3]], [rows[3:5], rows[5:]]):  # the second run goes on from the state of the first
+        run_to_files(jobs.stability_stream(feed(spark, inbox, batches, jobs.LISTING)), out, log)
+    got = [(r["failures"], r["stable"], r["alert"]) for r in spark.read.parquet(out).orderBy("listing_id").collect()]
     assert got == [(1, False, False), (2, False, False), (3, False, True), (4, False, True), (0, True, False), (1, False, False)]
 
 
+def test_a_path_that_is_not_listed_any_more_is_forgotten(spark, tmp_path):
+    rows = [[("p", 0, 5, 1, START)], [("q", 1, 5, 1, START + 60_000_000)], [("q", 2, 6, 1, START + 61_000_000)], [("p", 3, 5, 1, START + 70_000_000)]]
+    checks = jobs.stability_stream(feed(spark, str(tmp_path / "f"), rows, jobs.LISTING), forget=10_000_000)
+    run_to_files(checks, str(tmp_path / "out"), str(tmp_path / "log"))
+    got = {r["listing_id"]: (r["stable"], r["failures"]) for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+    assert got == {0: (False, 1), 1: (False, 1), 2: (False, 2), 3: (False, 1)}
+
+
 def test_index_follows_changes(spark, tmp_path):
     schema = "op string, seq bigint, page_id bigint, document_id bigint, text string"
     batches = [
