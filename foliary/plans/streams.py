@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from foliary.functions import text as tx
+from foliary.operators.intake import folder_candidates
 from foliary.plans.registry import query
 from foliary.plans.retrieval import CHUNKS
 from foliary.plans.tables import Tables, list_files
@@ -62,6 +63,34 @@ def ingest_stream(t: Tables) -> DataFrame:
     return _append(t, jobs.ingest_stream(files, ["/watch/spam-farm.example.org"]), "ingest").select("page_id", "path", "sha256")
 
 
+@query(
+    """
+WITH files AS (SELECT page_id, '/in/' || page_id % 10 || '/' || page_id || CASE WHEN page_id % 4 = 0 THEN '.txt' ELSE '.PDF' END AS path, length(html) AS size, html FROM pages)
+SELECT path, size, 0::BIGINT AS mtime, sha256(html) AS sha256 FROM files WHERE page_id % 4 <> 0
+UNION ALL SELECT path, size + 1, 4000000, sha256(html || '2') FROM files WHERE page_id % 4 <> 0 AND page_id % 3 = 0 AND page_id % 5 <> 1"""
+)
+def ingest_rescans(t: Tables) -> DataFrame:
+    """Four scans two seconds apart. At the third a third of the files is rewritten, and at the fourth some of these are being written
+    again, so they have no second version yet."""
+    kind = F.when(F.col("page_id") % 4 == 0, ".txt").otherwise(".PDF")
+    path = F.concat(F.lit("/in/"), (F.col("page_id") % 10).cast("string"), F.lit("/"), F.col("page_id").cast("string"), kind)
+    moment = [0]
+
+    def version(now: int) -> DataFrame:
+        number = F.when(F.col("page_id") % 3 == 0, F.when((F.col("page_id") % 5 == 1) & F.lit(now >= 6_000_000), 3).when(F.lit(now >= 4_000_000), 2)).cast("string")
+        content = F.concat("html", F.coalesce(number, F.lit("")))
+        mtime = F.when(number.isNull(), 0).otherwise(number.cast("bigint") * 2_000_000).cast("bigint")
+        return t.raw("pages").select(path.alias("path"), F.length(content).cast("bigint").alias("size"), mtime.alias("mtime"), content.alias("content"))
+
+    rescans = jobs.FolderRescans(
+        t.spark, scratch_path(t.spark, "rescans"), lambda: folder_candidates(version(moment[0])), lambda wanted: version(moment[0]).join(wanted, ["path", "size", "mtime"])
+    )
+    for number in range(4):
+        moment[0] = number * 2_000_000
+        rescans.scan(number, moment[0])
+    return rescans.files().select("path", "size", "mtime", "sha256")
+
+
 def _ended(t: Tables) -> DataFrame:
     """The event stream, and a day after its last event the mark of its end."""
     path = scratch_path(t.spark, "end")

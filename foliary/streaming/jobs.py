@@ -6,6 +6,7 @@ per key (``transformWithState``). Jobs that keep tables replace rows of the buck
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable, Iterator, Sequence
 
 from pyspark.sql import DataFrame, Row, SparkSession
@@ -16,7 +17,8 @@ from foliary.operators import intake, library, postings, search, vectors
 from foliary.operators.chunking import chunk_documents
 from foliary.operators.ledger import FINISHED_STAGES, TERMINAL, clamp_progress
 from foliary.session import materialize
-from foliary.sources.files import BucketedRows
+from foliary.sources.files import BucketedRows, list_folder, read_files
+from foliary.streaming.run import run_batches
 
 # Fixed values.
 RESCAN_SECONDS = (30, 300, 86_400)
@@ -51,6 +53,65 @@ def ingest_stream(files: DataFrame, excluded: Sequence[str] = ()) -> DataFrame:
     return library.content_fingerprint(kept, "content").drop("content")
 
 
+class FolderRescans:
+    """Periodic scans of a folder that hand out every version of every candidate file once, when it has stopped changing.
+
+    A scan compares the listing (path, size, mtime) with the one stored per path. A file that is new or differs is noted; one that is as it
+    was noted, ``required`` microseconds or more ago, and was not handed out in that form, is read and handed out. So a file that
+    is rewritten under its path comes again, and one that is still being written waits. A scan writes its rows into a folder of
+    its own before it stores the listing, and a stored row knows the scan that handed it out, so repeating a scan after a failure at any
+    point hands out the same rows once. Only rows that changed are stored. ``listing`` gives the files there are now, ``read`` the content of some of them (``path, size, mtime, content``)."""
+
+    STATE = "path string, size bigint, mtime bigint, noted_at bigint, handed_by bigint"
+    OUT = "path string, size bigint, mtime bigint, sha256 string, sha16 string, sha8 string"
+
+    def __init__(self, spark: SparkSession, path: str, listing: Callable[[], DataFrame], read: Callable[[DataFrame], DataFrame], required: int = intake.STABLE_MICROS, buckets: int = 64):
+        self.spark, self.path, self.required, self.listing, self.read = spark, path.rstrip("/"), required, listing, read
+        self.state = BucketedRows(spark, f"{self.path}/state", "path", self.STATE, buckets)
+
+    def scan(self, number: int, now: int) -> None:
+        """Scan ``number`` at the time ``now`` (microseconds)."""
+        files = self.listing().select("path", "size", "mtime")
+        known = self.state.read().select("path", F.struct("size", "mtime", "noted_at", "handed_by").alias("known"))
+        same = (F.col("known.size") == F.col("size")) & (F.col("known.mtime") == F.col("mtime"))
+        seen = files.join(known, "path", "left").withColumn("same", F.coalesce(same, F.lit(False)))
+        due = F.col("known.handed_by").isNull() & (F.lit(now) - F.col("known.noted_at") >= self.required)
+        ready = F.col("same") & (due | F.coalesce(F.col("known.handed_by") == number, F.lit(False)))
+        noted_at = F.when(F.col("same"), F.col("known.noted_at")).otherwise(F.lit(now))
+        changed = seen.filter(~F.col("same") | ready).select("path", "size", "mtime", noted_at.alias("noted_at"), F.when(ready, F.lit(number)).cast("bigint").alias("handed_by"))
+        changed = materialize(changed, "rescan")
+        content = self.read(changed.filter("handed_by IS NOT NULL").select("path", "size", "mtime"))
+        found = library.content_fingerprint(content.select("path", "size", "mtime", "content"), "content").drop("content")
+        found.write.mode("overwrite").parquet(f"{self.path}/files/scan={number}")
+        self.state.replace(changed)
+
+    def on_batch(self, batch: DataFrame, batch_id: int) -> None:
+        self.scan(batch_id, time.time_ns() // 1000)
+
+    def files(self) -> DataFrame:
+        return self.spark.read.parquet(f"{self.path}/files").drop("scan")
+
+
+def rescan_folder(spark: SparkSession, folder: str, path: str, recursive: bool = True, excluded: Sequence[str] = ()) -> FolderRescans:
+    """Scans of a real folder. Content is read for the versions asked for; the range of their modification times goes to the file
+    source, which skips all other files before it opens them."""
+
+    def read(wanted: DataFrame) -> DataFrame:
+        ends = wanted.agg(F.min("mtime"), F.max("mtime")).first()
+        files = read_files(spark, folder, recursive, excluded)
+        inside = F.col("modificationTime").between(F.timestamp_micros(F.lit(ends[0] or 0)), F.timestamp_micros(F.lit(ends[1] or 0)))
+        now = files.filter(inside).select("path", F.col("length").alias("size"), F.unix_micros("modificationTime").alias("mtime"), "content")
+        return now.join(wanted, ["path", "size", "mtime"])
+
+    return FolderRescans(spark, path, lambda: list_folder(spark, folder, recursive, excluded), read)
+
+
+def start_rescans(rescans: FolderRescans, checkpoint: str, setting: str | None = None):
+    """Scan for ever at the interval of the setting (:func:`rescan_seconds`); the stream gives one tick per scan."""
+    ticks = rescans.spark.readStream.format("rate-micro-batch").option("rowsPerBatch", 1).load()
+    return run_batches(ticks, checkpoint, rescans.on_batch, trigger={"processingTime": f"{rescan_seconds(setting)} seconds"})
+
+
 def with_end(events: DataFrame, ends: DataFrame) -> DataFrame:
     """A stream together with its end marks: ``ends`` streams moments (same name and type as the event time).
 

@@ -1,3 +1,4 @@
+import hashlib
 import os
 import random
 
@@ -31,6 +32,35 @@ def test_watched_folder_hands_out_a_file_once(spark, tmp_path):
     assert sorted(r["path"].rsplit("/", 1)[1] for r in rows) == ["a.pdf", "c.PDF", "d.pdf"]
 
 
+def test_rescans_hand_out_every_stable_version_once(spark, tmp_path):
+    folder = tmp_path / "in"
+    folder.mkdir()
+
+    def write(name, content, age):
+        (folder / name).write_bytes(content)
+        os.utime(folder / name, (1_700_000_000 + age,) * 2)
+
+    rescans = jobs.rescan_folder(spark, str(folder), str(tmp_path / "state"))
+    second = 1_000_000
+    write("a.pdf", b"one", 0)
+    write("b.PDF", b"half", 0)
+    write("c.txt", b"no", 0)
+    rescans.scan(0, 0)
+    write("b.PDF", b"whole", 1)
+    for _ in range(2):  # a scan that is repeated after a failure hands out nothing twice
+        rescans.scan(1, 2 * second)
+    assert [r["path"].rsplit("/", 1)[1] for r in rescans.files().collect()] == ["a.pdf"]
+    rescans.scan(2, 4 * second)
+    write("a.pdf", b"two", 5)
+    rescans.scan(3, 6 * second)
+    rescans.scan(4, 6 * second + 10)  # too soon after the change was noted
+    rescans.scan(5, 8 * second)
+    rescans.scan(6, 10 * second)
+    got = sorted((r["path"].rsplit("/", 1)[1], r["sha256"]) for r in rescans.files().collect())
+    hashed = lambda content: hashlib.sha256(content).hexdigest()
+    assert got == sorted([("a.pdf", hashed(b"one")), ("a.pdf", hashed(b"two")), ("b.PDF", hashed(b"whole"))])
+
+
 def test_buckets_replace_and_replay(spark, tmp_path):
     table = BucketedRows(spark, str(tmp_path / "t"), "k", "k bigint, v string", buckets=4)
     make = lambda *rows: spark.createDataFrame(rows, "k bigint, v string")
