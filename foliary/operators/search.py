@@ -30,8 +30,8 @@ SORTS = ("relevance", "newestFirst", "oldestFirst")
 # Folders of a stored index, unless its maker says otherwise.
 BUCKETS = 64
 
-# The rows of one query are spread over the shuffle partitions, up to this many, before its best rows are chosen.
-MAX_RANK_SPREAD = 1024
+# Parts that the rows of one query are ranked in before its best rows are chosen.
+RANK_PARTS = 64
 SCORE_DIGITS = 8
 
 
@@ -224,29 +224,21 @@ def page_bounds(queries: DataFrame) -> DataFrame:
 def page_hits(hits: DataFrame, queries: DataFrame) -> DataFrame:
     """Order each query's hits, number them, count them, and keep the requested page.
 
-    ``hits`` needs ``query_id, row_id, bm25_score, ingested_at``. The rows of a query are first ranked
-    in parts, one per shuffle partition; only the best of each part meet in one task, so a query that matches most of
-    the library does not gather there."""
+    ``hits`` needs ``query_id, row_id, bm25_score, ingested_at``. Hits are counted per query and ranked in two levels: first in parts
+    of a query, of which every task sends on the best rows alone (Spark limits each group before the shuffle), then the best of all
+    parts. Past the first level a query keeps no more rows than its own page reaches, however deep that of another one is."""
     paging = page_bounds(queries).select("query_id", F.coalesce("sort", F.lit("relevance")).alias("sort"), "lim", "off")
     deepest = paging.agg(F.max(F.col("lim") + F.col("off")).alias("n")).first()["n"] or 0
     time_key = F.when(F.col("sort") == "newestFirst", -F.col("ingested_at")).when(F.col("sort") == "oldestFirst", F.col("ingested_at"))
     order = [F.coalesce(time_key, F.lit(0)).alias("time_key"), F.col("bm25_score"), F.col("row_id")]
-    parts = min(MAX_RANK_SPREAD, int(hits.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    spread = hits.join(paging, "query_id").withColumn("part", F.pmod(F.xxhash64("row_id"), F.lit(parts)))
-    part = W.partitionBy("query_id", "part")
-    best = (
-        spread.withColumn("part_rank", F.row_number().over(part.orderBy(*order)))
-        .withColumn("part_hits", F.count(F.lit(1)).over(part))
-        .filter(F.col("part_rank") <= deepest)
-    )
-    per_query = W.partitionBy("query_id")
-    return (
-        best.withColumn("rank", F.row_number().over(per_query.orderBy(*order)))
-        .withColumn("total_hits", F.sum(F.when(F.col("part_rank") == 1, F.col("part_hits"))).over(per_query))
-        .filter((F.col("rank") > F.col("off")) & (F.col("rank") <= F.col("off") + F.col("lim")))
-        .withColumn("rank", F.col("rank").cast("bigint"))
-        .drop("part", "part_rank", "part_hits", "sort", "lim", "off")
-    )
+    stored = materialize(hits, "scored-hits")
+    totals = stored.groupBy("query_id").agg(F.count(F.lit(1)).alias("total_hits"))
+    spread = stored.join(paging, "query_id").withColumn("part", F.pmod(F.xxhash64("row_id"), F.lit(RANK_PARTS)))
+    best = spread.withColumn("part_rank", F.row_number().over(W.partitionBy("query_id", "part").orderBy(*order))).filter(F.col("part_rank") <= deepest)
+    best = best.filter(F.col("part_rank") <= F.col("off") + F.col("lim")).drop("part", "part_rank")
+    ranked = best.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy(*order))).filter(F.col("rank") <= deepest)
+    page = ranked.filter((F.col("rank") > F.col("off")) & (F.col("rank") <= F.col("off") + F.col("lim")))
+    return page.join(totals, "query_id").withColumn("rank", F.col("rank").cast("bigint")).drop("sort", "lim", "off")
 
 
 def scoped(found: DataFrame, queries: DataFrame, documents: DataFrame, mode: str = "search") -> DataFrame:
