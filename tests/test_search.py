@@ -136,3 +136,29 @@ def test_saved_search_that_is_not_json_is_empty(spark):
     saved = spark.createDataFrame([(1, "{oops"), (2, '{"q":"cat","limit":7,"sort":"NewestFirst"}')], "query_id bigint, query string")
     rows = {r["query_id"]: r for r in search.parse_saved_searches(saved).collect()}
     assert rows[1]["q"] == "" and (rows[2]["q"], rows[2]["lim"], rows[2]["sort"]) == ("cat", 7, "newestFirst")
+
+
+def test_blocks_answer_stop_words_phrases_and_long_texts(spark):
+    texts = [f"the number {n} of the list" for n in range(2500)] + ["École the red fox", "red the fox", "the " * 30_000 + "red fox", None, ""]
+    rows = spark.createDataFrame([(n, n, text) for n, text in enumerate(texts)], "page_id bigint, document_id bigint, text string")
+    asked = spark.createDataFrame([(1, "the"), (2, "ecole"), (3, 'x "red fox'), (4, '"red fox'), (5, "the the red"), (6, '"the red fox"'), (7, "of 77")], "query_id bigint, q string")
+    for index in (search.build_index(rows), search.store_index(search.build_index(rows.repartition(3)), buckets=5)):
+        found = {}
+        for row in search.matches(asked, index).collect():
+            found.setdefault(row["query_id"], set()).add(row["row_id"])
+        assert found == {1: set(range(2503)), 2: {2500}, 4: {2500, 2502}, 5: {2500, 2501, 2502}, 6: {2500, 2502}, 7: {77}}
+        facts = index.corpus.first()
+        assert facts["n_rows"] == 2505 and facts["total_len"] == sum(len((t or "").split()) for t in texts)
+
+
+def test_pages_of_hits_are_limited_per_query(spark):
+    hits = spark.range(1000).select((F.col("id") % 3).alias("query_id"), F.col("id").alias("row_id"), F.col("id").alias("document_id"), (-F.col("id")).cast("double").alias("bm25_score"), F.col("id").alias("ingested_at"))
+    asked = spark.createDataFrame([(0, "relevance", 5, 0), (1, "oldestFirst", 3, 300), (2, None, 0, 2)], "query_id bigint, sort string, lim int, off int")
+    page = search.page_hits(hits, asked)
+    assert "WindowGroupLimit" in page._jdf.queryExecution().toString()
+    got = {}
+    for row in page.collect():
+        got.setdefault(row["query_id"], []).append((row["rank"], row["row_id"], row["total_hits"]))
+    assert sorted(got[0]) == [(n + 1, 999 - 3 * n, 334) for n in range(5)]
+    assert sorted(got[1]) == [(301 + n, 901 + 3 * n, 333) for n in range(3)]
+    assert len(got[2]) == 50 and min(got[2])[:2] == (3, 998 - 6)
