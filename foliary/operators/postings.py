@@ -18,9 +18,8 @@ from pyspark.sql import functions as F
 from foliary.functions import text as tx
 
 BLOCK_ROWS = 1024
-TOTALS = "n_rows bigint, n_tokens bigint"
 BLOCKS = (
-    "term string, block bigint, n_rows bigint, n_tokens bigint, most bigint, shortest bigint, row_ids array<bigint>, document_ids array<bigint>, "
+    "term string, block bigint, n_rows bigint, n_tokens bigint, row_ids array<bigint>, document_ids array<bigint>, "
     "row_lens array<bigint>, counts array<bigint>, positions array<array<int>>"
 )
 FIELDS = [tuple(field.split(" ", 1)) for field in BLOCKS.split(", ")]
@@ -50,15 +49,12 @@ def _blocks_of(batch: pa.RecordBatch) -> pa.RecordBatch:
     terms = np.flatnonzero(np.append(True, codes[1:] != codes[:-1])) if len(codes) else np.empty(0, np.int64)
     nested = _lists(entries, len(parents), pa.array(places, pa.int32()))
     numbers = lambda v: pa.array(v, pa.int64())
-    per_term = lambda ufunc, v: ufunc.reduceat(v, terms) if len(terms) else np.empty(0, np.int64)
     block = int(row_ids[0])
     columns = [
         words.dictionary.cast(pa.string()),
         numbers(np.full(len(terms), block)),
         numbers(np.diff(np.append(terms, len(entries)))),
-        numbers(per_term(np.add, counts)),
-        numbers(per_term(np.maximum, counts)),
-        numbers(per_term(np.minimum, lens[rows])),
+        numbers(np.add.reduceat(counts, terms) if len(terms) else np.empty(0, np.int64)),
         *(_lists(terms, len(entries), values) for values in (numbers(row_ids[rows]), documents.take(numbers(rows)), numbers(lens[rows]), numbers(counts), nested)),
     ]
     columns[0] = columns[0].take(numbers(codes[terms]))
