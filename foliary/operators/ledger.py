@@ -50,7 +50,8 @@ def active_job_per_document(jobs: DataFrame) -> DataFrame:
 
 
 def jobs_with_documents(jobs: DataFrame, documents: DataFrame, since: int | None = None, limit: int | None = None) -> DataFrame:
-    """Newest ledger rows with the state of their documents and defaults for what is missing."""
+    """Newest ledger rows with the state of their documents and defaults for what is missing. A ledger without start and end times
+    has nulls there."""
     rows = latest_job_per_document(jobs)
     if since is not None:
         rows = rows.filter(F.col("created_at") >= since)
@@ -69,6 +70,8 @@ def jobs_with_documents(jobs: DataFrame, documents: DataFrame, since: int | None
         F.when(status.isin(*TERMINAL), 100.0).otherwise(0.0).alias("progress_pct"),
         "error_message",
         "created_at",
+        *[(F.col(c) if c in jobs.columns else F.lit(None)).cast("bigint").alias(c) for c in ("started_at", "finished_at")],
+        "original_path",
         F.coalesce("page_count", F.lit(0)).cast("bigint").alias("page_count"),
         "engine",
     )

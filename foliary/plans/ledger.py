@@ -32,7 +32,7 @@ def active_job_per_document(t: Tables) -> DataFrame:
 LISTING = f"""{LATEST},
 listing AS (SELECT job_id, l.document_id, coalesce(regexp_extract(original_path, '[^/]*$'), 'PDF') AS filename, coalesce(origin, 'manual') AS source, kind, l.status,
     coalesce(d.status, l.status) AS stage, CASE WHEN l.status IN ('done', 'error', 'cancelled') THEN 100.0 ELSE 0.0 END::DOUBLE AS progress_pct,
-    error_message, created_at, coalesce(page_count, 0) AS page_count, engine
+    error_message, created_at, started_at, finished_at, original_path, coalesce(page_count, 0) AS page_count, engine
   FROM latest l LEFT JOIN lib_documents d ON d.document_id = l.document_id)"""
 
 

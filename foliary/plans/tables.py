@@ -111,6 +111,8 @@ class Tables:
             F.when(i % 9 == 0, F.lit(None)).when(i % 2 == 0, "watch").otherwise("manual").alias("origin"),
             F.when(i % 3 == 0, "tesseract").alias("engine"),
             created.alias("created_at"),
+            F.when(kind.isin("click", "view", "error"), created + 2).alias("started_at"),
+            F.when(kind.isin("click", "error", "signup"), created + 60).alias("finished_at"),
             F.least("value", F.lit(100.0)).alias("progress_pct"),
         )
 
@@ -290,7 +292,8 @@ SELECT event_id AS job_id, CASE WHEN event_id % 17 <> 0 THEN user_id END AS docu
     WHEN 1 THEN 'Ollama not reachable: connection refused' WHEN 2 THEN 'RapidOCR models missing' ELSE 'disk full' END END AS error_message,
   CASE WHEN event_id % 9 = 0 THEN NULL WHEN event_id % 2 = 0 THEN 'watch' ELSE 'manual' END AS origin,
   CASE WHEN event_id % 3 = 0 THEN 'tesseract' END AS engine,
-  epoch_us(ts) // 1000000 AS created_at, least(value, 100.0::DOUBLE) AS progress_pct
+  epoch_us(ts) // 1000000 AS created_at, CASE WHEN event_type IN ('click', 'view', 'error') THEN epoch_us(ts) // 1000000 + 2 END AS started_at,
+  CASE WHEN event_type IN ('click', 'error', 'signup') THEN epoch_us(ts) // 1000000 + 60 END AS finished_at, least(value, 100.0::DOUBLE) AS progress_pct
 FROM events""",
     "lib_chunks": r"""
 SELECT vec_id AS chunk_id, vec_id AS document_id, vec_id * 100000 + 1 AS page_id, text
