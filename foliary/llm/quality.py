@@ -60,15 +60,17 @@ def frequent_words(docs: DataFrame, text: str = "text", lang: str = "lang") -> D
 def features(docs: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame:
     """Base counts of each document, its character classes, the counts of common words by language and of those of its own
     language if that isn't listed, and the row itself (dropped by the optimizer where it isn't asked for)."""
-    columns = docs.columns
+    # the row goes into one column first, so whatever its columns are called, they meet none of those made here
+    cell = lambda name: F.col("row").getField(name).cast("string")
+    base = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")).select(
+        "row", F.col("row").getField("doc_id").cast("long").alias("doc_id"),
+        (cell(lang) if lang in docs.columns else F.lit(None).cast("string")).alias("lang"), F.coalesce(cell(text), F.lit("")).alias("text"),
+    )
     own = frequent_words(docs, text, lang)
     if own is None:
-        docs = docs.withColumn("own_words", F.lit(None).cast("array<string>"))
+        base = base.withColumn("own_words", F.lit(None).cast("array<string>"))
     else:
-        docs = docs.join(own, docs[lang].cast("string") == own["own_lang"], "left").drop("own_lang")
-    whole = F.coalesce(F.col(text).cast("string"), F.lit(""))
-    language = F.col(lang).cast("string") if lang in columns else F.lit(None).cast("string")
-    base = docs.select(F.struct(*(F.col(f"`{c}`") for c in columns)).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), language.alias("lang"), whole.alias("text"), "own_words")
+        base = base.join(own, F.col("lang") == F.col("own_lang"), "left").drop("own_lang")
     split = base.select("row", "doc_id", "lang", "text", "own_words", _words(F.col("text")).alias("words"), _words(F.lower("text")).alias("lowered"))
     n = F.size("words")
     lines = F.filter(F.split("text", "\n"), lambda line: line.rlike(r"[^\x20\x09-\x0D]"))
