@@ -1,10 +1,11 @@
-"""Benchmark decontamination by the runs of words that a match must share, and the exact edit distance."""
+"""Benchmark decontamination by a random-walk embedding of the edit distance, sampled coordinates and exact verification."""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass, field
-from itertools import repeat
+from functools import lru_cache
+from itertools import count, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -15,7 +16,10 @@ from foliary.llm.common import as_bytes, documents, query
 
 SIMILARITY = 0.8  # share of an item's words that may not be edited
 LEAST_WORDS = 5  # shorter items are not passages
-RECALL = 0.99
+SAMPLED, KEYS = 2, 12  # coordinates of a key, and keys of a walk
+STEPS = 2  # per symbol of a walk that are sampled: it moves at every other step, so the rest of its three is mostly past the end and tells nothing
+RECALL = 0.999  # of matches at the full edit allowance
+TRIALS = 64  # edited items per kind of edit that the number of walks is worked out on
 VERIFIED, CELLS = 4096, 4_000_000  # pairs whose edit tables are worked out together, and cells of a row of them
 BLOCK_ITEMS, BLOCK_WORDS = 1000, 200_000  # of the benchmark that one pass over the documents answers
 
@@ -37,6 +41,68 @@ def shared_runs(words: int, similarity: float = SIMILARITY) -> int:
     return max(1, words - length + 1 - edits(words, similarity) * length)
 
 
+def embed(windows: np.ndarray, coordinates: np.ndarray, walk: int) -> np.ndarray:
+    """Values of one random walk over each row of symbols, at the given coordinates in ascending order.
+
+    The walk has three steps per symbol. A step writes the symbol under the pointer, then moves on by one or stays, as a
+    random function of walk, step and symbol says; past the end it writes 0. Where two rows differ by few edits their
+    pointers meet again after each, so they agree at many coordinates: edit distance becomes Hamming distance.
+    """
+    n, m = windows.shape
+    padded = np.concatenate((windows, np.zeros((n, 1), windows.dtype)), axis=1).astype(np.uint64)
+    odd = np.random.default_rng([6, walk]).integers(0, 1 << 63, 3 * m, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+    rows, at = np.arange(n), np.zeros(n, np.int64)
+    out, wanted = np.empty((len(coordinates), n), np.uint64), {c: i for i, c in enumerate(coordinates.tolist())}
+    for step in range(int(coordinates[-1]) + 1):
+        symbol = padded[rows, at]
+        if step in wanted:
+            out[wanted[step]] = symbol
+        move = ((symbol + np.uint64(0x5851F42D4C957F2D)) * odd[step]) >> np.uint64(63)
+        at = np.minimum(at + move.astype(np.int64), m)
+    return out.T
+
+
+def keys(windows: np.ndarray, times: int) -> np.ndarray:
+    """(rows, times * KEYS) keys: each is a hash of its number and of one walk at SAMPLED coordinates."""
+    m, parts = windows.shape[1], []
+    for walk in range(times):
+        drawn = np.random.default_rng([60, m, walk]).integers(0, STEPS * m, (KEYS, SAMPLED))
+        coordinates, index = np.unique(drawn, return_inverse=True)
+        values, index = embed(windows, coordinates, walk), index.reshape(KEYS, SAMPLED)
+        out = np.tile(np.arange(KEYS, dtype=np.uint64) + np.uint64(1 + walk * KEYS), (len(windows), 1))
+        for i in range(SAMPLED):
+            out = (out ^ (values[:, index[:, i]] + np.uint64(1))) * np.uint64(0x9E3779B97F4A7C15)
+            out ^= out >> np.uint64(29)
+        parts.append(out)
+    return np.concatenate(parts, axis=1)
+
+
+@lru_cache(maxsize=None)
+def _walks(words: int, similarity: float, recall: float) -> int:
+    rng, e, sampled = np.random.default_rng(words), edits(words, similarity), np.arange(STEPS * words)
+    items = rng.integers(1, 1 << 40, (4 * TRIALS, words))
+    edited = np.zeros_like(items)
+    for i, item in enumerate(items.tolist()):
+        for at in sorted(rng.choice(words, e, replace=False).tolist(), reverse=True):
+            way = i % 4 if i % 4 < 3 else int(rng.integers(3))
+            item[at : at + (way != 1)] = [] if way == 2 else [int(rng.integers(1, 1 << 40))]
+        edited[i, : len(item)] = item[:words]
+    missed = np.ones(len(items))
+    for walk in count():
+        agreement = (embed(items, sampled, walk) == embed(edited, sampled, walk)).mean(axis=1)
+        missed *= (1 - agreement**SAMPLED) ** KEYS
+        if missed.reshape(-1, 4).mean(axis=0).max() <= 1 - recall:
+            return walk + 1
+
+
+def walks(words: int, similarity: float = SIMILARITY, recall: float = RECALL) -> int:
+    """Independent walks that an item of this many words needs, so that a text at its full edit allowance shares a key
+    with it at the wanted chance, whether words were replaced, inserted, deleted or all of that: worked out from the
+    agreement of walks over edited items (at most an eighth longer ones)."""
+    step = max(1, words // 8)
+    return _walks(-(-words // step) * step, similarity, recall)
+
+
 def best_matches(items: np.ndarray, regions: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(edit distance, start, end) of the part of each region nearest to the item in the same row: exact, by rows of the
     edit tables of all pairs. Regions are filled up on the right with a symbol that no item has; as the first of equal
@@ -67,17 +133,21 @@ class Index:
     similarity: float
     vocabulary: dict[bytes, int] = field(default_factory=dict)
     items: dict[int, list[tuple[int, np.ndarray]]] = field(default_factory=dict)  # by number of words
+    keys: dict[int, tuple[np.ndarray, np.ndarray, int]] = field(default_factory=dict)  # in order, whose they are, and walks
     runs: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = field(default_factory=dict)  # words in a row, where in an item, and in which
     all_runs: dict[int, np.ndarray] = field(default_factory=dict)  # those of all items, by their number of words
 
     @classmethod
     def build(cls, items: list[tuple[int, list[bytes]]], similarity: float, recall: float = RECALL) -> Index:
-        """All matches are found, so any ``recall`` is reached."""
         index = cls(similarity)
         for item_id, words in items:
             ids = np.array([index.vocabulary.setdefault(w, len(index.vocabulary) + 1) for w in words], np.int64)
             index.items.setdefault(len(words), []).append((item_id, ids))
         for m, group in index.items.items():
+            times = walks(m, similarity, recall)
+            found = keys(np.stack([ids for _, ids in group]), times).ravel()
+            order = np.argsort(found, kind="stable")
+            index.keys[m] = found[order], order // (times * KEYS), times
             length = shared_run(m, similarity)
             if length not in index.all_runs:
                 index.all_runs[length] = np.unique(np.concatenate([index._grams(ids, length) for g in index.items.values() for _, ids in g]))
@@ -95,12 +165,12 @@ class Index:
             out = np.where((out > 0) & (following > 0), out * (len(self.vocabulary) + 1) + following, 0)
         return np.where(out > 0, out, -1)
 
-    def candidates(self, symbols: np.ndarray, document: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
-        """Per item length: documents, items of that length and places, so that every match of such an item lies between
-        ``e`` words before and ``m + 4 * e`` words after a place (e: allowed edits, m: length).
+    def places(self, symbols: np.ndarray, document: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+        """Per item length: documents, items and places that a match may start at, give or take ``e`` allowed edits; no
+        other place can.
 
         A match keeps ``shared_runs`` runs of its item, each shifted by ``e`` words at most, so at least as many runs
-        that say where the item starts agree within ``2 * e`` words. Places are multiples of ``2 * e + 1``.
+        that say where the item starts agree within ``2 * e`` words.
         """
         grams: dict[int, tuple[np.ndarray, np.ndarray]] = {}
         for m, group in self.items.items():
@@ -119,16 +189,46 @@ class Index:
             at = np.repeat(at, count)
             span = len(symbols) + 2 * (m + e) + 2  # of the starts of one document and item: from -m on
             start = np.sort((document[at] * len(group) + owner[run]) * span + at - shift[run] + m)
-            enough = np.searchsorted(start, start + 2 * e, side="right") - np.arange(len(start)) >= shared_runs(m, self.similarity)
-            pair, start = np.divmod(start[enough], span)
-            found = np.unique(np.stack((pair, (start - m) // (2 * e + 1))), axis=1)
-            yield m, found[0] // len(group), found[0] % len(group), found[1] * (2 * e + 1)
+            last = np.searchsorted(start, start + 2 * e, side="right")
+            first = np.nonzero(last - np.arange(len(start)) >= shared_runs(m, self.similarity))[0]
+            agree = np.zeros(len(start) + 1, np.int64)
+            np.add.at(agree, first, 1)
+            np.add.at(agree, last[first], -1)
+            pair, start = np.divmod(np.unique(start[np.cumsum(agree[:-1]) > 0]), span)
+            yield m, pair // len(group), pair % len(group), start - m
+
+    def candidates(self, symbols: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+        """Per item length: documents, items and places, where a window of as many words as the item shares a key with it.
+
+        Windows start at the places that may hold a match, whichever item that place was found for. A match of a
+        candidate lies between ``e`` words before and ``m + 4 * e`` words after its place, a multiple of ``2 * e + 1``.
+        """
+        document = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
+        for m, docs, _, places in self.places(symbols, document):
+            e, (ordered, owner, times), found = edits(m, self.similarity), self.keys[m], []
+            windows = np.unique(np.stack((docs, np.maximum(places, offsets[docs]))), axis=1)
+            step = max(1, CELLS // (m + times * KEYS))
+            for some in range(0, windows.shape[1], step):
+                doc, at = windows[:, some : some + step]
+                place = at[:, None] + np.arange(m)  # past the end of a text a window is filled with unknown words
+                near = keys(np.where(place < offsets[doc + 1][:, None], symbols[np.minimum(place, len(symbols) - 1)], 0), times)
+                low, high = (np.searchsorted(ordered, near.ravel(), side=s) for s in ("left", "right"))
+                each = high - low
+                hit = np.repeat(low, each) + np.arange(each.sum()) - np.repeat(np.cumsum(each) - each, each)
+                window = np.repeat(np.arange(len(each)) // (times * KEYS), each)
+                found.append(np.unique(np.stack((doc[window], owner[hit], at[window] // (2 * e + 1))), axis=1))
+            if found:
+                doc, item, place = np.unique(np.concatenate(found, axis=1), axis=1)
+                yield m, doc, item, place * (2 * e + 1)
 
     def search(self, symbols: np.ndarray, offsets: np.ndarray) -> dict[tuple[int, int], tuple[int, int, int]]:
         """Best match of each (document, item) that is similar enough, as (distance, start, end) in the document's words."""
-        document = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
+        return self.verified(self.candidates(symbols, offsets), symbols, offsets)
+
+    def verified(self, candidates, symbols: np.ndarray, offsets: np.ndarray) -> dict[tuple[int, int], tuple[int, int, int]]:
+        """The candidates that hold a match by the exact edit distance."""
         found: dict[tuple[int, int], tuple[int, int, int]] = {}
-        for m, docs, items, places in self.candidates(symbols, document):
+        for m, docs, items, places in candidates:
             e, ids = edits(m, self.similarity), np.stack([x for _, x in self.items[m]])
             step = max(1, min(VERIFIED, CELLS // (m + 5 * e)))
             for some in range(0, len(docs), step):
@@ -146,7 +246,7 @@ class Index:
 
 
 def _blocks(benchmark: DataFrame, least: int) -> Iterator[list[tuple[int, list[bytes]]]]:
-    """Benchmark items as lists of lower-cased words, in blocks of bounded size; the driver holds one at a time."""
+    """Benchmark items as lists of lower-cased words, in blocks of bounded size; they go to the tasks with the plan, which therefore grows with the benchmark (not with the documents)."""
     block, words = [], 0
     for row in benchmark.select(F.col("item_id").cast("long"), F.col("text").cast("string")).toLocalIterator():
         split = (row[1] or "").lower().encode().split()
@@ -199,10 +299,12 @@ def contaminated(
     """One row per document and benchmark item that it holds: doc_id, item_id, distance, first_word, n_words.
 
     Texts are compared as lower-case words. A document holds an item of m words if some run of its words is within
-    ``(1 - similarity) * m`` insertions, deletions or replacements of words. A match must keep a number of the item's
-    runs of up to three words, shifted by no more words than may be edited; every place where so many are found is
-    verified by the exact edit distance, so no match is lost, and the best place in the document is returned. All
-    matches are found whatever ``recall`` asks for.
+    ``(1 - similarity) * m`` insertions, deletions or replacements of words. Windows of as many words as an item are
+    embedded by independent random walks, which turn edit distance into Hamming distance; keys of sampled coordinates
+    pick the candidates, as many walks as the item's length needs for ``recall`` at the full edit allowance (measured by
+    ``walks``). Each is verified by the exact edit distance, and the best place in the document is returned. Verbatim
+    copies share every key. Windows are taken only where enough of an item's runs of up to three words agree on a start:
+    a match cannot lie elsewhere, so this loses none.
 
     The benchmark is a stated query set: it is read in blocks of bounded size and each block is searched for in one pass
     over the documents without a shuffle. Null texts and ids hold nothing: items without id or with fewer than ``least``
