@@ -1,4 +1,4 @@
-"""Language-model scores: context-tree weighting of bytes, beside a smoothed word model."""
+"""Language-model scores: context-tree weighting of bytes over depths 0 to ``DEPTH``, beside a smoothed word model."""
 
 from __future__ import annotations
 
@@ -8,6 +8,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark import TaskContext
@@ -18,7 +19,13 @@ from foliary.llm.common import as_bytes, documents, held_out, materialize, query
 
 END = 0xFF  # never a byte of UTF-8: stands before a text (twice) and ends it
 SYMBOLS = 256
+DEPTH = 5  # bytes of the longest context
+ROOT = 2  # a bucket holds all that was counted after contexts that end in the same two bytes
+BYTE = np.uint64(8)
 BATCH_ROWS, BATCH_BYTES = 4096, 8_000_000
+CODEC = "zstd"  # of texts that travel
+PART_BYTES = 1 << 21  # bytes whose grams are worked out at once
+HELD_GRAMS = 1_000_000  # distinct grams that a task adds up before it sends them
 FREQUENT = 8  # a word in a batch's every eighth document, or more, is counted once for the batch
 HALF = np.log(0.5)
 
@@ -130,30 +137,216 @@ def weigh(grams: np.ndarray, counts: np.ndarray) -> Model:
     return Model(rows, np.concatenate(logs).astype(np.float32))
 
 
-def train(docs: DataFrame, text: str = "text") -> Model:
-    """Count runs of three bytes in all texts, A-Z in lower case, and weigh them.
+def grams_of(texts: list[bytes], depth: int = DEPTH) -> Iterator[np.ndarray]:
+    """Runs of ``depth`` + 1 bytes that end at each byte of the texts and at their end marks, as numbers, in parts of bounded size.
+    As many marks as a context has bytes stand before a text."""
+    edge, end = bytes([END]) * depth, bytes([END])
+    sizes = np.fromiter((len(t) + depth + 1 for t in texts), np.int64, len(texts))
+    starts = np.cumsum(sizes) - sizes
+    stream = np.frombuffer(b"".join(x for t in texts for x in (edge, t, end)), np.uint8)
+    inside = np.ones(len(stream), bool)
+    for k in range(depth):
+        inside[starts + k] = False
+    for low in range(depth, len(stream), PART_BYTES):
+        high = min(low + PART_BYTES, len(stream))
+        found = np.zeros(high - low, np.uint64)
+        for back in range(depth, -1, -1):
+            found <<= BYTE
+            found |= stream[low - back : high - back]
+        yield found[inside[low:high]]
 
-    Each task adds up a table of 2^24 counts and sends the ones above zero; the sums are at most 2^24 rows, whatever the
-    input, and so is what reaches the driver.
-    """
+
+def distinct(numbers: np.ndarray) -> np.ndarray:
+    numbers = np.sort(numbers)
+    return numbers[np.append(True, numbers[1:] != numbers[:-1])] if len(numbers) else numbers
+
+
+def counted(numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    numbers = np.sort(numbers)
+    first = np.flatnonzero(np.append(True, numbers[1:] != numbers[:-1])) if len(numbers) else np.zeros(0, np.int64)
+    return numbers[first], np.diff(np.append(first, len(numbers)))
+
+
+def packed(grams: np.ndarray) -> bytes:
+    """Grams in order, the first bytes of all before the second bytes: neighbours share them, so they compress."""
+    return np.ascontiguousarray(grams.view(np.uint8).reshape(-1, 8).T).tobytes()
+
+
+def unpacked(data: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(8, -1).T).reshape(-1).view(np.uint64)
+
+
+def added(grams: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct grams in order, with the sums of their counts."""
+    if not grams:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    grams, counts = np.concatenate(grams), np.concatenate(counts)
+    order = np.argsort(grams, kind="stable")
+    grams, counts = grams[order], counts[order]
+    first = np.flatnonzero(np.append(True, grams[1:] != grams[:-1])) if len(grams) else np.zeros(0, np.int64)
+    return grams[first], np.add.reduceat(counts, first) if len(first) else counts
+
+
+def shares(grams: np.ndarray, buckets: int) -> Iterator[tuple[int, np.ndarray]]:
+    """Buckets and the places of their grams: all contexts that end in the same two bytes share a bucket."""
+    mixed = (grams >> BYTE & np.uint64(0xFFFF)) * np.uint64(0x9E3779B97F4A7C15)
+    bucket = ((mixed >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64)
+    order = np.argsort(bucket, kind="stable")
+    bounds = np.searchsorted(bucket[order], np.arange(buckets + 1))
+    for b in range(buckets):
+        if bounds[b] < bounds[b + 1]:
+            yield b, order[bounds[b] : bounds[b + 1]]
+
+
+def _prefix(byte: np.ndarray, level: int) -> np.ndarray:
+    """The decision (1 to 255) that settles a bit of a byte: the bits before it, after a leading one."""
+    return byte >> np.uint64(8 - level) | np.uint64(1 << level)
+
+
+class Subtrees:
+    """Context trees below contexts of ``ROOT`` bytes, from the counted grams of whole contexts of that length.
+
+    Only contexts and decisions that were seen are nodes; what was not seen has an estimate of a half at every depth below. ``nodes``
+    holds for each depth the sorted keys (context << 8 | decision), the weight of the node's own estimate, and that estimate."""
+
+    def __init__(self, grams: np.ndarray, counts: np.ndarray, depth: int = DEPTH):
+        self.depth, self.nodes, whole, deeper = depth, {}, None, None
+        for d in range(depth, ROOT - 1, -1):
+            grams, counts = added([grams & np.uint64((1 << 8 * (d + 1)) - 1)], [counts])
+            byte, base = grams & np.uint64(0xFF), grams & ~np.uint64(0xFF)
+            keys = np.concatenate([base | _prefix(byte, level) for level in range(8)])
+            ones = np.concatenate([byte >> np.uint64(7 - level) & np.uint64(1) for level in range(8)]).astype(bool)
+            n = np.tile(counts, 8)
+            keys, at = np.unique(keys, return_inverse=True)
+            one = np.bincount(at, n * ones, len(keys))
+            zero = np.bincount(at, n * ~ones, len(keys))
+            own = estimate(zero, one)
+            if deeper is None:
+                weight, total = np.ones(len(keys)), own
+            else:
+                parent = np.searchsorted(keys, deeper & np.uint64((1 << 8 * (d + 1)) - 1))
+                total = np.logaddexp(HALF + own, HALF + np.bincount(parent, whole, len(keys)))
+                weight = np.exp(HALF + own - total)
+            self.nodes[d] = keys, weight, (one + 0.5) / (zero + one + 1)
+            whole, deeper = total, keys
+        self.whole = whole  # log probability of what was seen at each node of depth ROOT
+        self.counts = grams, counts  # of contexts of ROOT bytes
+
+    def logs(self, grams: np.ndarray, top: Top) -> np.ndarray:
+        """log10 probability of the last byte of each gram after its context."""
+        out = np.zeros(len(grams))
+        byte = grams & np.uint64(0xFF)
+        last = (grams >> BYTE & np.uint64(0xFF)).astype(np.int64)
+        for level in range(8):
+            prefix = _prefix(byte, level)
+            p = np.full(len(grams), 0.5)
+            for d in range(self.depth, ROOT - 1, -1):
+                keys, weight, mine = self.nodes[d]
+                wanted = grams & np.uint64((1 << 8 * (d + 1)) - 1) & ~np.uint64(0xFF) | prefix
+                at = np.minimum(np.searchsorted(keys, wanted), max(len(keys) - 1, 0))
+                if len(keys):
+                    p = np.where(keys[at] == wanted, weight[at] * mine[at] + (1 - weight[at]) * p, p)
+            place = prefix.astype(np.int64) - 1
+            w, mine = top.weights[1 + last, place], top.ones[1 + last, place]
+            p = w * mine + (1 - w) * p
+            w, mine = top.weights[0, place], top.ones[0, place]
+            p = w * mine + (1 - w) * p
+            out += np.log10(np.where(byte >> np.uint64(7 - level) & np.uint64(1), p, 1 - p))
+        return out
+
+
+@dataclass
+class Top:
+    """The tree above contexts of ``ROOT`` bytes: weights and estimates of a one at the 255 decisions, of the empty context (row 0)
+    and of each last byte (row 1 + byte)."""
+
+    weights: np.ndarray  # (257, 255)
+    ones: np.ndarray  # (257, 255)
+
+
+def crown(lasts: np.ndarray, below: np.ndarray, counts: np.ndarray) -> Top:
+    """The top from what lies below each last byte: summed log probabilities (n, 255) and counts of bytes (n, 256)."""
+    weights, ones = np.ones((257, 255)), np.full((257, 255), 0.5)
+    total = np.zeros((1, 255))
+    for c, under, n in zip(lasts, below, counts):
+        zero, one = split_bits(n[None].astype(np.float64))
+        own = HALF + estimate(zero, one)
+        whole = np.logaddexp(own, HALF + under)
+        weights[1 + c], ones[1 + c] = np.exp(own - whole)[0], ((one + 0.5) / (zero + one + 1))[0]
+        total += whole
+    zero, one = split_bits(counts.sum(axis=0, keepdims=True).astype(np.float64).reshape(1, SYMBOLS))
+    own = HALF + estimate(zero, one)
+    weights[0], ones[0] = np.exp(own - np.logaddexp(own, HALF + total))[0], ((one + 0.5) / (zero + one + 1))[0]
+    return Top(weights, ones)
+
+
+def _roots(trees: Subtrees) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """Of each last byte: the summed log probabilities (255,) of the contexts of ROOT bytes that end in it, and counts of bytes (256,)."""
+    keys, grams, n = trees.nodes[ROOT][0], *trees.counts
+    last, decision = (keys >> BYTE & np.uint64(0xFF)).astype(np.int64), (keys & np.uint64(0xFF)).astype(np.int64) - 1
+    mine, byte = (grams >> BYTE & np.uint64(0xFF)).astype(np.int64), (grams & np.uint64(0xFF)).astype(np.int64)
+    for c in np.unique(mine).tolist():
+        yield c, np.bincount(decision[last == c], trees.whole[last == c], 255), np.bincount(byte[mine == c], n[mine == c], SYMBOLS).astype(np.int64)
+
+
+TREE, ROOTS = -1, -2  # kinds of rows beside those below: counted grams of a bucket, what lies below a last byte
+
+
+def train(docs: DataFrame, buckets: int, text: str = "text", depth: int = DEPTH) -> tuple[DataFrame, Top]:
+    """Count the runs of ``depth`` + 1 bytes in all texts, A-Z in lower case: rows of (bucket, grams, counts), and the top of the tree.
+
+    Tasks count in parts of bounded size, and a bucket adds up the grams of its contexts, so what it holds are distinct grams. What lies
+    below each last byte is summed by Spark; at most 256 rows of 4 KB reach the driver, whatever the input."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(1 << 24, np.int64)
+        def rows(grams: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+            return _rows([(b, 0, TREE, packed(grams[at]), packed(n[at]), None, None) for b, at in shares(grams, buckets)])
+
+        grams, n = added([], [])
         for batch in batches:
             for part in _slices(as_bytes(batch.column(0))):
-                stream, starts = _stream([t.lower() for _, t in part])
-                s = stream.astype(np.int32)
-                keep = np.ones(len(s), bool)
-                keep[starts] = keep[starts + 1] = False
-                total += np.bincount((s[:-2] << 16 | s[1:-1] << 8 | s[2:])[keep[2:]], minlength=1 << 24)
-        seen = np.nonzero(total)[0]
-        for at in range(0, len(seen), 100_000):
-            found = seen[at : at + 100_000]
-            yield pa.RecordBatch.from_arrays([pa.array(found.astype(np.int32)), pa.array(total[found])], ["gram", "n"])
-
-    found = docs.select(F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text")).mapInArrow(count, "gram int, n long")
-    sums = found.groupBy("gram").agg(F.sum("n").alias("n")).toPandas()
-    return weigh(sums["gram"].to_numpy(np.int64), sums["n"].to_numpy(np.int64))
+                for found in grams_of([t.lower() for _, t in part], depth):
+                    found, times = counted(found)
+                    grams, n = added([grams, found], [n, times])
+                    if len(grams) > HELD_GRAMS:
+                        yield rows(grams, n)
+                        grams, n = added([], [])
+        if len(grams):
+            yield rows(grams, n)
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, tuple[list, list, int]] = {}
+        for batch in batches:
+            for i in range(batch.num_rows):
+                target = batch.column(0)[i].as_py()
+                grams, n, size = held.get(target, ([], [], 0))
+                grams.append(unpacked(batch.column(3)[i].as_py()))
+                n.append(unpacked(batch.column(4)[i].as_py()).view(np.int64))
+                if sum(map(len, grams)) > 2 * size + HELD_GRAMS:
+                    grams, n = ([x] for x in added(grams, n))
+                    size = len(grams[0])
+                held[target] = grams, n, size
+        for target in sorted(held):
+            grams, n = added(*held.pop(target)[:2])
+            yield _rows([(target, 0, TREE, packed(grams), packed(n), None, None)])
+            for c, below, counts in _roots(Subtrees(grams, n, depth)):
+                yield _rows([(target, c, ROOTS, below.tobytes(), counts.tobytes(), None, None)])
+
+    def total(table: pa.Table) -> pa.Table:
+        rows = sorted(zip(*(table.column(name).to_pylist() for name in ("target", "batch", "a", "b"))))  # a fixed order of additions
+        below, counts = np.zeros(255), np.zeros(SYMBOLS, np.int64)
+        for _, _, a, b in rows:
+            below += np.frombuffer(a, np.float64)
+            counts += np.frombuffer(b, np.int64)
+        return pa.table({"last": [rows[0][1]], "below": [below.tobytes()], "counts": [counts.tobytes()]}, pa.schema([("last", pa.int64()), ("below", pa.binary()), ("counts", pa.binary())]))
+
+    whole = docs.select(F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
+    trees = materialize(whole.mapInArrow(count, ROW).repartition(buckets, "target").mapInArrow(merge, ROW), "context-trees")
+    found = trees.filter(F.col("kind") == ROOTS).groupBy("batch").applyInArrow(total, "last long, below binary, counts binary").collect()
+    found = sorted(((r["last"], np.frombuffer(r["below"], np.float64), np.frombuffer(r["counts"], np.int64)) for r in found), key=lambda r: r[0])
+    lasts, below, counts = zip(*found) if found else ((), (), ())
+    top = crown(np.array(lasts, np.int64), np.array(below).reshape(-1, 255), np.array(counts, np.int64).reshape(-1, SYMBOLS))
+    return trees.filter(F.col("kind") == TREE), top
 
 
 def _slices(texts: list[bytes]) -> Iterator[list[tuple[int, bytes]]]:
@@ -171,7 +364,7 @@ def _slices(texts: list[bytes]) -> Iterator[list[tuple[int, bytes]]]:
 
 ROW = "target long, batch long, kind int, a binary, b binary, c binary, d binary"
 NAMES = ["target", "batch", "kind", "a", "b", "c", "d"]
-REQUEST, OWNER, STATS = 0, 1, 2
+REQUEST, OWNER, STATS, GRAMS = 0, 1, 2, 3
 
 
 def _rows(rows: list[tuple]) -> pa.RecordBatch:
@@ -215,13 +408,51 @@ def _request(batch: int, buckets: int, texts: list[bytes], learn: np.ndarray) ->
     return rows, owner
 
 
-def _answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Count the words of the requests of a task's buckets, and answer each with sums by document."""
-    requests = []
+def _logs(tree: Subtrees, grams: np.ndarray, top: Top) -> np.ndarray:
+    parts = [tree.logs(grams[low : low + PART_BYTES // 16], top) for low in range(0, len(grams), PART_BYTES // 16)]
+    return np.concatenate(parts) if parts else np.zeros(0)
+
+
+def _asked(texts: list[bytes], depth: int) -> np.ndarray:
+    return distinct(np.concatenate([distinct(part) for part in grams_of(texts, depth)]))
+
+
+def _text_scores(texts: list[bytes], answers: dict[int, bytes], buckets: int, depth: int) -> np.ndarray:
+    """log10 probability of each text from the answers of the buckets to the grams of all."""
+    grams = _asked(texts, depth)
+    told = np.zeros(len(grams))
+    for b, at in shares(grams, buckets):
+        told[at] = np.frombuffer(answers[b], np.float32)
+    index = pd.Index(grams)
+    logs = np.concatenate([told[index.get_indexer(part)] for part in grams_of(texts, depth)])
+    sizes = np.fromiter((len(t) + 1 for t in texts), np.int64, len(texts))
+    return np.add.reduceat(logs, np.cumsum(sizes) - sizes)
+
+
+def _answer(batches: Iterator[pa.RecordBatch], top: Top, depth: int) -> Iterator[pa.RecordBatch]:
+    """Count the words of the requests of a task's buckets, and answer each with sums by document; answer grams with their logs.
+
+    Rows come in the order of their kind, so the trees are there before the first gram is asked for."""
+    requests, trees = [], {}
     for batch in batches:
-        for row in zip(*(batch.column(i).to_pylist() for i in range(7))):
+        for i in range(batch.num_rows):
+            row = tuple(batch.column(k)[i].as_py() for k in range(7))
             if row[2] == OWNER:
                 yield _rows([row])
+            elif row[2] == TREE:
+                known = unpacked(row[3])
+                tree = Subtrees(known, unpacked(row[4]).view(np.int64), depth)
+                trees[row[0]] = tree, known, _logs(tree, known, top)
+            elif row[2] == GRAMS:
+                grams = unpacked(row[3])
+                if row[0] not in trees:
+                    trees[row[0]] = Subtrees(np.zeros(0, np.uint64), np.zeros(0, np.int64), depth), np.zeros(0, np.uint64), np.zeros(0)
+                tree, known, logs = trees[row[0]]
+                at = np.minimum(np.searchsorted(known, grams), max(len(known) - 1, 0))
+                new = known[at] != grams if len(known) else np.ones(len(grams), bool)
+                found = logs[at] if len(known) else np.zeros(len(grams))
+                found[new] = _logs(tree, grams[new], top)
+                yield _rows([(row[0], row[1], GRAMS, found.astype(np.float32).tobytes(), None, None, None)])
             else:
                 requests.append(row)
     if not requests:
@@ -251,7 +482,7 @@ SCORES = "kind int, doc_id long, held_out boolean, n_tokens long, n_known long,
 SCORE_NAMES = [x.split()[0] for x in SCORES.split(", ")]
 
 
-def _finish(table: pa.Table) -> pa.Table:
+def _finish(table: pa.Table, buckets: int, depth: int) -> pa.Table:
     """Sum the answers of one batch by document; pass on the number of distinct words of a bucket."""
     rows = list(zip(*(table.column(i).to_pylist() for i in range(7))))
     types = [pa.int32(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
@@ -259,7 +490,9 @@ def _finish(table: pa.Table) -> pa.Table:
         distinct = sum(int(np.frombuffer(r[3], np.int64)[0]) for r in rows)
         values = [[STATS], [None], [None], [None], [distinct], [None], [None]]
         return pa.Table.from_arrays([pa.array(v, t) for v, t in zip(values, types)], SCORE_NAMES)
-    ids, held, n_tokens, scores, words, slot, doc, n = pickle.loads(next(r[3] for r in rows if r[2] == OWNER))
+    owner, size = next((r[3], r[4]) for r in rows if r[2] == OWNER)
+    ids, held, n_tokens, texts, words, slot, doc, n = pickle.loads(pa.decompress(owner, int.from_bytes(size), CODEC, asbytes=True))
+    scores = _text_scores(texts, {r[0]: r[3] for r in rows if r[2] == GRAMS}, buckets, depth)
     known, logs = np.zeros(len(ids), np.int64), np.zeros(len(ids))
     totals = {}
     for r in sorted(r for r in rows if r[2] == REQUEST):  # a fixed order of additions
@@ -277,7 +510,7 @@ def _finish(table: pa.Table) -> pa.Table:
     return pa.Table.from_arrays([pa.array(v, t) for v, t in zip(values, types)], SCORE_NAMES)
 
 
-def score_documents(docs: DataFrame, folds: int = 5, fold: int = 1, text: str = "text") -> DataFrame:
+def score_documents(docs: DataFrame, folds: int = 5, fold: int = 1, text: str = "text", depth: int = DEPTH) -> DataFrame:
     """One row per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
     ``score`` is the log10 probability of the text (A-Z in lower case, ended by a mark) under context-tree weighting of
@@ -289,11 +522,18 @@ def score_documents(docs: DataFrame, folds: int = 5, fold: int = 1, text: str =
     numbers; a bucket's task counts its words and answers each batch with sums by document. Words that many documents
     of a batch hold travel once per batch, so no frequent word fills a bucket. There are as many buckets as shuffle
     partitions, which bounds a task's memory by the user's setting.
+
+    Context trees: a batch asks for each of its distinct runs of ``depth`` + 1 bytes once. The bucket of the context's last two
+    bytes holds the trees below these, and answers one batch after the other. The model has a node for every context that occurs, so
+    it grows with the corpus.
     """
+    if not ROOT < depth <= 6:
+        raise ValueError("contexts have 3 to 6 bytes")
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out(F.col("doc_id").cast("long"), folds, fold).alias("held_out"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
-    model = spark.sparkContext.broadcast(train(rows.filter(~F.col("held_out"))))  # at most 2^16 + 257 rows of 1 KB
     buckets = max(64, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    trees, top = train(rows.filter(~F.col("held_out")), buckets, depth=depth)
+    shared = spark.sparkContext.broadcast(top)  # 1 MB
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = TaskContext.get().partitionId() << 24  # the same again if the task is repeated
@@ -303,15 +543,18 @@ def score_documents(docs: DataFrame, folds: int = 5, fold: int = 1, text: str =
                 texts, index = [t for _, t in part], [i for i, _ in part]
                 mine = np.array([held[i] for i in index])
                 found, (words, slot, doc, n, n_tokens) = _request(number, buckets, texts, (~mine).astype(np.uint16))
-                scores = model.value.text_scores([t.lower() for t in texts])
-                owner = pickle.dumps(([ids[i] for i in index], mine.tolist(), n_tokens, scores, words, slot, doc, n))
-                yield _rows([*found, (number, number, OWNER, owner, None, None, None)])
+                texts = [t.lower() for t in texts]
+                grams = _asked(texts, depth)
+                asked = [(b, number, GRAMS, packed(grams[at]), None, None, None) for b, at in shares(grams, buckets)]
+                owner = pickle.dumps(([ids[i] for i in index], mine.tolist(), n_tokens, texts, words, slot, doc, n))
+                size = len(owner).to_bytes(8)
+                yield _rows([*found, *asked, (number, number, OWNER, pa.compress(owner, CODEC, asbytes=True), size, None, None)])
                 number += 1
 
     # a bucket is one task: the number of partitions is that of the buckets, and rows go to the partition of their target
-    asked = rows.mapInArrow(ask, ROW)
-    answered = asked.repartition(buckets, "target").mapInArrow(_answer, ROW)
-    found = materialize(answered.groupBy("batch").applyInArrow(_finish, SCORES), "scores")
+    asked = rows.mapInArrow(ask, ROW).unionByName(trees).repartition(buckets, "target").sortWithinPartitions("kind")
+    answered = asked.mapInArrow(lambda batches: _answer(batches, shared.value, depth), ROW)
+    found = materialize(answered.groupBy("batch").applyInArrow(lambda table: _finish(table, buckets, depth), SCORES), "scores")
     sums = found.agg(
         F.sum(F.when((F.col("kind") == OWNER) & ~F.col("held_out"), F.col("n_tokens"))).alias("tokens"),
         F.count(F.when((F.col("kind") == OWNER) & ~F.col("held_out"), 1)).alias("ends"),
