@@ -90,21 +90,19 @@ def strip_fences(content: Column) -> Column:
     return F.when(F.startswith(trimmed, F.lit("```")), tx.trim(inner)).otherwise(trimmed)
 
 
-def clean_summary(summary: Column) -> Column:
-    flat = tx.squeeze(summary)
-    return F.when(flat == "", NO_SUMMARY).otherwise(F.left(flat, F.lit(SUMMARY_CHARS)))
-
-
 def naming_proposals(replies: DataFrame) -> DataFrame:
     """Name and summary proposed by each model reply (``document_id, original_filename, reply``)."""
-    parsed = F.from_json(strip_fences(F.col("reply")), schemas.MODEL_REPLY, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"})
-    body = strip_fences(F.col("reply"))
-    readable = F.try_parse_json(body).isNotNull() & body.rlike(r"(?s)^\{.*\}$")
-    fallback = fallback_name(F.col("original_filename"))
-    return replies.select(
+    # Each step is a column of its own, so a reply is stripped and parsed once, however many results read it.
+    cut = replies.select("document_id", fallback_name(F.col("original_filename")).alias("fallback"), strip_fences(F.col("reply")).alias("body"))
+    told = cut.withColumn("readable", F.when(F.col("body").rlike(r"(?s)^\{.*\}$"), F.try_parse_json("body").isNotNull()).otherwise(False))
+    parsed = F.from_json("body", schemas.MODEL_REPLY, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"})
+    told = told.withColumn("parsed", F.when(F.col("readable"), parsed)).drop("body")
+    flat = F.when(F.col("readable"), tx.squeeze(F.coalesce(F.col("parsed")["summary"], F.lit(NO_SUMMARY))))
+    told = told.select("document_id", "readable", "fallback", F.col("parsed")["filename_base"].alias("base"), flat.alias("flat"))
+    return told.select(
         "document_id",
-        F.when(readable, F.coalesce(safe_name(parsed["filename_base"]), fallback)).otherwise(fallback).alias("proposed_name"),
-        F.when(readable, clean_summary(F.coalesce(parsed["summary"], F.lit(NO_SUMMARY)))).otherwise(UNREADABLE_SUMMARY).alias("summary"),
+        F.coalesce(safe_name(F.col("base")), F.col("fallback")).alias("proposed_name"),
+        F.when(F.col("readable"), F.when(F.col("flat") == "", NO_SUMMARY).otherwise(F.left("flat", F.lit(SUMMARY_CHARS)))).otherwise(UNREADABLE_SUMMARY).alias("summary"),
     )
 
 

@@ -96,3 +96,14 @@ def test_highlight_across_items(spark):
     assert rows == {0: "", 1: "a lant", 2: "ern", 3: "at b&lt;", 4: "<mark>A</mark>", 5: "<mark>Lantern</mark>"}
     rows = {r["item_no"]: r["html"] for r in highlight.highlight_items(items, "ern at").collect()}
     assert rows[2] == "<mark>ern</mark>" and rows[3] == "<mark>at</mark> b&lt;"
+
+
+def test_a_reply_is_parsed_once(spark):
+    rows = [(1, "a.pdf", '```json\n{"filename_base": "X y", "summary": " s  t "}\n```'), (2, "b.pdf", "no"), (3, "c.pdf", None), (4, "d.pdf", '{"summary": ""}'), (5, "e.pdf", "{bad}"), (6, "f.pdf", "[1]")]
+    found = naming.naming_proposals(spark.createDataFrame(rows, "document_id bigint, original_filename string, reply string"))
+    unread = naming.UNREADABLE_SUMMARY
+    got = [(r["proposed_name"], r["summary"]) for r in found.orderBy("document_id").collect()]
+    assert got == [("x_y.pdf", "s t"), ("b.pdf", unread), ("c.pdf", unread), ("d.pdf", naming.NO_SUMMARY), ("e.pdf", unread), ("f.pdf", unread)]
+    plan = spark.range(6).selectExpr("id AS document_id", "concat(id, '.pdf') AS original_filename", "concat('{', id, '}') AS reply")
+    text = naming.naming_proposals(plan)._jdf.queryExecution().optimizedPlan().toString()
+    assert text.count("from_json") == 1
