@@ -16,7 +16,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from foliary.operators import intake, library, postings, search, vectors
 from foliary.operators.chunking import chunk_documents
 from foliary.operators.ledger import FINISHED_STAGES, TERMINAL, clamp_progress
-from foliary.session import materialize
+from foliary.session import materialize, scratch_path
 from foliary.sources.files import BucketedRows, list_folder, read_files
 from foliary.streaming.run import run_batches
 
@@ -299,11 +299,13 @@ class IndexStream:
         inside = F.col("bucket").isin(touched)
         both = self.pages().filter(inside).unionByName(changes)
         newest = F.max_by(F.struct("document_id", "text", "seq"), F.struct("seq", "text")).alias("page")
-        merged = materialize(both.groupBy("bucket", "page_id").agg(newest).select("page_id", "page.*", "bucket"), "index-pages")
+        # Dealt by bucket alone, so the texts are shuffled once, and each file of the merged pages is part of one bucket.
+        path = scratch_path(self.spark, "index-pages")
+        both.repartition("bucket").groupBy("bucket", "page_id").agg(newest).select("page_id", "page.*", "bucket").write.partitionBy("bucket").parquet(path)
+        merged = self.spark.read.schema(self.PAGES).parquet(path)
         self._overwrite(merged, "pages")
-        # Sorted by bucket, and a block never spans two of them.
-        alive = merged.filter(F.col("text").isNotNull()).repartition("bucket").sortWithinPartitions("bucket", "page_id")
-        cut = postings.cut_blocks(alive, within="bucket")
+        # Rows of a bucket lie together, and a block never spans two of them; one that is cut in two only has more blocks.
+        cut = postings.cut_blocks(merged.filter(F.col("text").isNotNull()), within="bucket")
         # A bucket whose last page has gone still gets its (empty) totals, so its old blocks are replaced.
         emptied = merged.groupBy("bucket").agg(F.count("text").alias("n")).filter("n = 0")
         blank = emptied.select(*[F.lit(0 if name in ("block", "n_rows", "n_tokens") else None).cast(kind).alias(name) for name, kind in postings.FIELDS], "bucket")
