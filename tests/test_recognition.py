@@ -86,3 +86,18 @@ def test_page_class_and_size(spark):
     df = spark.createDataFrame(rows, "page_id bigint, document_id bigint, text string, width_pt double, height_pt double, rotation int")
     got = [(r["ocr_status"], r["width_px"], r["height_px"]) for r in library.classify_pages(df).orderBy("page_id").collect()]
     assert got == [("needs_ocr", 1700, 2200), ("native_text", 2200, 1700), ("needs_ocr", 1, 1)]
+
+
+def test_words_leave_in_small_batches_and_carry_their_page(spark, monkeypatch):
+    monkeypatch.setattr(recognition, "WORD_ROWS", 3)
+    word = "<span class='ocrx_word' title='bbox 10 20 40 50'>w{}</span>"
+    markup = "<div class='ocr_carea'><span class='ocr_line'>" + "".join(word.format(n) for n in range(8)) + "</span></div>"
+    pages = spark.createDataFrame([(1, markup), (2, None), (3, markup), (3, markup)], "page_id bigint, hocr string").coalesce(1)
+    words = recognition.hocr_words(pages).collect()
+    assert [(r["page_id"], r["word"], r["text"]) for r in words] == [(p, n, f"w{n}") for p in (1, 3, 3) for n in range(8)]
+    geometry = spark.createDataFrame([(1, 0.0, 0.0, 612.0, 792.0, 0, 612, 792), (3, 5.0, 7.0, 617.0, 799.0, 90, 792, 612), (3, 0.0, 0.0, 612.0, 792.0, 180, 612, 792)], "page_id bigint, crop_left double, crop_bottom double, crop_right double, crop_top double, rotation int, width_px int, height_px int")
+    joined = recognition.word_geometry(recognition.hocr_words(pages), geometry)
+    carried = recognition.word_geometry(recognition.hocr_words(pages.join(geometry, "page_id"), keep=recognition.GEOMETRY))
+    assert sorted(carried.collect()) == sorted(joined.collect()) and carried.count() == 8 + 4 * 8
+    plan = carried._jdf.queryExecution().executedPlan().toString()
+    assert plan.index("MapInArrow") < plan.index("Join")  # above the join, so words are not shuffled
