@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foliary.llm.common import as_bytes, documents, materialize, query
-from foliary.llm.suffix_array import permuted_common_prefixes, suffix_array
+from foliary.llm.suffix_array import sparse_suffix_array
 
 LENGTH = 50  # bytes of a string whose later copies are removed
 GRAM = 20  # bytes of an anchor
@@ -176,30 +176,21 @@ def _find_shared(batches: Iterator[pa.RecordBatch], frequent: int) -> Iterator[p
                 yield _rows([(target, r[1], _five(own), _five(own[np.isin(own, often)]))])
 
 
-def first_documents(strings: list[bytes], lowest: np.ndarray, length: int = LENGTH) -> list[np.ndarray]:
-    """For each window of each string the smallest ``lowest`` among the strings that hold an equal window."""
+def first_documents(strings: list[bytes], lowest: np.ndarray, length: int = LENGTH) -> np.ndarray:
+    """For each window of each string, one after the other, the smallest ``lowest`` among the strings that hold an equal
+    window.
+
+    The suffix array is sparse: it has the places where a window starts, a quarter of all in strings around anchors."""
     sizes = np.fromiter(map(len, strings), np.int64, len(strings))
-    data = np.frombuffer(b"\0".join(strings) + b"\0", np.uint8)
-    starts = np.cumsum(sizes + 1) - sizes - 1
-    # byte values are moved up by two: 1 ends each string, 0 ends them all
-    symbols = np.append(data.astype(np.int64) + 2, 0)
-    symbols[starts + sizes] = 1
-    sa = suffix_array(symbols, 258)[1:]
-    common = permuted_common_prefixes(data, sa, length)
-    valid = np.zeros(len(data), bool)
     windows = sizes - length + 1
     inner = np.arange(windows.sum()) - np.repeat(np.cumsum(windows) - windows, windows)
-    position = np.repeat(starts, windows) + inner
-    valid[position] = True
-    owner = np.zeros(len(data), np.int64)
-    owner[position] = np.repeat(lowest, windows)
-    # suffixes that share a window stand together, and all of them are valid
-    new = np.nonzero((common[sa] < length) | ~valid[sa])[0]
-    new = np.union1d(new, [0])
-    least = np.minimum.reduceat(np.where(valid[sa], owner[sa], NOBODY), new)
-    first = np.empty(len(data), np.int64)
-    first[sa] = np.repeat(least, np.diff(np.append(new, len(sa))))
-    return np.split(first[position], np.cumsum(windows)[:-1])
+    position = np.repeat(np.cumsum(sizes) - sizes, windows) + inner
+    order, new = sparse_suffix_array(np.frombuffer(b"".join(strings), np.uint8), position, length)
+    new = np.nonzero(new)[0]
+    least = np.minimum.reduceat(np.repeat(lowest, windows)[order], new)
+    first = np.empty(len(position), np.int64)
+    first[order] = np.repeat(least, np.diff(np.append(new, len(order))))
+    return first
 
 
 def _answer(group: list[tuple[int, bytes]], lowest: dict, answers: dict) -> None:
@@ -207,9 +198,16 @@ def _answer(group: list[tuple[int, bytes]], lowest: dict, answers: dict) -> None
     if not group:
         return
     ids = np.fromiter(map(lowest.__getitem__, group), np.int64, len(group))
-    for key, runs in zip(group, first_documents([text for _, text in group], ids)):
-        change = np.concatenate(([0], np.nonzero(runs[1:] != runs[:-1])[0] + 1, [len(runs)]))
-        answers[key] = np.stack((np.diff(change), runs[change[:-1]])).tobytes()
+    strings = [text for _, text in group]
+    first = first_documents(strings, ids)
+    begin = np.cumsum([0, *(len(text) - LENGTH + 1 for text in strings)])
+    change = np.append(True, first[1:] != first[:-1])
+    change[begin[:-1]] = True
+    change = np.append(np.nonzero(change)[0], len(first))
+    width, value = np.diff(change), first[change[:-1]]
+    bounds = np.searchsorted(change, begin).tolist()
+    for key, a, b in zip(group, bounds[:-1], bounds[1:]):
+        answers[key] = width[a:b].tobytes() + value[a:b].tobytes()
 
 
 def _sort_shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -261,9 +259,10 @@ def repeated_spans(docs: DataFrame, text: str = "text", frequent: int = FREQUENT
 
     Windows of 50 bytes are dealt to shards by an anchor, the smallest hash of a run of 20 bytes in them, so equal
     windows meet. A first exchange finds the anchors that occur in more than one document (each batch of documents names
-    an anchor once); only the text around those is sent, each distinct string once per batch. A shard's distinct strings
-    get a suffix array by induced sorting (a string that is the only one around its anchor needs none); neighbours that share 50 bytes form the groups of equal windows, and the
-    smallest document of each group returns to the batches. A frequent anchor's windows are dealt one by one by a hash
+    an anchor once); only the text around those is sent, each distinct string once per batch. The windows of a shard's
+    distinct strings are sorted into a sparse suffix array (a string that is the only one around its anchor needs none);
+    neighbours that share 50 bytes form the groups of equal windows, and the smallest document of each group returns to
+    the batches. A frequent anchor's windows are dealt one by one by a hash
     of all their bytes, so it fills no shard.
     """
     spark = docs.sparkSession

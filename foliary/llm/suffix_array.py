@@ -1,4 +1,4 @@
-"""Suffix arrays by induced sorting, in numpy."""
+"""Suffix arrays in numpy: whole ones by induced sorting, sparse ones to a bounded depth by radix."""
 
 from __future__ import annotations
 
@@ -125,3 +125,31 @@ def permuted_common_prefixes(data: np.ndarray, sa: np.ndarray, most: int) -> np.
         out[alive] += np.where(differ == 0, 8, np.bitwise_count(lowest - np.uint64(1)) >> 3).astype(np.int64)
         alive = alive[differ == 0]
     return np.minimum(out, most)
+
+
+def sparse_suffix_array(data: np.ndarray, positions: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """The suffixes of ``data`` that start at ``positions``, in the order of their first ``depth`` bytes: an index of
+    ``positions``, and per place there whether those bytes differ from the ones before.
+
+    Suffixes are sorted by eight bytes at a time; only those that are equal so far go on to the next eight. ``data`` is
+    read as if zeros followed.
+    """
+    padded = np.concatenate((data, np.zeros(depth + 16, np.uint8)))
+    words = np.zeros(len(data) + depth + 8, np.uint64)
+    for i in range(8):
+        words = words << np.uint64(8) | padded[i : i + len(words)]
+    order = np.arange(len(positions))
+    new = np.zeros(len(positions), bool)
+    new[:1] = True
+    # places whose bytes so far are equal to those of another, and the number of each such run
+    equal, group = order.copy(), np.zeros(len(positions), np.int64)
+    for at in range(0, depth, 8):
+        word = words[positions[order[equal]] + at] >> np.uint64(8 * max(at + 8 - depth, 0))
+        moved = np.lexsort((word, group)) if at else np.argsort(word, kind="stable")
+        order[equal], word = order[equal[moved]], word[moved]
+        starts = np.append(True, (group[1:] != group[:-1]) | (word[1:] != word[:-1]))[: len(group)]
+        new[equal[starts]] = True
+        group = np.cumsum(starts) - 1
+        several = (np.bincount(group) > 1)[group] if len(group) else starts
+        equal, group = equal[several], group[several]
+    return order, new
