@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from foliary.functions import text as tx
 from foliary.operators import chunking, retrieval, vectors
+from foliary.plans.tables import Tables
 
 
 def chunks_of(spark, *texts, target=512, overlap=64):
@@ -125,3 +126,16 @@ def test_thread_titles(spark):
     rows = [(1, 0, "user", "word " * 40, None, 5), (2, 0, "assistant", "hi", None, 6), (3, 0, "user", "  ", None, 7)]
     threads = {r["thread_id"]: r for r in retrieval.thread_list(spark.createDataFrame(rows, "thread_id bigint, turn bigint, role string, content string, citations string, created_at bigint")).collect()}
     assert len(threads[1]["title"]) == 65 and threads[2]["title"] == threads[3]["title"] == "New thread" and threads[2]["preview"] is None
+
+
+def test_chunks_of_one_file_are_cut_in_many_tasks(spark, tmp_path):
+    # All documents with a vector lie in one part of the table, as they do where ids grow.
+    text = F.concat_ws(" ", F.transform(F.sequence(F.lit(1), F.lit(500)), lambda n: F.md5(F.concat_ws("-", "doc_id", n))))
+    docs = spark.range(2000).select(F.col("id").alias("doc_id"), F.when(F.col("id") < 500, text).otherwise("short").alias("text"))
+    docs.coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    found = spark.range(500).select(F.col("id").alias("vec_id"), F.array(F.lit(1.0).cast("float")).alias("embedding"))
+    found.coalesce(1).write.parquet(str(tmp_path / "embeddings.parquet"))
+    index = Tables(spark, str(tmp_path)).chunk_index
+    cut = index.blocks.filter("term IS NULL").select("n_rows").collect()
+    assert sum(r["n_rows"] for r in cut) == 500 and len(cut) >= 4 and max(r["n_rows"] for r in cut) <= 250
+    assert (index.corpus.first()["total_len"], index.terms.agg(F.sum("occurrences")).first()[0]) == (250_000, 250_000)
