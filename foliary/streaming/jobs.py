@@ -25,6 +25,7 @@ RESCAN_SECONDS = (30, 300, 86_400)
 BINARY_FILE = "path string, modificationTime timestamp, length bigint, content binary"
 DEBOUNCE = "2 seconds"
 FLUSH_INTERVAL = "250 milliseconds"
+ANCHOR_BUCKETS = 4096
 MAX_FILE_AGE = "36500d"  # the source would skip files a week older than the newest
 
 
@@ -172,47 +173,73 @@ class JobStates:
         self.states.replace(batch)
 
 
+def _alike(value):
+    """A key as Spark groups by it, for a dictionary: NaN equals NaN, and arrays have a hash."""
+    if isinstance(value, (list, tuple)):
+        return tuple(map(_alike, value))
+    if isinstance(value, bytearray):
+        return bytes(value)
+    return value if value == value else "NaN"
+
+
 class Anchors(StatefulProcessor):
-    """State of one key of :func:`dedup_stream`: the moment that passed last, until the watermark leaves its window."""
+    """State of one bucket of keys of :func:`dedup_stream`: for each of its keys the moment that passed last, until the watermark leaves
+    its window. Every call into the state store costs a round trip, and so a bucket takes a few of them whatever its number of keys."""
 
-    def __init__(self, keys: Sequence[str], ts: str, window: int):
-        self.keys, self.ts, self.window = list(keys), ts, window
+    def __init__(self, keys: Sequence[str], ts: str, window: int, schema: str):
+        self.keys, self.ts, self.window, self.schema = list(keys), ts, window, schema
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle, self.anchor = handle, handle.getValueState("anchor", "at bigint")
+        self.handle, self.anchors = handle, handle.getListState("anchors", self.schema)
 
     def _over(self, anchor: int) -> int:
         return (anchor + self.window) // 1000 + 1
 
+    def _keep(self, anchors: list[tuple], now: int) -> list[tuple]:
+        """Store the anchors that may still hold something back."""
+        live = [anchor for anchor in anchors if self._over(anchor[-1]) > now]
+        if live:
+            self.anchors.put(live)
+        else:
+            self.anchors.clear()
+        return live
+
     def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
-        before = anchor = self.anchor.get()[0] if self.anchor.exists() else None
-        for at in sorted({row[self.ts] for row in rows}):
-            if anchor is None or at > anchor + self.window:
-                anchor = at
-                yield Row(**dict(zip(self.keys, key)), **{self.ts: at})
-        if anchor is not None and anchor != before:
-            self.anchor.update((anchor,))
-            self.handle.registerTimer(self._over(anchor))
+        columns = [*self.keys, self.ts]
+        anchors = {_alike(anchor[:-1]): anchor for anchor in self.anchors.get()}
+        # In order of time over all keys of the bucket, so also of each; rows without a moment come last.
+        moments = {(row[self.ts], _alike(of)): of for row in rows for of in [tuple(row[c] for c in self.keys)]}
+        changed = False
+        for (at, same), of in sorted(moments.items(), key=lambda moment: (moment[0][0] is None, moment[0][0] or 0)):
+            if same not in anchors or (at is not None and at > anchors[same][-1] + self.window):
+                yield Row(**dict(zip(columns, (*of, at))))
+                if at is not None:
+                    anchors[same], changed = (*of, at), True
+        if changed:
+            live = self._keep(list(anchors.values()), timerValues.getCurrentWatermarkInMs())
+            if live:
+                self.handle.registerTimer(self._over(max(anchor[-1] for anchor in live)))
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
-        # A timer of an earlier anchor says nothing about the present one.
-        if self.anchor.exists() and self._over(self.anchor.get()[0]) <= expiredTimerInfo.getExpiryTimeInMs():
-            self.anchor.clear()
+        # A timer of earlier anchors says nothing about the present ones.
+        self._keep(list(self.anchors.get()), expiredTimerInfo.getExpiryTimeInMs())
         return iter(())
 
     def close(self) -> None:
         pass
 
 
-def dedup_stream(events: DataFrame, keys: Sequence[str], ts: str, window: int = intake.DEDUP_MICROS, delay: str = "0 seconds") -> DataFrame:
+def dedup_stream(events: DataFrame, keys: Sequence[str], ts: str, window: int = intake.DEDUP_MICROS, delay: str = "0 seconds", buckets: int = ANCHOR_BUCKETS) -> DataFrame:
     """Anchored de-duplication of a stream (``ts`` in microseconds): the moments at which an event of a key passes.
 
-    The anchor of a key is its state and goes by a timer once nothing it could hold back can still come, so the state counts the
-    keys of one window. Moments of a key within a micro-batch are put in order; an event later than ``delay`` is dropped
+    The anchors of the keys of a bucket (a hash of the key) are one state, and go once nothing they could hold back can still come, with the
+    next rows of their bucket or by a timer, so the state counts the keys of one window. A checkpoint is bound to its number of ``buckets``.
+    Moments within a micro-batch are put in order; an event later than ``delay`` is dropped
     by the watermark, and one that comes after a later one of its key has passed does not pass."""
     moments = events.select(*keys, F.col(ts).cast("bigint").alias(ts)).withColumn("event_time", F.timestamp_micros(ts))
     schema = ", ".join(f"`{c}` {moments.schema[c].dataType.simpleString()}" for c in [*keys, ts])
-    return moments.withWatermark("event_time", delay).groupBy(*keys).transformWithState(Anchors(keys, ts, window), schema, "append", "eventTime")
+    dealt = moments.withColumn("_bucket", F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int")).withWatermark("event_time", delay)
+    return dealt.groupBy("_bucket").transformWithState(Anchors(keys, ts, window, schema), schema, "append", "eventTime")
 
 
 LISTING = "path string, listing_id bigint, size bigint, mtime bigint, seen_at bigint"

@@ -108,6 +108,21 @@ def test_dedup_goes_on_after_a_restart_and_forgets_old_keys(spark, tmp_path):
     assert live and rows <= 4  # the anchor of c and its timer; a, b and x are gone
 
 
+def test_dedup_keeps_a_few_timers_for_many_keys(spark, tmp_path):
+    schema, window = "k string, n double, t bigint", 100
+    rng, nan = random.Random(2), float("nan")
+    keys = [(None, 0.5), ("nan", nan), *((f"k{n}", float(n)) for n in range(400))]
+    events = sorted(((key, rng.randrange(1000)) for key in keys for _ in range(6)), key=lambda e: e[1])
+    events += events[-5:]
+    batches = [[(*key, START + t) for key, t in events[n : n + 900]] for n in range(0, len(events), 900)]
+    out = str(tmp_path / "out")
+    query = run_to_files(jobs.dedup_stream(feed(spark, str(tmp_path / "f"), batches, schema), ["k", "n"], "t", window, buckets=8), out, str(tmp_path / "log"))
+    got = sorted((str(r["k"]), str(r["n"]), r["t"] - START) for r in spark.read.parquet(out).collect())
+    shown = [((str(k), str(n)), t) for (k, n), t in events]
+    assert got == sorted((k, n, t) for (k, n), t in brute(shown, window, False))
+    assert max(p["stateOperators"][0]["customMetrics"]["numRegisteredTimers"] for p in query.recentProgress) <= 8
+
+
 def test_failures_carry_over_batches(spark, tmp_path):
     rows = [("p", n, 100 + n, 1, n * 2_000_000) for n in range(4)] + [("p", 4, 103, 1, 8_000_000), ("p", 5, 9, 1, 10_000_000)]
     inbox, out, log = (str(tmp_path / n) for n in ("f", "out", "log"))
