@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pickle
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -19,6 +19,7 @@ from foliary.llm.suffix_array import sparse_suffix_array
 LENGTH = 50  # bytes of a string whose later copies are removed
 GRAM = 20  # bytes of an anchor
 BATCH_BYTES, BATCH_ROWS = 4_000_000, 4096
+BLOCK = 1 << 16  # windows whose anchors are worked out at once
 SHARD_BYTES = 4_000_000  # text that one suffix array covers, about
 FREQUENT = 4096  # batches that share an anchor, from which its windows are dealt one by one
 NOBODY = np.iinfo(np.int64).max
@@ -34,18 +35,27 @@ def _power(n: int) -> np.uint64:
 def window_anchors(data: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> np.ndarray:
     """For each window of ``length`` bytes the smallest hash of its runs of ``gram`` bytes; equal windows have equal ones.
 
-    Hashes of runs and minima over windows are both built by doubling.
-    """
+    Windows are taken in blocks whose numbers stay in the cache of a core."""
+    count = max(len(data) - length + 1, 0)
+    out = np.empty(count, np.uint64)
+    for at in range(0, count, BLOCK):
+        end = min(at + BLOCK, count)
+        out[at:end] = _anchors_of(data[at : end + length - 1], length, gram)
+    return out
+
+
+def _anchors_of(data: np.ndarray, length: int, gram: int) -> np.ndarray:
+    """Hashes of runs and minima over windows are both built by doubling."""
     count = len(data) - length + 1
-    if count <= 0:
-        return np.zeros(0, np.uint64)
     parts, width, h = {}, 1, TABLE[data]
     while True:
         if gram & width:
             parts[width] = h
         if width * 2 > gram:
             break
-        h = h[:-width] * _power(width) + h[width:]
+        last = h
+        h = h[:-width] * _power(width)
+        h += last[width:]
         width *= 2
     total, at = None, 0
     for width in sorted(parts, reverse=True):
@@ -53,7 +63,7 @@ def window_anchors(data: np.ndarray, length: int = LENGTH, gram: int = GRAM) ->
         total = piece if total is None else total * _power(width) + piece
         at += width
     total = total ^ total >> np.uint64(32)
-    total = total * np.uint64(0xD6E8FEB86659FD93)
+    total *= np.uint64(0xD6E8FEB86659FD93)
     total ^= total >> np.uint64(29)
     span, width = length - gram + 1, 1
     while width * 2 <= span:
@@ -62,6 +72,20 @@ def window_anchors(data: np.ndarray, length: int = LENGTH, gram: int = GRAM) ->
     return np.minimum(total[:count], total[span - width : span - width + count])
 
 
+def _among(keys: np.ndarray, some: np.ndarray) -> np.ndarray:
+    """Which keys are in ``some``."""
+    return np.isin(keys, some, kind="sort") if len(some) else np.zeros(len(keys), bool)
+
+
+def _numbered(strings: Iterable[bytes], known: dict[bytes, int]) -> np.ndarray:
+    """The number of each string in ``known``, which grows by those that are new."""
+    numbers = []
+    add, number = numbers.append, known.setdefault
+    for x in strings:
+        add(number(x, len(known)))
+    return np.array(numbers, np.int64)
+
+
 class Batch:
     """Documents of one batch, and the anchors of the runs of windows in them."""
 
@@ -70,14 +94,16 @@ class Batch:
         self.data = np.frombuffer(zstandard.decompress(squeezed), np.uint8) if squeezed else np.zeros(0, np.uint8)
         self.offsets = np.concatenate(([0], np.cumsum(sizes))).astype(np.int64)
         anchors = window_anchors(self.data)
-        document = np.repeat(np.arange(len(sizes)), sizes)[: len(anchors)]
-        inside = np.arange(len(anchors)) + LENGTH <= self.offsets[document + 1]
         change = np.ones(len(anchors), bool)
-        change[1:] = (anchors[1:] != anchors[:-1]) | (document[1:] != document[:-1]) | (inside[1:] != inside[:-1])
+        np.not_equal(anchors[1:], anchors[:-1], out=change[1:])
+        # a document's windows begin with it, and end where one would reach into the next
+        edges = np.concatenate((self.offsets, self.offsets[1:] - LENGTH + 1))
+        change[edges[(edges >= 0) & (edges < len(anchors))]] = True
         start = np.nonzero(change)[0]
         end = np.append(start[1:], len(anchors))
-        keep = inside[start]
-        self.start, self.end, self.document = start[keep], end[keep], document[start[keep]]
+        document = np.searchsorted(self.offsets, start, side="right") - 1
+        keep = start + LENGTH <= self.offsets[document + 1]
+        self.start, self.end, self.document = start[keep], end[keep], document[keep]
         anchor = anchors[self.start]
         self.bucket = (anchor % np.uint64(buckets)).astype(np.int64)
         self.tag = anchor >> np.uint64(24)  # 40 bits
@@ -96,10 +122,10 @@ class Batch:
         A run of windows with one shared anchor is one string; under a frequent anchor each window is its own, dealt by
         a hash of all of it.
         """
-        hit = np.isin(self.key, shared, kind="sort")
+        hit = _among(self.key, shared)
         start, end, document = self.start[hit], self.end[hit], self.document[hit]
         bucket, mark = self.bucket[hit], (self.tag[hit] & np.uint64(0xFFFFFFFF)).astype(np.int64)
-        often = np.isin(self.key[hit], frequent)
+        often = _among(self.key[hit], frequent)
         if often.any():
             size = np.where(often, end - start, 1)
             row = np.repeat(np.arange(len(start)), size)
@@ -111,9 +137,8 @@ class Batch:
             for i in np.nonzero(single)[0].tolist():
                 h = xxhash.xxh3_64_intdigest(raw[start[i] : start[i] + LENGTH])
                 bucket[i], mark[i] = h % buckets, h >> 32
-        raw, index, known = self.data.tobytes(), np.empty(len(start), np.int64), {}
-        for i, (a, b) in enumerate(zip(start.tolist(), (end + LENGTH - 1).tolist())):
-            index[i] = known.setdefault(raw[a:b], len(known))
+        raw, known = self.data.tobytes(), {}
+        index = _numbered([raw[a:b] for a, b in zip(start.tolist(), (end + LENGTH - 1).tolist())], known)
         return list(known), index, start, end, document, bucket, mark
 
 
@@ -165,15 +190,21 @@ def _find_shared(batches: Iterator[pa.RecordBatch], frequent: int) -> Iterator[p
     for r in rows:
         by_target.setdefault(r[0], []).append(r)
     for target, mine in by_target.items():
-        single, many = [_tags(r[2]) for r in mine], [_tags(r[3]) for r in mine]
-        values, counts = np.unique(np.concatenate([*single, *many]), return_counts=True)
-        shared = np.union1d(values[counts > 1], np.concatenate(many))
-        often = values[counts >= frequent]
-        for r, s, m in zip(mine, single, many):
-            own = np.concatenate((s, m))
-            own = own[np.isin(own, shared)]
+        parts = [_tags(x) for r in mine for x in r[2:]]  # of each request those of one document, then the others
+        sizes = np.fromiter(map(len, parts), np.int64, len(parts))
+        tags = np.concatenate(parts)
+        _, place, counts = np.unique(tags, return_inverse=True, return_counts=True)
+        shared = counts > 1
+        shared[place[np.repeat(np.arange(len(parts)) % 2 == 1, sizes)]] = True
+        often = (counts >= frequent)[place]
+        hit = shared[place]
+        bounds = np.append(0, np.cumsum(sizes))[::2].tolist()
+        found = []
+        for r, a, b in zip(mine, bounds[:-1], bounds[1:]):
+            own, many = tags[a:b][hit[a:b]], tags[a:b][hit[a:b] & often[a:b]]
             if len(own):
-                yield _rows([(target, r[1], _five(own), _five(own[np.isin(own, often)]))])
+                found.append((target, r[1], _five(own), _five(many)))
+        yield _rows(found)
 
 
 def first_documents(strings: list[bytes], lowest: np.ndarray, length: int = LENGTH) -> np.ndarray:
@@ -193,55 +224,61 @@ def first_documents(strings: list[bytes], lowest: np.ndarray, length: int = LENG
     return first
 
 
-def _answer(group: list[tuple[int, bytes]], lowest: dict, answers: dict) -> None:
-    """Runs (windows, first document) of each (mark, string) of a shard, as bytes."""
-    if not group:
-        return
-    ids = np.fromiter(map(lowest.__getitem__, group), np.int64, len(group))
-    strings = [text for _, text in group]
-    first = first_documents(strings, ids)
+def _runs(strings: list[bytes], lowest: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Runs of windows with one first document: how many each string has, their windows, their documents."""
+    first = first_documents(strings, lowest)
     begin = np.cumsum([0, *(len(text) - LENGTH + 1 for text in strings)])
     change = np.append(True, first[1:] != first[:-1])
     change[begin[:-1]] = True
     change = np.append(np.nonzero(change)[0], len(first))
-    width, value = np.diff(change), first[change[:-1]]
-    bounds = np.searchsorted(change, begin).tolist()
-    for key, a, b in zip(group, bounds[:-1], bounds[1:]):
-        answers[key] = width[a:b].tobytes() + value[a:b].tobytes()
+    return np.diff(np.searchsorted(change, begin)), np.diff(change), first[change[:-1]]
 
 
 def _sort_shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sort the suffixes of the strings of each bucket, shard by shard, and answer with the first document of every
-    window: (windows, document) runs."""
+    """Sort the windows of the strings of each bucket, shard by shard, and answer with the first document of every
+    window: how many runs each string has, their windows, their documents.
+
+    A string has one anchor, so equal strings have one mark."""
     rows = [r for batch in batches for r in zip(*(batch.column(i).to_pylist() for i in range(4)))]
     by_target: dict[int, list[tuple]] = {}
     for r in rows:
         by_target.setdefault(r[0], []).append(r)
     for target, mine in by_target.items():
-        requests = [pickle.loads(zstandard.decompress(r[2])) for r in mine]  # strings, marks, lowest documents
-        lowest: dict[tuple[int, bytes], int] = {}
-        for strings, marks, ids in requests:
-            for key, d in zip(zip(marks.tolist(), strings), ids.tolist()):
-                if d < lowest.get(key, NOBODY) or key not in lowest:
-                    lowest[key] = d
-        answers: dict[tuple[int, bytes], bytes] = {}
-        group: list[tuple[int, bytes]] = []
-        size, keys = 0, sorted(lowest)
-        for i, key in enumerate(keys):
-            alone = (i == 0 or keys[i - 1][0] != key[0]) and (i + 1 == len(keys) or keys[i + 1][0] != key[0])
-            if alone:  # no other string has its windows: there is nothing to sort
-                answers[key] = np.array([len(key[1]) - LENGTH + 1, lowest[key]]).tobytes()
-                continue
-            if size >= SHARD_BYTES and keys[i - 1][0] != key[0]:
-                _answer(group, lowest, answers)
-                group, size = [], 0
-            group.append(key)
-            size += len(key[1])
-        _answer(group, lowest, answers)
-        for r, (strings, marks, _) in zip(mine, requests):
-            out = [answers[key] for key in zip(marks.tolist(), strings)]
-            sizes = np.fromiter(map(len, out), np.int32, len(out))
-            yield _rows([(target, r[1], zstandard.compress(sizes.tobytes() + b"".join(out), 1), np.array([len(out)], np.int64).tobytes())])
+        known: dict[bytes, int] = {}
+        asked, marks, ids = [], [], []
+        for r in mine:
+            strings, m, d = pickle.loads(zstandard.decompress(r[2]))  # strings, marks, lowest documents
+            asked.append(_numbered(strings, known))
+            marks.append(m)
+            ids.append(d)
+        strings, at = list(known), np.concatenate(asked)
+        lowest = np.full(len(strings), NOBODY)
+        np.minimum.at(lowest, at, np.concatenate(ids))
+        mark = np.zeros(len(strings), np.uint32)
+        mark[at] = np.concatenate(marks)
+        size = np.fromiter(map(len, strings), np.int64, len(strings))
+        # A string whose mark no other has shares no window: it is one run, and there is nothing to sort.
+        order = np.argsort(mark, kind="stable")
+        new = np.append(True, mark[order][1:] != mark[order][:-1])
+        several = order[~(new & np.append(new[1:], True))]
+        alone = order[new & np.append(new[1:], True)]
+        parts = [(alone, np.ones(len(alone), np.int64), size[alone] - LENGTH + 1, lowest[alone])]
+        ends, low = np.cumsum(size[several]), 0
+        steps = np.append(np.nonzero(mark[several][1:] != mark[several][:-1])[0] + 1, len(several))  # where a shard may end
+        while low < len(several):
+            full = np.searchsorted(ends, (ends[low - 1] if low else 0) + SHARD_BYTES) + 1
+            high = int(steps[min(np.searchsorted(steps, full), len(steps) - 1)])
+            group = several[low:high]
+            parts.append((group, *_runs([strings[i] for i in group.tolist()], lowest[group])))
+            low = high
+        owner, count, width, value = (np.concatenate(x) for x in zip(*parts))
+        counts, base = np.empty(len(strings), np.int64), np.empty(len(strings), np.int64)
+        counts[owner], base[owner] = count, np.cumsum(count) - count
+        for r, number in zip(mine, asked):
+            n = counts[number]
+            runs = np.repeat(base[number] - np.cumsum(n) + n, n) + np.arange(n.sum())
+            content = n.astype(np.int32).tobytes() + width[runs].astype(np.int32).tobytes() + value[runs].tobytes()
+            yield _rows([(target, r[1], zstandard.compress(content, 1), np.array([len(n), len(runs)], np.int64).tobytes())])
 
 
 def _exchange(rows: DataFrame, buckets: int, answer) -> DataFrame:
@@ -279,11 +316,12 @@ def repeated_spans(docs: DataFrame, text: str = "text", frequent: int = FREQUENT
                 new_document = new_key | np.append(True, document[1:] != document[:-1])[: len(key)]
                 keys, counts = key[new_key], np.add.reduceat(new_document.astype(np.int64), np.nonzero(new_key)[0]) if len(key) else key
                 bounds = np.searchsorted(keys >> 40, np.arange(buckets + 1))
-                tags = (keys & ((1 << 40) - 1)).astype(np.uint64)
+                tags, rows = (keys & ((1 << 40) - 1)).astype(np.uint64), []
                 for t in range(buckets):
                     mine, n = tags[bounds[t] : bounds[t + 1]], counts[bounds[t] : bounds[t + 1]]
                     if len(mine):
-                        yield _rows([(t, number, _five(mine[n == 1]), _five(mine[n > 1]))])
+                        rows.append((t, number, _five(mine[n == 1]), _five(mine[n > 1])))
+                yield _rows(rows)
 
     def shared_of(answers) -> tuple[np.ndarray, np.ndarray]:
         keys = [[_tags(x[k]) | np.uint64(x["target"] << 40) for x in answers or []] for k in ("a", "b")]
@@ -306,7 +344,7 @@ def repeated_spans(docs: DataFrame, text: str = "text", frequent: int = FREQUENT
                     mine = order[bounds[t] : bounds[t + 1]]
                     if len(mine):
                         content = pickle.dumps(([strings[i] for i in mine.tolist()], own[mine].astype(np.uint32), lowest[mine]))
-                        yield _rows([(t, number, zstandard.compress(content, 3), None)])
+                        yield _rows([(t, number, zstandard.compress(content, 1), None)])
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -321,17 +359,11 @@ def repeated_spans(docs: DataFrame, text: str = "text", frequent: int = FREQUENT
                     order = np.argsort(bucket[first], kind="stable")
                     place = np.empty(len(strings), np.int64)
                     place[order] = np.arange(len(strings))
-                    windows, runs, counts = [], [], []
+                    runs = []
                     for x in sorted(found, key=lambda x: x["target"]):
-                        raw, n = zstandard.decompress(x["a"]), int(np.frombuffer(x["b"], np.int64)[0])
-                        sizes = np.frombuffer(raw[: 4 * n], np.int32) // 16
-                        values, at = np.frombuffer(raw[4 * n :], np.int64), 0
-                        for size in sizes.tolist():
-                            windows.append(values[at : at + size])
-                            runs.append(values[at + size : at + 2 * size])
-                            at += 2 * size
-                        counts.append(sizes)
-                    width, docs_first, count = np.concatenate(windows), np.concatenate(runs), np.concatenate(counts).astype(np.int64)
+                        raw, (n, m) = zstandard.decompress(x["a"]), np.frombuffer(x["b"], np.int64).tolist()
+                        runs.append((np.frombuffer(raw, np.int32, n), np.frombuffer(raw, np.int32, m, 4 * n), np.frombuffer(raw[4 * (n + m) :], np.int64)))
+                    count, width, docs_first = (np.concatenate(x).astype(np.int64) for x in zip(*runs))
                     base = np.cumsum(count) - count
                     # one row per run of windows of each occurrence
                     mine = place[index]
