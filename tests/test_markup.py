@@ -62,3 +62,18 @@ def test_markup_of_pages(spark):
     assert made[2.5] == (None, "<div class='ocr_page'>" + line[0] + blank[0] + "</div></div>") and made[3.5] == (7, None)
     assert made[4.5][1] == "<div class='ocr_page'>" + line[0] + word("; x_wconf -33", "ttt") + blank[0] + "</div></div>"
     assert made[5.5][1] == "<div class='ocr_page'>" + line[0] + blank[0] + "</div></div>"
+
+
+def test_four_decimals_are_those_of_round(spark):
+    rng = random.Random(6)
+    values = [rng.uniform(-1000, 1000) for _ in range(2000)] + [rng.randrange(-(10**7), 10**7) / 10**5 for _ in range(2000)] + [0.00005, -0.00005, -0.0, 1e12 + 0.1, float("nan"), float("inf"), None]
+    rows = spark.createDataFrame([(v,) for v in values], "v double")
+    assert rows.filter(~recognition._rounded(F.col("v")).eqNullSafe(F.round("v", 4))).count() == 0
+
+
+def test_geometry_is_worked_out_once(spark):
+    """What all four edges need is not repeated in each of them."""
+    words = spark.range(1).selectExpr(*(f"id AS {c}" for c in ("page_id", "block", "line", "word", "left", "top", "right", "bottom")), "'w' AS text")
+    shape = spark.range(1).selectExpr("id AS page_id", *(f"CAST(id AS double) AS {c}" for c in recognition.GEOMETRY))
+    plan = recognition.word_geometry(words.join(shape, "page_id"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("greatest(left") == 1 and "regexp_replace" not in plan
