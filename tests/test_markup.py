@@ -77,3 +77,30 @@ def test_geometry_is_worked_out_once(spark):
     shape = spark.range(1).selectExpr("id AS page_id", *(f"CAST(id AS double) AS {c}" for c in recognition.GEOMETRY))
     plan = recognition.word_geometry(words.join(shape, "page_id"))._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("greatest(left") == 1 and "regexp_replace" not in plan
+
+
+def test_page_text_of_words_in_any_order(spark):
+    """The words of a page in one place, or dealt out one by one, give what brute force gives."""
+    rng = random.Random(7)
+    rows = [(rng.choice([1, 2, None]), rng.randrange(2), rng.randrange(2), rng.randrange(30), rng.choice(["a", " b　", "", None, "é"]), rng.choice([None, 10.0, 45.5])) for _ in range(300)]
+    rows += [(3, 0, 0, 0, " ", None), (4, 0, 0, 1, "x", 1.0), (4, None, 0, 1, "y", 2.0)]
+    expected = {}
+    for page in (1, 2, 3, None):
+        mine = [r for r in rows if r[0] == page]
+        words = sorted((b, l, w, t.strip(tx.WHITESPACE_CHARS)) for _, b, l, w, t, _ in mine if (t or "").strip(tx.WHITESPACE_CHARS))
+        text, known = "", [r[5] for r in mine if r[5] is not None]
+        for k, (b, l, _, t) in enumerate(words):
+            text += ("" if k == 0 else "\n\n" if words[k - 1][0] != b else "\n" if words[k - 1][1] != l else " ") + t
+        expected[page] = (text, len(words), round(sum(known) / len(known), 4) if known else None)
+    expected[4] = ("y x", 2, 1.5)
+    table = spark.createDataFrame(rows, "page_id bigint, block bigint, line bigint, word bigint, text string, confidence double")
+    for words in (table.repartition(7), table.coalesce(1).sortWithinPartitions("page_id", "block")):
+        assert {r["page_id"]: (r["text"], r["words_count"], r["mean_confidence"]) for r in recognition.page_text_from_words(words).collect()} == expected
+
+
+def test_few_rows_are_shuffled_for_the_text_of_pages():
+    """A run of words of one page is one row."""
+    columns = [[1] * 500 + [2] * 500, [0] * 1000, [0] * 1000, list(range(1000)), ["w"] * 999 + [None], [50.0] * 1000]
+    kinds = [pa.int64()] * 4 + [pa.string(), pa.float64()]
+    made = recognition._parts_of_pages(pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["page_id", "block", "line", "word", "text", "confidence"]))
+    assert made.column("words_count").to_pylist() == [500, 499] and made.column("known").to_pylist() == [500, 500]
