@@ -162,3 +162,20 @@ def test_pages_of_hits_are_limited_per_query(spark):
     assert sorted(got[0]) == [(n + 1, 999 - 3 * n, 334) for n in range(5)]
     assert sorted(got[1]) == [(301 + n, 901 + 3 * n, 333) for n in range(3)]
     assert len(got[2]) == 50 and min(got[2])[:2] == (3, 998 - 6)
+
+
+def test_texts_without_hits_are_not_shuffled(spark):
+    """Of many texts only those that a hit asks for, and a few more, reach the join with the hits."""
+    rows = spark.range(20000).select((F.col("id") * 7 - 500).alias("page_id"), F.lit("x").alias("text"))
+    keys = spark.createDataFrame([(n * 7,) for n in range(100)] + [(-500,), (None,), (3,)], "page_id bigint")
+    kept = {r["page_id"] for r in search.that_may_meet(rows, keys, "page_id").collect()}
+    asked = {r["page_id"] for r in rows.join(keys, "page_id", "left_semi").collect()}
+    assert asked and asked <= kept and len(kept) < len(asked) + 20
+    assert search.that_may_meet(rows, keys.filter("page_id = 1"), "page_id").count() == 0
+    for other in ("int", "string", "double"):  # equal ids of another type have other hashes
+        assert search.that_may_meet(rows, keys.select(F.col("page_id").cast(other)), "page_id").count() == 20000
+    hits = spark.createDataFrame([(1, 6500)], "query_id bigint, page_id bigint")
+    found = search.snippets(hits, queries_of(spark, "a", "x"), rows)
+    assert [tuple(r) for r in found.collect()] == [(1, 6500, "<mark>x</mark>")]
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "scalar-subquery" in plan
